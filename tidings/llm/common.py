@@ -36,3 +36,32 @@ def map_texts(df: DataFrame, per_batch: Callable[[list, list], dict], schema: st
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def add_columns(df: DataFrame, inputs: list[str], per_batch: Callable[..., dict], schema: str, rows: int = 512) -> DataFrame:
+    """Add or replace columns by ``per_batch(*lists of inputs) -> columns``; all others pass as they are."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = _parse_datatype_string(schema)
+    names = set(made.names)
+    full = StructType([f for f in df.schema if f.name not in names] + list(made))
+    arrow, rest = to_arrow_schema(full), [f.name for f in df.schema if f.name not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                cols = per_batch(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs))
+                out = {c: part.column(part.schema.get_field_index(c)) for c in rest} | cols
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, full)
+
+
+def text_key(text) -> list:
+    """Two columns that name a text by its content, so that ids may be null or repeated."""
+    return [F.xxhash64(text).alias("_tidings_k1"), F.xxhash64(F.lit(7), text).alias("_tidings_k2")]
+
+
+KEY = ["_tidings_k1", "_tidings_k2"]

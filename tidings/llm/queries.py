@@ -15,6 +15,18 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.linededup import dedup_lines, digests
+
+    return digests(dedup_lines(documents(spark, sf_dir), min_docs=10, min_chars=1))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op6_lines": op6_lines, "op9_bpe": op9_bpe}
 #: Where SQL can express an operator.
 ORACLES: dict[str, str] = {}
