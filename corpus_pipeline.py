@@ -4,7 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    from tidings.llm.toxicity import score, train
+
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go; ``n_chars`` counts what stays."""
+    from pyspark.sql import functions as F
+
+    from tidings.llm.linededup import dedup_lines
+
+    return dedup_lines(docs, min_docs=10, min_chars=1).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the least id."""
+    from tidings.llm.minhash import near_duplicates
+    from tidings.operators.storage import materialize
+
+    gone = materialize(near_duplicates(docs, size=5, percent=80).filter("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    from tidings.llm.decontam import drop_leaks
+
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of the ids and of the decoded text."""
+    import public_tokenizers
+
+    from tidings.llm.bpe import encode
+
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("minhash", minhash), ("decontamination", decontamination), ("bpe", bpe)]
 #: Stages 1, 3 and 5 (a trained classifier, sketches, a tokenizer) are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 

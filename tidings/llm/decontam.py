@@ -14,7 +14,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import map_texts, texts
+from tidings.llm.common import add_columns, texts
 
 #: Edits allowed for each character of an item.
 ERRORS = 0.06
@@ -103,34 +103,53 @@ class Matcher:
         return out
 
 
+def _blocks(benchmark: DataFrame, text_col: str) -> list[list[tuple[int, str]]]:
+    """The items in blocks of at most BLOCK, normalised and without repeats."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    out = []
+    for k in range(-(-items.count() // BLOCK)):
+        rows = items.orderBy("item_id", "text").offset(k * BLOCK).limit(BLOCK).collect()
+        if any(len(r.text) > ITEM_CHARS for r in rows):
+            raise ValueError(f"a test item has more than {ITEM_CHARS} characters")
+        out.append(sorted({(r.item_id, n) for r in rows if (n := normal(r.text))}, key=str))
+    return out
+
+
+def _with_hits(df: DataFrame, block: list[tuple[int, str]], errors: float, text_col: str) -> DataFrame:
+    """``df`` and ``_tidings_hits``: item, distance and budget of each item of the block that the text holds."""
+    shared = df.sparkSession.sparkContext.broadcast(block)
+    made: list[Matcher] = []
+
+    def per_batch(batch: list) -> dict:
+        if not made:  # an id may repeat with other texts, so the matcher knows items by their place in the block
+            made.append(Matcher([(i, n) for i, (_, n) in enumerate(shared.value)], errors))
+        names, matcher = shared.value, made[0]
+        return {"_tidings_hits": [[{"item_id": names[i][0], "distance": d, "budget": matcher.items[i][1]} for i, d in matcher.matches(normal(t or ""))] for t in batch]}
+
+    return add_columns(df, [text_col], per_batch, "_tidings_hits array<struct<item_id: long, distance: int, budget: int>>")
+
+
 def find_leaks(df: DataFrame, benchmark: DataFrame, errors: float = ERRORS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, distance, budget`` for each test item that a document holds within the error budget.
 
     Both texts are normalised (lower case, letters and digits, single spaces). Items that are null or
     have no letter or digit match nothing; items or documents that repeat an id count as one, of which the
-    nearest is told, null ids included. Null and empty documents match nothing. The benchmark is read in blocks of at most BLOCK items by id order, each item at most
-    ITEM_CHARS long (longer ones raise), so what a task holds is bounded whatever the table's size.
+    nearest is told, null ids included. Null and empty documents match nothing. The benchmark is read in
+    blocks of at most BLOCK items by id order, each item at most ITEM_CHARS long (longer ones raise), so
+    what a task holds is bounded whatever the table's size.
     """
-    spark = df.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    found = None
-    for k in range(max(1, -(-items.count() // BLOCK))):
-        rows = items.orderBy("item_id", "text").offset(k * BLOCK).limit(BLOCK).collect()
-        if any(len(r.text) > ITEM_CHARS for r in rows):
-            raise ValueError(f"a test item has more than {ITEM_CHARS} characters")
-        distinct = sorted({(r.item_id, n) for r in rows if (n := normal(r.text))}, key=str)
-        # an id may repeat with other texts, so matching goes by position in the block
-        shared = spark.sparkContext.broadcast(distinct)
-        made: list[Matcher] = []
-
-        def per_batch(ids: list, batch: list, shared=shared, made=made) -> dict:
-            if not made:
-                made.append(Matcher([(i, n) for i, (_, n) in enumerate(shared.value)], errors))
-            found = [made[0].matches(normal(t)) for t in batch]
-            names = shared.value
-            return {"doc_id": ids, "hits": [[{"item_id": names[i][0], "distance": d, "budget": made[0].items[i][1]} for i, d in hits] for hits in found]}
-
-        part = map_texts(texts(df, id_col, text_col), per_batch, "doc_id long, hits array<struct<item_id: long, distance: int, budget: int>>").filter("size(hits) > 0")
-        found = part if found is None else found.union(part)
-    rows = found.select("doc_id", F.inline("hits"))
+    found = texts(df, id_col, text_col)
+    parts = [_with_hits(found, block, errors, "text").filter("size(_tidings_hits) > 0").select("doc_id", F.inline("_tidings_hits")) for block in _blocks(benchmark, text_col)]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, budget int")
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.union(more)
     return rows.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("budget").alias("budget"))
+
+
+def drop_leaks(df: DataFrame, benchmark: DataFrame, errors: float = ERRORS, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that hold no test item, with all their columns; null texts stay."""
+    for block in _blocks(benchmark, text_col):
+        df = _with_hits(df, block, errors, text_col).filter("size(_tidings_hits) = 0").drop("_tidings_hits")
+    return df

@@ -27,6 +27,20 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(dedup_lines(documents(spark, sf_dir), min_docs=10, min_chars=1))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op6_lines": op6_lines, "op9_bpe": op9_bpe}
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.toxicity import score, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.decontam import find_leaks
+
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_bpe": op9_bpe}
 #: Where SQL can express an operator.
 ORACLES: dict[str, str] = {}

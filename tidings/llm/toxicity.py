@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams of the lower-cased UTF-8 bytes, present or absent. Each is
+Features are hashed n-grams of lower-cased letters and spaces, present or absent. Each is
 scaled by r = log of the ratio of its smoothed document shares in the two classes
 (Wang and Manning 2012), and a logistic regression is fitted on the scaled features.
 """
@@ -17,20 +17,27 @@ from tidings.operators.storage import materialize
 #: The classifier is fitted on at most so many labelled rows, those of the least hashes of their ids.
 SAMPLE = 16_000
 #: Lengths of the n-grams, hash buckets of all n-grams, and how many of them become features.
-SIZES, BUCKETS, FEATURES = (3, 4, 5), 1 << 20, 4096
+SIZES, BUCKETS, FEATURES = (5, 7), 1 << 20, 1536
 #: Tasks that count the sample: each sends one pair of count arrays.
 COUNTERS = 6
 #: Every HELD_OUT-th id by crc32 is never learnt from.
 HELD_OUT = 5
 
 
+#: What every code point below 0x250 becomes in an n-gram: letters stay, all else is a space.
+_LETTERS = np.array([c if chr(c).isalpha() else 32 for c in range(0x250)], np.uint64)
+
+
 def _grams(batch: list[str], table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ``document, bucket`` pairs; with a ``table`` from buckets to features, ``document, feature`` of those it has."""
-    raw = [t.lower().encode() for t in batch]
-    ends = np.cumsum([len(r) + 1 for r in raw])
+    raw = [f" {t.lower()} ".encode("utf-32-le") for t in batch]
+    ends = np.cumsum([len(r) // 4 for r in raw])
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8).astype(np.uint64)
-    keys, h, base = [], np.zeros(len(data), np.uint64), FEATURES if table is not None else BUCKETS
+    data = np.frombuffer(b"".join(raw), np.uint32).astype(np.uint64)
+    small = data < len(_LETTERS)
+    data[small] = _LETTERS[data[small]]
+    found: list[list[np.ndarray]] = [[] for _ in batch]
+    h = np.zeros(len(data), np.uint64)
     for n in range(1, max(SIZES) + 1):
         if len(data) < n:
             break
@@ -38,16 +45,13 @@ def _grams(batch: list[str], table: np.ndarray | None = None) -> tuple[np.ndarra
         if n not in SIZES:
             continue
         bucket = ((h ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
-        if table is None:
-            at = np.arange(len(bucket))
-        else:
+        if table is not None:
             bucket = table[bucket]
-            at = np.flatnonzero(bucket >= 0)
-        doc = np.searchsorted(starts, at, "right") - 1
-        inside = at + n < ends[doc]
-        keys.append(np.unique(doc[inside] * np.int64(base) + bucket[at[inside]]))
-    pairs = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-    return pairs // base, pairs % base
+        for own, a, b in zip(found, starts, ends - n + 1):
+            if a < b:
+                own.append(bucket[a:b] if table is None else (part := bucket[a:b])[part >= 0])
+    found = [np.unique(np.concatenate(own)) if own else np.empty(0, np.int32) for own in found]
+    return np.repeat(np.arange(len(batch)), [len(x) for x in found]), np.concatenate(found) if found else np.empty(0, np.int32)
 
 
 def held_out(doc_id) -> F.Column:
@@ -67,7 +71,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _regression(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 250) -> tuple[np.ndarray, float]:
+def _regression(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 120) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps."""
     n, value = len(y), scale[col]
     weights, bias = np.zeros(len(scale)), np.log((y.sum() + 1) / (n - y.sum() + 1))
