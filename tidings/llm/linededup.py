@@ -106,7 +106,8 @@ def dedup_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col:
         index.add(hashed.filter(F.col("batch") == k).select(F.inline("lines")))
     frequent = materialize(index.settled(), "frequent")
     hits = hashed.select(*KEY, F.inline("lines")).join(frequent, ["h", "g"], "left_semi")
-    drops = hits.groupBy(*KEY).agg(F.collect_set(F.struct("h", "g")).alias("_tidings_drop"))
+    # a table of its own, so that both sides of the join below are plain exchanges that can be split where many copies meet
+    drops = materialize(hits.groupBy(*KEY).agg(F.collect_set(F.struct("h", "g")).alias("_tidings_drop")), "drops")
 
     def cut(batch: list, drop: list) -> dict:
         texts, n_lines, n_dropped = [], [], []
