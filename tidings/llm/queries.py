@@ -41,6 +41,26 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_bpe": op9_bpe}
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.secrets import digests, find_secrets
+
+    return digests(find_secrets(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+#: A conversation whose texts look like control strings.
+HARD_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.chat import conversations_as_trees, digests, format_reply_trees
+    from tidings.operators.storage import materialize
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame(HARD_CONVERSATION, "conv_id long, turn long, role string, text string")
+    messages = materialize(conversations_as_trees(rows.union(hard)), "messages")
+    return digests(materialize(format_reply_trees(messages), "formatted"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_bpe": op9_bpe, "op10_chat": op10_chat}
 #: Where SQL can express an operator.
 ORACLES: dict[str, str] = {}
