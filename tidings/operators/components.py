@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.operators.storage import discard, materialize
+from tidings.operators.storage import discard, materialize, rows_and_sum
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def _step(edges: DataFrame) -> DataFrame:
     """One large-star then one small-star pass; only aggregates and equi-joins, so a hub of any degree is split."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = _least(both).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    large = both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     low = _least(large)
     small = large.join(low, "u")
     return small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     now = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & F.col("u").isNotNull()).filter("u <> v").distinct()
     now, seen = materialize(now, "edges"), None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = rows_and_sum(now)
         if mark == seen or not mark[0]:
             break
         old, now, seen = now, materialize(_step(now), "edges"), mark

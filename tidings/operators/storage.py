@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,18 +30,28 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a short lineage that outlives executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: a short lineage that outlives executors.
+
+    The write also counts the rows and sums their hashes; see ``rows_and_sum``.
+    """
     spark = df.sparkSession
     path = table_path(spark, name)
-    writer = df.write
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*(f"`{c}`" for c in df.columns)).cast("decimal(38,0)")).alias("sum")).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._tidings_path = path
+    out._tidings_path, out._tidings_seen = path, seen
     return out
 
 
+def rows_and_sum(table: DataFrame) -> tuple[int, object]:
+    """Of a table made by ``materialize``: its row count and a checksum of its rows in any order."""
+    got = table._tidings_seen.get
+    return got["rows"], got["sum"]
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a table made by ``materialize`` that no later step reads."""
     path = getattr(df, "_tidings_path", None)
