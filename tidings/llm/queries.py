@@ -47,6 +47,26 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_secrets(documents(spark, sf_dir).select("doc_id", "text")))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.ann import nearest_neighbours
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest_neighbours(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.substring import repeated_passages
+
+    return repeated_passages(documents(spark, sf_dir))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.pii import digests, find_pii, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return digests(find_pii(docs, train(docs)))
+
+
 #: A conversation whose texts look like control strings.
 HARD_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -61,6 +81,17 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(materialize(format_reply_trees(messages), "formatted"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op4_secrets": op4_secrets, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_decontam": op7_decontam, "op9_bpe": op9_bpe, "op10_chat": op10_chat}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_ann": op2_ann,
+    "op3_substring": op3_substring,
+    "op4_secrets": op4_secrets,
+    "op5_toxicity": op5_toxicity,
+    "op6_lines": op6_lines,
+    "op7_decontam": op7_decontam,
+    "op8_pii": op8_pii,
+    "op9_bpe": op9_bpe,
+    "op10_chat": op10_chat,
+}
 #: Where SQL can express an operator.
 ORACLES: dict[str, str] = {}
