@@ -164,8 +164,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     # one row for each list: as many as there are centroids
     sizes = index.groupBy("list").count().join(probes.groupBy("list").agg(F.count("*").alias("asked")), "list")
     sizes = F.broadcast(materialize(sizes.select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("blocks")), "sizes"))
-    left = index.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long")).select("list", "part", "block", "vec_id", "v")
-    right = probes.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long")).select("list", "part", "block", "query_id", "q")
+    left = index.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select("list", "part", "block", "vec_id", "v")
+    right = probes.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("list", "part", "block", "query_id", "q")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
