@@ -55,5 +55,5 @@ def test_planted_passages(spark):
             assert text[d][r.start : r.end] in text[r.first_doc_id] and r.dropped == (r.first_doc_id != d)
         assert sum(r.n_words for r in own) >= 16
     cut = {r.doc_id: r.text for r in drop_repeats(df, spans).collect()}
-    assert cut[4] != text[4] and cut[1] == text[1] and cut[500] is None
+    assert len(cut[20]) < len(text[20]) and cut[1] == text[1] and cut[500] is None
     assert repeated_passages(df.limit(0)).count() == 0

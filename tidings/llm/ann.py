@@ -172,18 +172,24 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         x, ids, q = np.stack(a.v.to_numpy()), a.vec_id.to_numpy(), np.stack(b.q.to_numpy())
         norm, out = (x**2).sum(1), []
+        names, of = np.unique(ids, return_inverse=True)
         for query, vector in zip(b.query_id.to_numpy(), q):
             rough = norm - 2 * (x @ vector)
             rough[ids == query] = np.inf
-            if len(rough) > k:
-                # rounding may not part what ties, so all within it of the k-th are measured exactly
-                bar = np.partition(rough, k - 1)[k - 1]
+            if len(names) > k:
+                # rounding may not part what ties, so all within it of the k-th id are measured exactly
+                each = rough
+                if len(names) < len(ids):
+                    each = np.full(len(names), np.inf)
+                    np.minimum.at(each, of, rough)
+                bar = np.partition(each, k - 1)[k - 1]
                 near = np.flatnonzero(rough <= bar + 1e-9 * (1 + norm.max() + vector @ vector))
             else:
                 near = np.arange(len(rough))
             near = near[ids[near] != query]
             score = np.sqrt(((x[near] - vector) ** 2).sum(1))
-            best = np.lexsort((ids[near], score))[:k]
+            best = np.lexsort((ids[near], score))
+            best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])[:k]]
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][best], "score": score[best]}))
         return pd.concat(out)
 
