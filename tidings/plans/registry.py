@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidings.sources.entities import ENTITIES_SQL, Entities
+
 
 class Query(NamedTuple):
     run: Callable[[SparkSession, str], DataFrame]
@@ -26,3 +28,13 @@ def query(name: str, sql: str | None = None):
         return run
 
     return add
+
+
+def entity_query(name: str, sql: str | None = None):
+    """Register a query over the entities; its SQL names them as tables."""
+
+    def add(run: Callable[[Entities], DataFrame]):
+        query(name, sql and ENTITIES_SQL + sql)(lambda spark, sf_dir: run(Entities(spark, sf_dir)))
+        return run
+
+    return add
