@@ -146,7 +146,7 @@ def tsquery(query: str) -> str:
 def pattern(node: Node, boundary: bool = True) -> str:
     """Regex of a term or phrase."""
     words = node.args[:1] if node.op == "term" else node.args
-    return "(?i)" + (_START if boundary else "") + r"\s+".join(map(re.escape, words))
+    return "(?iu)" + (_START if boundary else "") + r"\s+".join(map(re.escape, words))
 
 
 def matches(node: Node, text: Column, fields: dict[str, Callable[[str], Column]] | None = None) -> Column:

@@ -26,7 +26,7 @@ def html_strip(html: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, _BLOCKS, "\n\n"), r"(?s)<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("­", ""), ("&shy;", "")):
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), r"^\s+|\s+$", "")
 
 
 def html_title(html: Column) -> Column:

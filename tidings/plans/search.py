@@ -207,7 +207,7 @@ def _(e):
 
 @query("pivot_counts", "SELECT user_id, count(*) FILTER (event_type = 'view') AS view_count, count(*) FILTER (event_type = 'click') AS click_count, count(*) FILTER (event_type = 'purchase') AS purchase_count FROM events GROUP BY 1")
 def _(e):
-    wide = e.table("events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.count("*"))
+    wide = e.table("events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).agg(F.count(F.lit(1)))
     return wide.select("user_id", *(F.coalesce(F.col(c), F.lit(0)).alias(f"{c}_count") for c in ("view", "click", "purchase")))
 
 
