@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidings.llm.common import documents
+from tidings.llm.oracles import ORACLES  # noqa: F401
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,5 +94,3 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
 }
-#: Where SQL can express an operator.
-ORACLES: dict[str, str] = {}
