@@ -45,10 +45,13 @@ def meta_refresh(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, r'(?is)<meta[^>]*http-equiv=["\']refresh["\'][^>]*content=["\'][^"\']*url=([^"\']+)["\']', 1)), F.lit(""))
 
 
-def page_links(html: Column) -> Column:
-    """Web addresses that a page's anchors and frames lead to."""
-    found = F.regexp_extract_all(html, F.lit(r'(?is)(?:href|src)=["\'](https?://[^"\'\s>]+)["\']'), F.lit(1))
-    return F.array_distinct(found)
+def page_links(html: Column, url: Column | None = None) -> Column:
+    """Web addresses that a page's anchors and frames lead to; paths count too where the page's own ``url`` is given."""
+    found = F.regexp_extract_all(html, F.lit(r'(?is)(?:href|src)=["\'](https?://[^"\'\s>]+|/[^"\'\s>/][^"\'\s>]*)["\']'), F.lit(1))
+    if url is None:
+        return F.array_distinct(F.filter(found, lambda u: u.startswith("http")))
+    site = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    return F.array_distinct(F.transform(found, lambda u: F.when(u.startswith("/"), F.concat(site, u)).otherwise(u)))
 
 
 def sentences(text: Column) -> Column:

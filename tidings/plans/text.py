@@ -88,9 +88,15 @@ def _(e):
     return e.table("pages").select("page_id", text.html_title(F.col("html")).alias("title"), F.length(text.html_strip(F.col("html"))).alias("chars"), text.canonical_link(F.col("html")).alias("canonical"), text.meta_refresh(F.col("html")).alias("refresh"))
 
 
-@query("page_links", "SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?i)(?:href|src)=[\"''](https?://[^\"''\\s>]+)[\"'']', 1)) AS link FROM pages")
+@query("page_links", "SELECT DISTINCT page_id, CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h ELSE h END AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)(?:href|src)=[\"''](https?://[^\"''\\s>]+|/[^\"''\\s>/][^\"''\\s>]*)[\"'']', 1)) AS h FROM pages)")
 def _(e):
-    return e.table("pages").select("page_id", F.explode(text.page_links(F.col("html"))).alias("link"))
+    return e.table("pages").select("page_id", F.explode(text.page_links(F.col("html"), F.col("url"))).alias("link"))
+
+
+@query("self_link_domains", "SELECT regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, sum(len(regexp_extract_all(html, '(?i)href=[\"'']/[^\"''\\s>/]'))) AS self_links FROM pages GROUP BY 1 HAVING sum(len(regexp_extract_all(html, '(?i)href=[\"'']/[^\"''\\s>/]'))) > 5")
+def _(e):
+    rows = e.table("pages").select(urls.host(F.col("url")).alias("host"), F.size(F.regexp_extract_all("html", F.lit("(?i)href=[\"']/[^\"'\\s>/]"), F.lit(0))).alias("n"))
+    return rows.groupBy("host").agg(F.sum("n").alias("self_links")).filter("self_links > 5")
 
 
 @query("url_host", "SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages")
