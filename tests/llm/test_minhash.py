@@ -58,6 +58,22 @@ def test_borderline_groups(spark):
     assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
 
 
+def test_least_sets(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(5000)]
+    rows = []
+    for n in range(1, 13):
+        for _ in range(20):
+            own = rng.sample(words, n)
+            for text in (own, [*own, rng.choice(words)], [rng.choice(words), *own]):
+                rows.append((len(rows), " ".join(text)))
+    for size, percent, pair in ((3, 85, 8), (5, 80, 8)):
+        want = brute(rows, size, percent)
+        assert run(spark, rows, size, percent) == want
+        linked = {i for i, _, c, _ in want if i is not None and c != i}
+        assert len(linked & set(range(60 * (pair - 1), 60 * pair))) == 40
+
+
 def test_whole_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -91,10 +91,10 @@ class Sketcher:
         return _mix(keys).view(np.int64)
 
 
-def _sketches(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    bands = bands_for(similarity)
-    #: Smaller sets are linked with equal sets only.
-    least = math.ceil(1 / (1 - similarity) - 1e-9)
+def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    bands = bands_for(percent / 100)
+    #: Smaller sets are linked with equal sets only: one of s and one of s + 1 shingles are s / (s + 1) similar at most.
+    least = -(-percent // (100 - percent))
     made: list[Sketcher] = []
 
     def per_batch(ids: list, batch: list) -> dict:
@@ -170,8 +170,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     are kept. Rows that repeat an id are one document with all their links. Other columns are not read.
     """
     source = texts(df, id_col, text_col)
-    similarity = percent / 100
-    sketches = materialize(_sketches(source, size, similarity), "sketches")
+    sketches = materialize(_sketches(source, size, percent), "sketches")
     known = sketches.filter("n > 0 and doc_id is not null")
     classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
