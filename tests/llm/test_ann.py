@@ -42,3 +42,21 @@ def test_ties_and_bad_vectors(spark):
     few = df.filter("vec_id in (0, 300, 301)")
     assert [r.vec_id for r in nearest_neighbours(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [r[0] for r in brute(np.array([0, 300, 301]), np.array([same, rows[300][1], rows[301][1]]), [0])[0]]
     assert nearest_neighbours(df.limit(0), df).count() == 0
+
+
+def test_small_groups_and_outliers(spark):
+    rng = np.random.default_rng(2)
+    parts = [rng.normal(size=(1500, 16))]
+    for size in range(2, 10):
+        for _ in range(3):
+            parts.append(rng.normal(size=16) * 3 + rng.normal(size=(size, 16)) * 1e-4)
+    parts.append(rng.normal(size=(12, 16)) * 40)
+    x = np.concatenate(parts)
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(df, df.filter("vec_id >= 1500")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(ids, x, ids[1500:])
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(set(got[i]) & {a for a, _ in want[i]}) / 10 for i in want]) >= 0.9

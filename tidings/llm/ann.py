@@ -2,8 +2,9 @@
 
 Centroids come from a balanced clustering of a bounded sample and are searched through
 an in-memory neighbour graph. Every vector goes to the list of its nearest centroid; one
-near a border is copied to several lists. A query reads the lists whose centroids are
-within a distance ratio of its nearest one. Lists and the queries of a list are dealt
+near a border is copied to several lists. A query reads the nearest lists until they are
+known to hold k other ids, and those whose centroids are within a distance ratio of the
+last of these. Lists and the queries of a list are dealt
 into parts of bounded size, so a list that holds a third of all vectors is many tasks.
 """
 
@@ -23,7 +24,7 @@ SAMPLE = 20_000
 LIST = 24
 #: Copies of a vector at most, and how much farther than the nearest a centroid of a copy may be.
 COPIES, COPY_RATIO = 6, 1.15
-#: Lists that a query reads at most, and how much farther than the nearest a centroid may be.
+#: Lists that a query reads at most, once they hold enough ids, and how much farther a centroid may be than the last that is needed.
 PROBES, PROBE_RATIO = 128, 1.6
 #: Neighbours of a centroid in the graph; candidates kept in its search at least.
 DEGREE, BEAM = 24, 16
@@ -113,22 +114,39 @@ class Graph:
         return ids, np.sqrt(far)
 
 
-def _lists(graph: Graph, x: np.ndarray, ratio: float, most: int, spread: bool) -> list[list[int]]:
-    """Lists of each vector: centroids within the ratio; with ``spread`` none that is nearer to one chosen before than to the vector."""
+def _lists(graph: Graph, x: np.ndarray) -> list[list[int]]:
+    """Lists that hold each vector: centroids within the ratio, none of them nearer to one chosen before than to the vector."""
     out = []
-    ids, far = graph.nearest(x, max(BEAM, most))
+    ids, far = graph.nearest(x, max(BEAM, COPIES))
     for own, d in zip(ids, far):
         keep: list[int] = []
         for c, dist in zip(own.tolist(), d.tolist()):
-            if len(keep) == most or dist > ratio * d[0] + 1e-12:
+            if len(keep) == COPIES or dist > COPY_RATIO * d[0] + 1e-12:
                 break
-            if spread and keep and ((graph.x[keep] - graph.x[c]) ** 2).sum(-1).min() < (dist * 0.5) ** 2:
+            if keep and ((graph.x[keep] - graph.x[c]) ** 2).sum(-1).min() < (dist * 0.5) ** 2:
                 continue
             keep.append(c)
         out.append(keep)
     return out
 
 
+def _probes(graph: Graph, held: np.ndarray, x: np.ndarray, k: int) -> list[list[int]]:
+    """Lists that each query reads. ``held``: ids that a list is known to hold, each counted in one list only."""
+    out = []
+    ids, far = graph.nearest(x, max(BEAM, PROBES))
+    for q, own, d in zip(x, ids, far):
+        own, d = own[np.isfinite(d)], d[np.isfinite(d)]
+        if held[own].sum() <= k:  # what the search has found holds too few
+            far_all = np.sqrt(((graph.x - q) ** 2).sum(-1))
+            own = np.argsort(far_all, kind="stable")
+            d = far_all[own]
+        # one more than k, as the query's own id may be among them
+        last = min(int(np.searchsorted(np.cumsum(held[own]), k + 1)), len(own) - 1)
+        most = max(PROBES, last + 1)
+        out.append(own[:most][d[:most] <= PROBE_RATIO * d[last] + 1e-12].tolist())
+    return out
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v``: rows with an id and a vector of finite numbers that are not all zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -156,11 +174,18 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     shared = spark.sparkContext.broadcast(graph)
     rows, asked = rows.filter(F.size("v") == size), asked.filter(F.size("v") == size)
 
-    def placed(ratio: float, most: int, spread: bool):
-        return lambda batch: {"lists": _lists(shared.value, np.array(batch), ratio, most, spread)}
+    def placed(batch: list) -> dict:
+        return {"lists": _lists(shared.value, np.array(batch))}
+
+    index = materialize(add_columns(rows, ["v"], placed, "lists array<int>", 256).select("vec_id", "v", F.posexplode("lists").alias("place", "list")), "postings")
+    held = np.zeros(len(graph.x), np.int64)
+    for r in index.filter("place = 0").groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect():
+        held[r["list"]] = r["count"]
+
+    def probed(batch: list) -> dict:
+        return {"lists": _probes(shared.value, held, np.array(batch), k)}
 
-    index = materialize(add_columns(rows, ["v"], placed(COPY_RATIO, COPIES, True), "lists array<int>", 256).select("vec_id", "v", F.explode("lists").alias("list")), "postings")
-    probes = materialize(add_columns(asked, ["v"], placed(PROBE_RATIO, PROBES, False), "lists array<int>", 256).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list")), "probes")
+    probes = materialize(add_columns(asked, ["v"], probed, "lists array<int>", 256).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list")), "probes")
     # one row for each list: as many as there are centroids
     sizes = index.groupBy("list").count().join(probes.groupBy("list").agg(F.count("*").alias("asked")), "list")
     sizes = F.broadcast(materialize(sizes.select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("blocks")), "sizes"))
