@@ -47,6 +47,30 @@ def test_against_brute_force(spark):
     assert sorted(r.text or "" for r in kept.collect()) == sorted(t or "" for d, t, _ in docs if not any(n and t and distance(n, normal(t)) <= budget(n) for n in (normal(i or "") for _, i in items)))
 
 
+def test_long_items_and_blocks(spark, monkeypatch):
+    from tidings.llm import decontam
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    long = " ".join(rng.choices(words, k=4000))
+    near = long[:9000] + "xy" + long[9000:15000] + long[15003:]
+    items = [(1, long), (2, " ".join(rng.choices(words, k=20))), (3, " ".join(rng.choices(words, k=20))), (4, " ".join(rng.choices(words, k=20)))]
+    docs = [(1, "q " + long + " z"), (2, "w " + near), (3, items[1][1]), (4, items[3][1] + " and " + items[2][1]), (5, long[:20_000]), (6, None), (7, "none"), (7, items[1][1])]
+    df = spark.createDataFrame([(*d, "h") for d in docs], "doc_id long, text string, hits string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(long) > 20_000
+    want = [(1, 1, 0), (2, 1, 5), (3, 2, 0), (4, 3, 0), (4, 4, 0), (7, 2, 0)]
+    for block, chars in ((20_000, 4_000_000), (2, 300)):
+        monkeypatch.setattr(decontam, "BLOCK", block)
+        monkeypatch.setattr(decontam, "BLOCK_CHARS", chars, raising=False)
+        assert sorted((r.doc_id, r.item_id, r.distance) for r in find_leaks(df, bench).collect()) == want
+        kept = drop_leaks(df, bench)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(5, docs[4][1]), (6, None), (7, "none")]
+    sizes = [[len(n) for _, n in block] for block in decontam._blocks(bench, "text")[1]]
+    assert sorted(n for block in sizes for n in block) == sorted(len(n) for _, n in items) and len(sizes) > 1
+    assert all(len(block) == 1 or len(block) <= 2 and sum(block) <= 300 for block in sizes)
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(docs, bench).count() == 0 and drop_leaks(docs, bench).count() == 1
