@@ -77,3 +77,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "snap")).filter("snapshots_id = 7").count() == 3
     xml = sinks.gexf(spark.createDataFrame([(1, "a&b", 2.0), (2, "c", 1.0)], "id int, label string, size double"), spark.createDataFrame([(1, 2, 3), (1, 9, 1)], "source int, target int, weight int"))
     assert xml.count("<node ") == 2 and xml.count("<edge ") == 1 and "a&amp;b" in xml
+
+
+def test_language_of_a_long_text(spark):
+    german = "der Hund und die Katze sind nicht auf dem Dach " * 600
+    rows = [("the " + "qqqq " * 5000 + german, "de"), ("zzzz " * 5000 + german, "de"), ("qqqq " * 5000, "")]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
+    assert [r[0] for r in df.select(text.guess_language(F.col("t"))).collect()] == [w for _, w in rows]

@@ -89,7 +89,7 @@ def is_stop_word(word: Column, language: Column) -> Column:
 
 def guess_language(text: Column) -> Column:
     """The language whose common words are most of the text's, by share; empty without ten letters or a common word."""
-    own = words(F.substr(text, F.lit(1), F.lit(20_000)))
+    own = words(text)
     hits = [F.struct(F.size(F.filter(own, lambda w, s=None: w.isin(STOP_WORDS[lang]))).alias("n"), F.lit(lang).alias("lang")) for lang in STOP_WORDS]
     best = F.greatest(*hits)
     return F.when((best["n"] > 0) & (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= 10), best["lang"]).otherwise("")
