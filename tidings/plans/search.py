@@ -157,13 +157,22 @@ def _(e):
     return e.stories.select("stories_id", *(c.alias(n) for n, c in solr_dates(F.col("publish_date")).items()))
 
 
-@query("story_list", "SELECT s.stories_id, s.title, m.name AS media_name, m.url AS media_url, coalesce(t.tags_id = 4, false) AS flagged FROM stories s JOIN media m USING (media_id) LEFT JOIN story_tags t ON t.stories_id = s.stories_id AND t.tags_id = 4 WHERE s.stories_id < 200")
-def _(e):
+def _story_list(e, stories):
     flagged = e.story_tags.filter("tags_id = 4").select("stories_id", F.lit(True).alias("flag"))
-    rows = e.stories.filter("stories_id < 200").join(F.broadcast(e.media.select("media_id", F.col("name").alias("media_name"), F.col("url").alias("media_url"))), "media_id")
+    rows = stories.join(F.broadcast(e.media.select("media_id", F.col("name").alias("media_name"), F.col("url").alias("media_url"))), "media_id")
     return rows.join(flagged, "stories_id", "left").select("stories_id", "title", "media_name", "media_url", F.coalesce("flag", F.lit(False)).alias("flagged"))
 
 
+@query("story_list", "SELECT s.stories_id, s.title, m.name AS media_name, m.url AS media_url, coalesce(t.tags_id = 4, false) AS flagged FROM stories s JOIN media m USING (media_id) LEFT JOIN story_tags t ON t.stories_id = s.stories_id AND t.tags_id = 4 WHERE s.stories_id < 200")
+def _(e):
+    return _story_list(e, e.stories.filter("stories_id < 200"))
+
+
+@query("story_list_all", "SELECT s.stories_id, s.title, m.name AS media_name, m.url AS media_url, coalesce(t.tags_id = 4, false) AS flagged FROM stories s JOIN media m USING (media_id) LEFT JOIN story_tags t ON t.stories_id = s.stories_id AND t.tags_id = 4")
+def _(e):
+    return _story_list(e, e.stories)
+
+
 @query("ordered_id_list", "SELECT s.stories_id, position, s.title FROM (VALUES (9, 0), (4, 1), (7, 2)) v(stories_id, position) JOIN stories s USING (stories_id)")
 def _(e):
     ids = e.spark.createDataFrame([([9, 4, 7],)], "ids array<long>").select(F.posexplode("ids").alias("position", "stories_id"))

@@ -34,6 +34,11 @@ def _(e):
     return W.word_matrix(e.sentences.filter("media_id = 3"))
 
 
+@query("word_matrix_all", f", tokens AS (SELECT stories_id, language, unnest(regexp_extract_all(lower(substr(sentence, 1, 1024)), '{WORD}')) AS w FROM sentences), good AS (SELECT * FROM tokens WHERE NOT regexp_matches(w, '^[0-9]+$') AND NOT {STOP}) SELECT stories_id, w AS stem, count(*) AS count FROM good GROUP BY 1, 2")
+def _(e):
+    return W.word_matrix(e.sentences)
+
+
 @query("dedup_sentence_week", "SELECT stories_id, sentence_number, count(*) OVER g > 1 AS is_dup, row_number() OVER (g ORDER BY stories_id, sentence_number) = 1 AS kept FROM sentences WINDOW g AS (PARTITION BY media_id, date_trunc('week', publish_date), sentence)")
 def _(e):
     return W.dedup_sentences_by_week(e.sentences)
