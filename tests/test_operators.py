@@ -84,3 +84,20 @@ def test_language_of_a_long_text(spark):
     rows = [("the " + "qqqq " * 5000 + german, "de"), ("zzzz " * 5000 + german, "de"), ("qqqq " * 5000, "")]
     df = spark.createDataFrame([(t,) for t, _ in rows], "t string")
     assert [r[0] for r in df.select(text.guess_language(F.col("t"))).collect()] == [w for _, w in rows]
+
+
+def test_co_sharing_interval(spark):
+    import datetime
+    import random
+
+    rng, day = random.Random(1), datetime.datetime(2024, 1, 1)
+    posts = [(f"a{rng.randrange(6)}", rng.randrange(40), day + datetime.timedelta(seconds=rng.randrange(200 * 86400))) for _ in range(90)]
+    gaps = {}
+    for a, x, s in posts:
+        for b, y, t in posts:
+            if a == b and x > y:
+                gaps[x, y] = min(abs((s - t).total_seconds()), gaps.get((x, y), 1e12))
+    want = sorted((g, x, y) for (x, y), g in gaps.items())[:40]
+    df = spark.createDataFrame(posts, "author string, stories_id long, publish_date timestamp_ntz")
+    got = [(r.seconds, r.a_id, r.b_id) for r in topics.co_sharing_links(df, 40).collect()]
+    assert len(want) == 40 and want[-1][0] > 3600 and got == want
