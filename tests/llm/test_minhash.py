@@ -78,3 +78,33 @@ def test_whole_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted((tuple(r) for r in near_duplicates(docs, 3, 85).collect()), key=str) == brute(rows, 3, 85)
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    x, y, z = (" ".join(rng.sample(words, 40)) for _ in range(3))
+    rows = [(5, x), (5, x), (5, y), (3, y), (7, x), (9, z), (8, z), (9, y + " end"), (11, "")]
+    assert run(spark, rows, 3, 85) == brute(rows, 3, 85)
+
+
+def test_group_around_the_threshold(spark):
+    """Copies of one text with so many changes that a part of them is linked with nothing, and a second version with copies of its own."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(2000)]
+    base = rng.choices(words, k=150)
+    second = list(base)
+    for at in range(0, 150, 9):
+        second[at] = rng.choice(words)
+    rows = []
+    for i in range(600):
+        own = list(base if i % 3 else second)
+        for _ in range(rng.randint(0, 7)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.choice([0, 1, 1, 1])] = rng.choice([[], [rng.choice(words)], [rng.choice(words[:5])]])
+        rows.append((10_000 - i, " ".join(own)))
+    want = brute(rows, 3, 85)
+    alone = len(rows) - sum(c != i for i, _, c, _ in want) - 1
+    assert 100 < alone < 500
+    assert run(spark, rows, 3, 85) == want
+    assert run(spark, rows, 5, 80) == brute(rows, 5, 80)

@@ -18,11 +18,27 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def map_texts(df: DataFrame, per_batch: Callable[[list, list], dict], schema: str, rows: int = 512) -> DataFrame:
-    """Apply ``per_batch(ids, texts) -> columns`` to slices of at most ``rows`` rows of each Arrow batch.
+#: Bytes of a slice, as far as its rows are of even length.
+SLICE_BYTES = 16 << 20
+
+
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and some SLICE_BYTES, which bound a task's memory where many very long texts come together."""
+    rows = max(1, min(rows, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
 
-    Slices bound a task's memory where many very long texts come together.
-    """
+def _list(column: pa.Array) -> list:
+    """Values of a column; those of a list of numbers are numpy arrays."""
+    if pa.types.is_list(column.type) and pa.types.is_primitive(column.type.value_type) and not column.null_count and not column.values.null_count:
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        return [values[a:b] for a, b in zip(ends, ends[1:])]
+    return column.to_pylist()
+
+
+def map_texts(df: DataFrame, per_batch: Callable[[list, list], dict], schema: str, rows: int = 512) -> DataFrame:
+    """Apply ``per_batch(ids, texts) -> columns`` to slices of each Arrow batch."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -30,29 +46,27 @@ def map_texts(df: DataFrame, per_batch: Callable[[list, list], dict], schema: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in _slices(batch, rows):
                 cols = per_batch(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def add_columns(df: DataFrame, inputs: list[str], per_batch: Callable[..., dict], schema: str, rows: int = 512) -> DataFrame:
-    """Add or replace columns by ``per_batch(*lists of inputs) -> columns``; all others pass as they are."""
+def add_columns(df: DataFrame, inputs: list[str], per_batch: Callable[..., dict], schema: str, rows: int = 512, drop: list[str] = []) -> DataFrame:
+    """Add or replace columns by ``per_batch(*lists of inputs) -> columns``; all others but those to ``drop`` pass as they are."""
     from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     made = _parse_datatype_string(schema)
-    names = set(made.names)
+    names = {*made.names, *drop}
     full = StructType([f for f in df.schema if f.name not in names] + list(made))
     arrow, rest = to_arrow_schema(full), [f.name for f in df.schema if f.name not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                cols = per_batch(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs))
+            for part in _slices(batch, rows):
+                cols = per_batch(*(_list(part.column(part.schema.get_field_index(c))) for c in inputs))
                 out = {c: part.column(part.schema.get_field_index(c)) for c in rest} | cols
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, type=f.type) for f in arrow], schema=arrow)
 
