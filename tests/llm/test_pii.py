@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 
-from tidings.llm.pii import KINDS, TAGS, Tagger, base_spans, digests, find_pii, tagged_spans, train, windows
+import pytest
+
+from tidings.llm.pii import KINDS, TAGS, Tagger, base_spans, digests, disguised, find_pii, tagged_spans, train, windows
 
 HARD = [
     None, "", "a.b@c.de x@y a@b..c", "é🤷 +1 (984) 555-5224 and +12345", "4111 1111 1111 1111, 4111-1111-1111-1112", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 01.2.3.4.", "5" * 40, "x " * 30_000 + "me@mail.example.com", "dup 4111111111111111", "dup 4111111111111111",
@@ -61,13 +63,41 @@ def test_windows_hold_every_trigger():
     assert windows("no trigger here") == [] and windows("") == []
 
 
-def test_held_out_spans(spark):
-    """The tagger finds most spans of documents that it has not seen, and the query adds to the patterns' spans only."""
+@pytest.fixture(scope="module")
+def held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    tagger = train(docs.filter("doc_id % 5 <> 0"))
-    rows = [r.text for r in docs.filter("doc_id % 5 = 0").collect()]
+    return train(docs.filter("doc_id % 5 <> 0")), docs.filter("doc_id % 5 = 0")
+
+
+def test_held_out_spans(held_out):
+    """The tagger finds most spans of documents that it has not seen, and the query adds to the patterns' spans only."""
+    tagger, docs = held_out
+    rows = [r.text for r in docs.collect()]
     base, found = [set(base_spans(t)) for t in rows], [set(s) for s in tagged_spans(tagger, rows)]
     hit = sum(len(a & b) for a, b in zip(base, found))
     assert hit >= 0.6 * sum(map(len, base))
-    out = digests(find_pii(docs.filter("doc_id % 5 = 0"), tagger)).collect()
+    out = digests(find_pii(docs, tagger)).collect()
     assert sorted(tuple(r)[1:6] for r in out) == sorted(want(t) for t in rows)
+
+
+def test_added_spans(spark, held_out):
+    """Spans in forms that the patterns miss, planted in unseen documents: most are added, and next to nothing else."""
+    tagger, docs = held_out
+    rng, rows, planted = np.random.default_rng(99), [], {}
+    texts = [r.text for r in docs.orderBy("doc_id").collect() if r.text]
+    pool = [[t[a:b] for t in texts for a, k, b in base_spans(t) if k == kind] for kind in range(4)]
+    clean = [t for t in texts if not base_spans(t)]
+    for i, text in enumerate(clean):
+        at = text.find(" ", len(text) // 2) + 1
+        if i % 2 and at:
+            kind = i // 2 % 4
+            own = disguised(kind, pool[kind][i % len(pool[kind])], rng)
+            planted[i] = (at, kind, at + len(own))
+            text = text[:at] + own + " " + text[at:]
+        rows.append((i, text))
+    found = find_pii(spark.createDataFrame(rows, "doc_id long, text string"), tagger)
+    added = {(r.doc_id, s.start, KINDS.index(s.kind), s.end) for r in found.collect() for s in r.pii if not s.base}
+    right = {(i, *s) for i, s in planted.items()} & added
+    assert len(right) >= 0.85 * len(planted) and len(right) >= 0.9 * len(added)
+    for kind in range(4):
+        assert sum(k == kind for _, _, k, _ in right) >= 0.75 * sum(k == kind for _, k, _ in planted.values())

@@ -1,6 +1,8 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with a CRF that adds spans.
 
-The tagger is trained in numpy on spans labelled by the patterns in a bounded sample.
+The tagger is trained in numpy on spans labelled by the patterns in a bounded sample: as they
+stand, in forms that the patterns miss (spelled-out at signs, other separators, no plus), beside
+a second span that a greedy pattern runs into, and replaced by numbers that are no personal data.
 Texts are read in overlapping windows. Where windows overlap, each character takes its
 scores from the window in which it stands nearest to the middle, and one Viterbi pass
 over the joined stretch decodes it as a whole, so no window's edge cuts a span.
@@ -9,6 +11,7 @@ over the joined stretch decodes it as a whole, so no window's edge cuts a span.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,8 +30,8 @@ PATTERNS = {
 }
 #: Characters of a window, and how far the next one begins.
 WINDOW, STEP = 64, 32
-#: Training: documents looked at, windows kept of each kind and of none, passes, and the state of each direction.
-SAMPLE, PER_KIND, PASSES, STATE, EMBED = 4000, 250, 10, 16, 12
+#: Training: documents looked at (as many as have a hash under a threshold, so about), windows kept of each kind and form, passes, and the state of each direction.
+SAMPLE, PER_KIND, PASSES, STATE, EMBED = 4000, 150, 12, 16, 12
 #: A span of the tagger must score this much better than no span there.
 MARGIN = 4.0
 
@@ -74,11 +77,11 @@ def _codes(text: str) -> np.ndarray:
 
 
 CODES = 132
-_trigger = re.compile(r"[0-9@]")
+_trigger = re.compile(r"(?i)[0-9@]|[\[(]\s?(?:at|dot)\s?[\])]|\sdot\s")
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of ``text`` to decode: overlapping windows that hold a digit or an at sign, as every span of the kinds does.
+    """Stretches of ``text`` to decode: overlapping windows that hold a digit, an at sign or a spelled-out mark, as every span of the kinds does.
 
     Windows lie at multiples of STEP; those that follow each other are one stretch, with a window's half on each side.
     """
@@ -220,54 +223,120 @@ def _allowed() -> np.ndarray:
     return out
 
 
-def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of WINDOW characters and their tags: PER_KIND windows for each kind, and as many that hold a digit but no span."""
-    counts, codes, tags = [0] * (len(KINDS) + 1), [], []
+def _pick(rng: np.random.Generator, of: list):
+    return of[int(rng.integers(len(of)))]
+
+
+def disguised(kind: int, span: str, rng: np.random.Generator) -> str:
+    """A form of a span that the patterns miss."""
+    if kind == 0:
+        name, _, domain = span.partition("@")
+        at, dot = _pick(rng, [(" at ", " dot "), ("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), (" @ ", "."), (" @ ", " . "), ("[at]", ".")])
+        return name + at + domain.replace(".", dot)
+    if kind == 1:
+        return span.replace(".", _pick(rng, ["[.]", " . ", "(.)", " [.] ", "[dot]", " dot "]))
+    digits = re.sub("[^0-9]", "", span)
+    if kind == 2:
+        return _pick(rng, [".", "/", "_", "  ", " - ", "--"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    land, area, a, b = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
+    return _pick(rng, [f"({area}) {a}-{b}", f"({area}) {a} {b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}", f"00{land} {area} {a} {b}", f"00{land}-{area}-{a}-{b}", f"{area}/{a}/{b}", f"{area} {a} {b}"])
+
+
+def made(kind: int, rng: np.random.Generator) -> str:
+    """A span of a kind, to stand beside another."""
+    n = lambda size: "".join(map(str, rng.integers(0, 10, size)))
+    if kind == 1:
+        return ".".join(map(str, rng.integers(0, 256, 4)))
+    if kind == 2:
+        body = n(15)
+        body += next(d for d in "0123456789" if _luhn(body + d))
+        return _pick(rng, ["", " ", "-"]).join(body[i : i + 4] for i in range(0, 16, 4))
+    return f"+{rng.integers(1, 99)} " + _pick(rng, [f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)} {n(3)} {n(4)}", f"{n(3)}-{n(3)}-{n(4)}"])
+
+
+def decoy(rng: np.random.Generator) -> str:
+    """Digits that are no personal data: dates, times, prices, versions, counts, codes, long numbers."""
+    n = lambda size: "".join(map(str, rng.integers(0, 10, size)))
+    return _pick(rng, [f"20{n(2)}-0{rng.integers(1, 10)}-1{n(1)} 1{n(1)}:2{n(1)}:3{n(1)}", f"{n(1)}.{n(1)}.", f"v{n(1)}.{n(2)}.{n(1)}", f"${n(1)},{n(3)}.{n(2)}", n(4), n(7), n(8), f"{n(3)}-{n(4)}", rng.bytes(20).hex(), rng.bytes(6).hex(), f"{n(2)}/{n(2)}/20{n(2)}", f"#{n(6)}", f"{n(2)} {n(2)} {n(2)}", f"{n(3)} x {n(3)}", " dot ", " (at) ", f"{n(2)}%"])
+
+
+def _window(left: str, parts: list[tuple[str, int]], right: str, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of a window: some of what is on the left, the parts (a kind of -1 is no span), and what is on the right."""
+    text = left[len(left) - min(len(left), int(rng.integers(0, WINDOW // 2))) :]
+    spans = []
+    for body, kind in parts:
+        if kind >= 0:
+            spans.append((len(text), kind, len(text) + len(body)))
+        text += body
+    text = (text + right)[:WINDOW]
+    codes, tags = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
+    codes[: len(text)] = _codes(text)
+    tags[:] = _tags([(a, k, min(b, WINDOW)) for a, k, b in spans if a < WINDOW], WINDOW)
+    return codes, tags
+
+
+def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of WINDOW characters, their tags and their forms: for each span as it is, disguised, beside another and replaced, and windows without one.
+
+    Where a pattern of phones or addresses has matched what does not hold, nothing is known, and no window is taken.
+    """
+    found: dict[int, list] = {}
     for text in texts:
         spans = base_spans(text)
-        whole = _tags(spans, len(text))
-        places = [(s[1], s[0] - (17 * s[0]) % (WINDOW // 2)) for s in spans] + [(len(KINDS), m.start() - 20) for m in list(_trigger.finditer(text))[:3] if not whole[m.start()]]
-        for kind, a in places:
-            if counts[kind] < PER_KIND:
-                a = max(0, a)
-                part = np.zeros(WINDOW, np.int64)
-                own = _codes(text[a : a + WINDOW])
-                part[: len(own)] = own
-                label = np.zeros(WINDOW, np.int64)
-                label[: len(own)] = whole[a : a + WINDOW]
-                if label[0] and label[0] % 2 == 0:
-                    continue  # the window would begin inside a span
-                counts[kind] += 1
-                codes.append(part)
-                tags.append(label)
-    return np.array(codes).reshape(-1, WINDOW), np.array(tags).reshape(-1, WINDOW)
+        for at, (a, kind, b) in enumerate(spans):
+            rng = np.random.default_rng(zlib.crc32(text[max(0, a - 20) : b].encode()))
+            lo, hi = spans[at - 1][2] if at else 0, spans[at + 1][0] if at + 1 < len(spans) else len(text)
+            if lo > a or hi < b:
+                continue
+            left, own, right = text[max(lo, a - WINDOW) : a], text[a:b], text[b : min(hi, b + WINDOW)]
+            other = int(rng.integers(1, len(KINDS)))
+            beside = [(own, kind), (_pick(rng, [" ", " ", ", ", "; "]), -1), (made(other, rng), other)]
+            forms = [[(own, kind)], [(disguised(kind, own, rng), kind)], beside if rng.random() < 0.5 else beside[::-1], [(decoy(rng), -1)]]
+            for form, parts in enumerate(forms):
+                found.setdefault(form * len(KINDS) + (kind if form < 3 else 0), []).append(_window(left, parts, right, rng))
+        unknown = [m.span() for k in ("phone", "ip") for m in PATTERNS[k].finditer(text)] + [(a, b) for a, _, b in spans]
+        rng = np.random.default_rng(zlib.crc32(text[:200].encode()))
+        for m in list(_trigger.finditer(text))[:3]:
+            a = max(0, m.start() - int(rng.integers(0, WINDOW // 2)))
+            if not any(a < hi and lo < a + WINDOW for lo, hi in unknown):
+                found.setdefault(4 * len(KINDS), []).append(_window("", [(text[a : a + WINDOW], -1)], "", rng))
+    rows = [(codes, tags, form) for form in sorted(found) for codes, tags in found[form][: 2 * PER_KIND]]
+    return tuple(np.array([r[i] for r in rows], np.int64).reshape((-1, WINDOW) if i < 2 else -1) for i in range(3))
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
-    """Fit a tagger on the SAMPLE documents with a digit whose text hashes least; None where they hold no span."""
-    rows = texts(df, id_col, text_col).filter(F.col("text").rlike("[0-9][^\\n]{0,40}[0-9]")).filter(F.length("text") <= 20_000)
-    rows = rows.orderBy(F.xxhash64("text")).limit(SAMPLE)
+    """Fit a tagger on some SAMPLE documents that hold an at sign or two digits; None where they hold no span.
+
+    The sample is what has a hash under a threshold that follows from their number, each text once, so no
+    task gathers more than its own part of it. Texts are cut into windows where they are read.
+    """
+    rows = texts(df, id_col, text_col).select("text").filter(F.col("text").rlike("@|[0-9][^\\n]{0,40}[0-9]"))
+    total = rows.count()
+    if not total:
+        return None
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    chosen = rows.withColumn("k", place).filter(F.col("k") < int(min(1.0, SAMPLE / total) * (1 << 40))).groupBy("k").agg(F.first("text").alias("text"))
 
     def cut(batch: list) -> dict:
         out = []
         for text in batch:
-            codes, tags = examples([text])
-            out.append({"codes": codes.astype("<i2").tobytes(), "tags": tags.astype("<i2").tobytes()})
+            out.append(dict(zip(("codes", "tags", "forms"), (x.astype("<i2").tobytes() for x in examples([text])))))
         return {"found": out}
 
-    found = add_columns(rows.repartition(6), ["text"], cut, "found struct<codes: binary, tags: binary>").select("found.codes", "found.tags")
-    codes, tags = [], []
+    found = add_columns(chosen, ["text"], cut, "found struct<codes: binary, tags: binary, forms: binary>", 64).select("found.*")
+    parts: list[list] = [[], [], []]
     for r in found.toLocalIterator():
-        codes.append(np.frombuffer(bytes(r.codes), "<i2").reshape(-1, WINDOW))
-        tags.append(np.frombuffer(bytes(r.tags), "<i2").reshape(-1, WINDOW))
-    codes, tags = (np.concatenate(x).astype(np.int64) if x else np.empty((0, WINDOW), np.int64) for x in (codes, tags))
+        for part, own in zip(parts, r):
+            part.append(np.frombuffer(bytes(own), "<i2"))
+    codes, tags, forms = (np.concatenate(x or [np.empty(0, "<i2")]).astype(np.int64) for x in parts)
+    codes, tags = codes.reshape(-1, WINDOW), tags.reshape(-1, WINDOW)
     if not tags.any():
         return None
     keep, counts = [], {}
-    for i in np.lexsort(codes.T[::-1]):  # in an order that does not depend on how Spark dealt the rows
-        kind = int(tags[i].max())
-        if counts.get(kind, 0) < PER_KIND:
-            counts[kind] = counts.get(kind, 0) + 1
+    for i in np.lexsort(codes.T[::-1])[np.random.default_rng(4).permutation(len(codes))]:  # in an order that does not depend on how Spark dealt the rows
+        form = int(forms[i])
+        if counts.get(form, 0) < PER_KIND * (1 if form < 3 * len(KINDS) else 3):
+            counts[form] = counts.get(form, 0) + 1
             keep.append(i)
     tagger = Tagger()
     tagger.fit(codes[keep], tags[keep])
@@ -336,15 +405,24 @@ def tagged_spans(tagger: Tagger, batch: list[str]) -> list[list[tuple[int, int,
 
 def _plausible(kind: int, text: str) -> bool:
     """What a span of the tagger must hold besides its score."""
-    digits = sum("0" <= c <= "9" for c in text)
-    return "@" in text[1:-1] if kind == 0 else text.count(".") == 3 and digits >= 4 if kind == 1 else digits >= (12 if kind == 2 else 9)
+    numbers = re.findall("[0-9]+", text)
+    digits = "".join(numbers)
+    if kind == 0:
+        return bool(re.search(r"(?i).(@|\bat\b).+(\.|\bdot\b).", text))
+    if kind == 1:
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and _luhn(digits)
+    return 10 <= len(digits) <= 15 and not re.search("[A-Za-z]", text)
 
 
 def find_pii(df: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
     """All columns and ``pii``: spans ``start, kind, end, base`` (code points), by start, then kind as listed.
 
     Base spans are those of the patterns. The tagger adds spans that meet no base span and hold what
-    their kind cannot lack (an at sign; three dots; 12 or 9 digits); without a tagger there are none. Every whole text is read; a null text counts as empty.
+    their kind cannot lack (an at and a dot, also in words; four numbers up to 255; 14 to 19 digits that pass
+    Luhn; 10 to 15 digits); without a tagger there are none. Every whole text is read, a slice of bounded
+    bytes at a time; a null text counts as empty, an empty table gives an empty one.
     Ids, repeated rows and further columns do not matter (one called ``pii`` is replaced).
     """
     shared = df.sparkSession.sparkContext.broadcast(tagger)
