@@ -17,6 +17,8 @@ LANGUAGES = "ca zh da nl en fi fr de ha hi hu it ja lt no pt ro ru es sv tr".spl
 LOGOGRAMS = ("zh", "ja")
 # The shortest title part that stands for a title; the most text that is searched or split.
 TITLE_PART, TEXT_LIMIT = 32, 1 << 20
+# The word that stands for a mark between title parts, the marks, and the most characters of a title.
+PART_WORD, PART_MARKS, TITLE_CHARS = "SEPSEP", r"(?:- )|[:|]", 1023
 _BLOCKS = "(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|blockquote|section|article|hr)\\b[^>]*>"
 
 
@@ -96,16 +98,16 @@ def guess_language(text: Column) -> Column:
 
 
 def _plain_title(title: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(title, r"<[^<]*>", ""), r"(?i)&#?[a-z0-9]*", "")
-    out = F.regexp_replace(F.lower(out), r"(?:- )|[:|]", "SEPSEP")
-    out = F.regexp_replace(F.regexp_replace(out, r"[!-/:-@\[-`{-~]", ""), r"\s+", " ")
-    return F.substring(out, 1, 1023)
+    """Lower case without tags, entities and ASCII punctuation; PART_WORD stands where parts meet."""
+    bare = F.regexp_replace(F.regexp_replace(title, r"<[^<]*>", ""), r"(?i)&#?[a-z0-9]*", "")
+    parted = F.regexp_replace(F.lower(bare), PART_MARKS, PART_WORD)
+    return F.left(F.regexp_replace(F.regexp_replace(parted, r"\p{Punct}", ""), r"\s+", " "), F.lit(TITLE_CHARS))
 
 
 def normalized_title(title: Column, medium: Column) -> Column:
     """The longest part of a title, if it has TITLE_PART characters and is not the medium's name; else the title."""
     plain, name = _plain_title(title), _plain_title(medium)
-    parts = F.split(plain, " *SEPSEP *")
+    parts = F.split(plain, f" *{PART_WORD} *")
     longest = F.array_max(F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("at"), p.alias("p"))))["p"]
     return F.when((longest == plain) | (F.length(longest) < TITLE_PART) | (name == longest), plain).otherwise(longest)
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from tidings.plans import graph, health, relational, search, text, topics  # noqa: F401
+from tidings.plans import graph, health, mining, relational, search, text, topics  # noqa: F401
 from tidings.plans.registry import QUERIES  # noqa: F401
