@@ -80,13 +80,17 @@ def stem(word: Column, language: Column | str = "en") -> Column:
     return F.when(lang == "en", cut("(?:ingly|edly|ing|ed|ies|es|s|ly)$")).when(lang == "de", cut("(?:ern|em|en|er|es|e|s|n)$")).when(lang == "fr", cut("(?:ements?|euses?|ions?|ent|es|er|e|s)$")).when(lang == "es", cut("(?:amente|mente|iones|ión|os|as|es|o|a|e|s)$")).otherwise(word)
 
 
-def is_stop_word(word: Column, language: Column) -> Column:
-    """English and the language's own list together."""
-    out = word.isin(STOP_WORDS["en"])
+def drop_stop_words(tokens: Column, language: Column) -> Column:
+    """The words that are neither in the English list nor in that of the language; one look at a hashed set for each."""
+
+    def without(stop: list[str]) -> Column:
+        return F.filter(tokens, lambda w: ~w.isin(stop))
+
+    out = F.when(F.lit(False), tokens)
     for lang, own in STOP_WORDS.items():
         if lang != "en":
-            out = out | ((language == lang) & word.isin(own))
-    return out
+            out = out.when(language == lang, without(sorted({*own, *STOP_WORDS["en"]})))
+    return out.otherwise(without(STOP_WORDS["en"]))
 
 
 def guess_language(text: Column) -> Column:

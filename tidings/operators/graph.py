@@ -36,12 +36,32 @@ def top_nodes(nodes: DataFrame, by: str, n: int = 1000, key: str = "media_id") -
 def near_centre(nodes: DataFrame, times: float = 2.0) -> DataFrame:
     """Nodes with ``x, y`` within ``times`` the median distance from the mean position."""
     centre = F.broadcast(nodes.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
-    far = nodes.crossJoin(centre).withColumn("far", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
-    # the element at n / 2 of the sorted distances
-    middle = F.broadcast(far.agg(F.sort_array(F.collect_list("far")).alias("d")).select(F.col("d")[F.floor(F.size("d") / 2).cast("int")].alias("middle")))
+    far = materialize(nodes.crossJoin(centre).withColumn("far", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)), "distances")
+    middle = F.broadcast(element_at(far, "far").select(F.col("far").alias("middle")))
     return far.crossJoin(middle).filter(F.col("far") <= F.lit(times) * F.col("middle")).select(*nodes.columns)
 
 
+def element_at(rows: DataFrame, column: str, bins: int = 10_000) -> DataFrame:
+    """One row: the element at n / 2 of the sorted values.
+
+    Values are counted in bins between the least and the most; the bin that holds the element is binned
+    again until it is of one value, so no task sees more than the counts of the bins.
+    """
+    now, skip = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null"), None
+    while True:
+        ends = now.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).first()
+        skip = ends.n // 2 if skip is None else skip
+        if ends.lo is None or ends.lo == ends.hi:
+            return rows.sparkSession.createDataFrame([(ends.lo,)], f"`{column}` double")
+        place = F.least(F.floor((F.col("v") - ends.lo) / (ends.hi - ends.lo) * bins), F.lit(bins - 1))
+        counts = sorted((r.b, r.n) for r in now.groupBy(place.alias("b")).agg(F.count("*").alias("n")).collect())
+        for b, n in counts:
+            if skip < n:
+                break
+            skip -= n
+        now = now.filter(place == b)
+
+
 def scaled(nodes: DataFrame, by: str, least: float, most: float) -> DataFrame:
     """Node sizes by the share of the largest value."""
     top = F.broadcast(nodes.agg(F.max(by).alias("top")))

@@ -111,15 +111,20 @@ def medium_links(links: DataFrame, stories: DataFrame) -> DataFrame:
 def top_tenth(counts: DataFrame) -> DataFrame:
     """The first tenth by media inlinks (rounded up), of which those with more inlinks than the first miss less one.
 
-    The bar is found by a top-k of the counts, so no task sorts them all.
+    A tenth of all rows is no top-k: the count of media inlinks at the border comes from one aggregate by
+    that count (as many rows as there are media at most), and only rows tied at the border are ranked.
     """
-    total = counts.count()
-    n = -(-total // 10)
-    head = counts.orderBy(F.desc("media_inlinks"), "stories_id").limit(n + 1)
-    w = Window.orderBy(F.desc("media_inlinks"), "stories_id")
-    ranked = head.withColumn("k", F.row_number().over(w))
-    bar = F.broadcast(ranked.filter(F.col("k") == n + 1).select((F.col("inlinks") - 1).alias("bar")))
-    return ranked.filter(F.col("k") <= n).crossJoin(bar).filter("inlinks > bar").select("stories_id")
+    per = counts.groupBy("media_inlinks").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("media_inlinks")))
+    wanted = F.broadcast(per.agg(F.ceil(F.sum("n") / 10).cast("long").alias("wanted")))
+    ranked = per.withColumn("upto", upto).crossJoin(wanted)
+    # the first miss has the greatest rank wanted + 1: all above its value are in, and some of its ties
+    edge = F.broadcast(ranked.filter("upto > wanted").agg(F.max_by(F.struct("media_inlinks", (F.col("wanted") - F.col("upto") + F.col("n")).alias("ties")), "media_inlinks").alias("e")).select("e.*").withColumnRenamed("media_inlinks", "edge"))
+    at_edge = counts.crossJoin(edge).filter("media_inlinks = edge")
+    first_ties = at_edge.withColumn("k", F.row_number().over(Window.orderBy("stories_id")))
+    bar = F.broadcast(first_ties.filter("k = ties + 1").select((F.col("inlinks") - 1).alias("bar")))
+    above = counts.crossJoin(edge).filter("media_inlinks > edge").select("stories_id", "inlinks")
+    return above.union(first_ties.filter("k <= ties").select("stories_id", "inlinks")).crossJoin(bar).filter("inlinks > bar").select("stories_id")
 
 
 def one_per_host(pending: DataFrame, host: str, order: list[Column]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.text import is_stop_word, stem, words
+from tidings.functions.text import drop_stop_words, stem, words
 
 # Characters of a sentence that are counted, and how often a word counts in one sentence.
 SENTENCE_CHARS, MOST_IN_SENTENCE = 1024, 3
@@ -17,25 +17,24 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def sentence_words(sentences: DataFrame, n: int = 1, stop_words: bool = True) -> DataFrame:
-    """``sentence, language, word`` for each word (or n-gram) of each distinct sentence."""
-    rows = sentences.select("sentence", "language").distinct()
+def word_counts(sentences: DataFrame, n: int = 1, stop_words: bool = True, stemmed: bool = False) -> DataFrame:
+    """``stem, term, count`` of words (or n-grams) of distinct sentences: a stem's most used term (ties to the least) and its capped count.
+
+    The cap is applied inside the row: in the sorted words of a sentence a stem counts unless the same one
+    stands MOST_IN_SENTENCE places before. So one aggregate by stem and word is all that is shuffled then.
+    """
+    rows = sentences.groupBy("sentence").agg(F.collect_set(F.coalesce("language", F.lit(""))).alias("languages"))
     clean = F.regexp_replace(F.substr("sentence", F.lit(1), F.lit(SENTENCE_CHARS)), r"https?://\S+", " ")
     own = F.filter(words(clean), lambda w: ~w.rlike("^[0-9]+$"))
-    rows = rows.withColumn("tokens", own)
-    if stop_words:
-        rows = rows.withColumn("tokens", F.filter("tokens", lambda w: ~is_stop_word(w, F.col("language"))))
-    return rows.select("sentence", "language", F.explode(_ngrams(F.col("tokens"), n)).alias("word"))
 
+    def named(language: Column) -> Column:
+        kept = _ngrams(drop_stop_words(F.col("own"), language) if stop_words else F.col("own"), n)
+        return F.transform(kept, lambda w: F.struct((stem(w, language) if stemmed else w).alias("stem"), w.alias("word")))
 
-def word_counts(sentences: DataFrame, n: int = 1, stop_words: bool = True, stemmed: bool = False) -> DataFrame:
-    """``stem, term, count``: a stem's most used term (ties to the least) and its capped count."""
-    rows = sentence_words(sentences, n, stop_words).withColumn("stem", stem(F.col("word"), F.col("language")) if stemmed else F.col("word"))
-    once = rows.groupBy("sentence", "stem", "word").agg(F.count("*").alias("c"))
-    capped = once.groupBy("sentence", "stem").agg(F.least(F.sum("c"), F.lit(MOST_IN_SENTENCE)).alias("n"))
-    totals = capped.groupBy("stem").agg(F.sum("n").alias("count"))
-    terms = once.groupBy("stem", "word").agg(F.sum("c").alias("c")).groupBy("stem").agg(F.min_by("word", F.struct(-F.col("c"), F.col("word"))).alias("term"))
-    return totals.join(terms, "stem").select("stem", "term", "count")
+    rows = rows.select("languages", own.alias("own")).select(F.array_sort(F.flatten(F.transform("languages", named))).alias("w"))
+    counts = lambda x, i: F.struct(x["stem"].alias("stem"), x["word"].alias("word"), (~F.get("w", i - MOST_IN_SENTENCE)["stem"].eqNullSafe(x["stem"])).cast("int").alias("n"))
+    each = rows.select(F.inline(F.transform("w", counts))).groupBy("stem", "word").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    return each.groupBy("stem").agg(F.min_by("word", F.struct(-F.col("c"), F.col("word"))).alias("term"), F.sum("n").alias("count"))
 
 
 def word_list(sentences: DataFrame, num_words: int = 500, sample: int | None = None, seed: int = 1, **how) -> DataFrame:
@@ -46,7 +45,8 @@ def word_list(sentences: DataFrame, num_words: int = 500, sample: int | None = N
 
 def word_matrix(sentences: DataFrame, most: int | None = None) -> DataFrame:
     """``stories_id, stem, count``; ``most`` keeps the commonest stems."""
-    own = F.filter(words(F.substr("sentence", F.lit(1), F.lit(SENTENCE_CHARS))), lambda w: ~w.rlike("^[0-9]+$") & ~is_stop_word(w, F.col("language")))
+    own = F.filter(words(F.substr("sentence", F.lit(1), F.lit(SENTENCE_CHARS))), lambda w: ~w.rlike("^[0-9]+$"))
+    own = drop_stop_words(own, F.col("language"))
     rows = sentences.select("stories_id", F.explode(own).alias("stem")).groupBy("stories_id", "stem").agg(F.count("*").alias("count"))
     if most is None:
         return rows
