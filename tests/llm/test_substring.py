@@ -48,12 +48,46 @@ def test_planted_passages(spark):
     for r in spans.collect():
         found.setdefault(r.doc_id, []).append(r)
     assert not set(found) - set(held)
-    assert len(found) >= 0.95 * len(held)
+    assert set(found) == set(held)
     text = {d: t for d, t, *_ in rows if d is not None}
     for d, own in found.items():
         for r in own:
             assert text[d][r.start : r.end] in text[r.first_doc_id] and r.dropped == (r.first_doc_id != d)
-        assert sum(r.n_words for r in own) >= 16
+        at = text[d].index(held[d])
+        assert sum(max(0, min(r.end, at + len(held[d])) - max(r.start, at)) for r in own) == len(held[d])
     cut = {r.doc_id: r.text for r in drop_repeats(df, spans).collect()}
     assert len(cut[20]) < len(text[20]) and cut[1] == text[1] and cut[500] is None
     assert repeated_passages(df.limit(0)).count() == 0
+
+
+def test_against_brute_force(spark):
+    """Texts with a span are those that hold a window of words which is found twice, in one text or several."""
+    rng = random.Random(5)
+    pool = [words(rng, rng.randint(40, 70)) for _ in range(40)]
+    rows = []
+    for d in range(300):
+        parts = [words(rng, rng.randint(0, 60)) for _ in range(3)]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(pool))
+        rows.append((d, " ".join(p for p in parts if p)))
+    once = words(rng, 90)
+    rows += [(400, once + " " + words(rng, 30) + " " + once), (401, words(rng, 400)), (402, ""), (403, None)]
+
+    def repeated(n):
+        seen, out = {}, set()
+        for d, t in rows:
+            w = (t or "").split()
+            for i in range(len(w) - n + 1):
+                seen.setdefault(tuple(w[i : i + n]), set()).add((d, i))
+        for places in seen.values():
+            if len(places) > 1:
+                out |= {d for d, _ in places}
+        return out
+
+    spans = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found, text = {r.doc_id for r in spans}, dict(rows)
+    assert repeated(51) <= found <= repeated(48) and len(repeated(51)) > 50
+    own = sorted((r.start, r.dropped) for r in spans if r.doc_id == 400)
+    assert [d for _, d in own] == [False, True]
+    for r in spans:
+        assert abs(len(text[r.doc_id][r.start : r.end].split()) - r.n_words) <= 1 + r.n_words // 10

@@ -1,8 +1,10 @@
 """Substring deduplication by content-defined chunks.
 
 A gear rolling hash over the last WINDOW bytes sets chunk borders, so an insertion moves
-only the borders near it. Chunks are compared by digest. Chunks in a row that other
-documents hold too make a repeated passage when they have LEAST_WORDS words or more.
+only the borders near it. Chunks are compared by digest. Chunks in a row that are found
+elsewhere too are a run; what stands beside its ends is compared with what stands beside the
+same chunks elsewhere, which moves the ends to the true edges of the passage. It counts
+when it has LEAST_WORDS words or more.
 """
 
 from __future__ import annotations
@@ -12,13 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import add_columns, map_texts, texts
+from tidings.llm.common import add_columns, texts
 from tidings.operators.storage import materialize
 
 #: Bytes that decide on a border, least bytes of a chunk, mean bytes from there to the next border, most bytes of a chunk.
 WINDOW, LEAST, GAP, MOST = 16, 16, 24, 256
-#: Words that whole chunks of a repeated passage must cover. A passage of 50 words loses its two ends, of some 40 bytes each, to chunks that reach beyond it.
-LEAST_WORDS = 16
+#: Words of a repeated passage, and words that its whole chunks must cover to be looked at.
+LEAST_WORDS, LEAST_INNER = 50, 6
+#: Code points beside a run that are compared: more than a chunk has.
+BESIDE = 300
 
 _gear = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -54,72 +58,161 @@ def borders(data: np.ndarray) -> list[int]:
     return out
 
 
+def _begins(data: np.ndarray) -> np.ndarray:
+    """Where words begin in UTF-8 bytes."""
+    letter = (data != 32) & ((data < 9) | (data > 13))
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    return begins
+
+
 def _chunked(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, ends, words``: for each chunk its digest, its end in code points, and the words that begin in it."""
+    """``doc_id, k, h, ends, words``: for each chunk of a text its digest, its end in code points, and the words begun up to there."""
 
-    def per_batch(ids: list, batch: list) -> dict:
-        out = {"doc_id": ids, "h": [], "ends": [], "words": []}
+    def per_batch(batch: list) -> dict:
+        out = {"h": [], "ends": [], "words": []}
         for text in batch:
             raw = text.encode()
             data = np.frombuffer(raw, np.uint8)
             ends = borders(data)
             starts = [0, *ends[:-1]] if ends else []
             out["h"].append([xxhash.xxh3_64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(starts, ends)])
-            letter = (data != 32) & ((data < 9) | (data > 13))
-            begins = letter.copy()
-            begins[1:] &= ~letter[:-1]
             at = np.array(ends, np.int64)
-            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-            words = np.concatenate([[0], np.cumsum(begins)])
-            out["ends"].append(points[at].astype(np.int32))
-            out["words"].append(words[at].astype(np.int32))
+            out["ends"].append(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at].astype(np.int32))
+            out["words"].append(np.concatenate([[0], np.cumsum(_begins(data))])[at].astype(np.int32))
         return out
 
-    return map_texts(docs, per_batch, "doc_id long, h array<long>, ends array<int>, words array<int>", 128)
+    return add_columns(docs, ["text"], per_batch, "h array<long>, ends array<int>, words array<int>", 128, drop=["text"])
+
+
+def _runs(hits: list, ends: list, words: list) -> list[dict]:
+    """Runs of hit chunks of one text, cut where kept and dropped ones meet; with the places elsewhere of both ends."""
+    at = {x["place"]: x for x in hits}
+    found, run = [], []
+    for place in [*sorted(at), None]:
+        if run and (place is None or place != run[-1] + 1 or at[place]["own"] != at[run[-1]]["own"]):
+            lo, hi = run[0], run[-1]
+            n = words[hi] - (words[lo - 1] if lo else 0)
+            if n >= LEAST_INNER:
+                found.append({"start": ends[lo - 1] if lo else 0, "end": ends[hi], "n_words": n, "dropped": not at[lo]["own"], "first_doc_id": at[lo]["first"]["doc_id"], "left": at[lo]["other"], "right": at[hi]["other"]})
+            run = []
+        run.append(place)
+    return found
+
+
+def _common(own: str, other: str, side: int) -> int:
+    """Code points that two neighbourhoods share from the run's end on."""
+    if side == 0:
+        own, other = own[::-1], other[::-1]
+    n = min(len(own), len(other))
+    if own[:n] == other[:n]:
+        return n
+    lo, hi = 0, n
+    while lo < hi:  # the longest common prefix by halving
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if own[:mid] == other[:mid] else (lo, mid - 1)
+    return lo
+
+
+def _apart(spans: list[dict], least_words: int) -> list[dict]:
+    """Spans of one text that do not overlap: dropped ones go first, then longer ones; a rest counts by its share of the words."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (not s["dropped"], s["start"] - s["end"], s["start"])):
+        rests = [(s["start"], s["end"])]
+        for o in out:
+            rests = [(a, b) for lo, hi in rests for a, b in ((lo, min(hi, o["start"])), (max(lo, o["end"]), hi)) if a < b]
+        whole = s["end"] - s["start"]
+        for a, b in rests:
+            n = s["n_words"] if b - a == whole else s["n_words"] * (b - a) // whole
+            # what is left of a place that goes anyway goes too, however short
+            if n >= least_words or s["dropped"]:
+                out.append({**s, "start": a, "end": b, "n_words": n})
+    return out
 
 
-def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, end, n_words, first_doc_id, dropped``: spans (code points) of passages found in several documents.
+def _extended(ends: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, k, start, side, more, more_words``: how far each end of a run goes on as it does elsewhere.
 
-    ``first_doc_id`` is the smallest id that holds a chunk of the span; ``dropped`` is false where that is
-    the document itself, so one copy of each passage stays. Rows with a null id take no part; rows that
-    repeat an id are one document, and repeats inside one document do not count. Null and empty texts have
-    no passage. Other columns are not read; an empty table gives an empty one.
+    ``ends``: doc_id, k, start, side (0 left, 1 right), at, and od, ok, oat for the place elsewhere. Each text
+    that holds an end or its partner is read once and gives BESIDE code points for each.
     """
-    chunks = materialize(_chunked(texts(df, id_col, text_col).filter("doc_id is not null")), "chunks")
-    holders = chunks.select("doc_id", F.explode("h").alias("h")).groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = materialize(holders.filter("first <> last").select("h", "first"), "shared")
-    places = chunks.select("doc_id", F.posexplode("h").alias("place", "h"))
-    hits = materialize(places.join(shared, "h").select("doc_id", "place", "first"), "hits")
-    of_doc = hits.groupBy("doc_id").agg(F.collect_set(F.struct("place", "first")).alias("hits"))
-    rows = of_doc.join(chunks.select("doc_id", "ends", "words"), "doc_id")
-
-    def runs(ids: list, hits: list, ends: list, words: list) -> dict:
+    here = ends.select("doc_id", "k", "at", "side").union(ends.select("od", "ok", "oat", "side"))
+    wanted = here.groupBy("doc_id", "k").agg(F.collect_set(F.struct("at", "side")).alias("wanted"))
+
+    def cut(batch: list, wanted: list) -> dict:
         out = []
-        for doc, found, at, begun in zip(ids, hits, ends, words):
-            first = {}
-            for x in found:
-                first[x["place"]] = min(x["first"], first.get(x["place"], x["first"]))
-            spans, run = [], []
-            for place in [*sorted(p for p in first if p < len(at)), None]:
-                if run and (place is None or place != run[-1] + 1):
-                    if begun[run[-1]] - (begun[run[0] - 1] if run[0] else 0) >= least_words:
-                        cut = [0, *(k for k in range(1, len(run)) if (first[run[k]] == doc) != (first[run[k - 1]] == doc)), len(run)]
-                        for a, b in zip(cut, cut[1:]):
-                            head = run[a] - 1
-                            spans.append({"start": at[head] if run[a] else 0, "end": at[run[b - 1]], "n_words": begun[run[b - 1]] - (begun[head] if run[a] else 0), "first_doc_id": min(first[p] for p in run[a:b]), "dropped": first[run[a]] != doc})
-                    run = []
-                run.append(place)
-            out.append(spans)
-        return {"spans": out}
-
-    found = add_columns(rows, ["doc_id", "hits", "ends", "words"], runs, "spans array<struct<start: int, end: int, n_words: int, first_doc_id: long, dropped: boolean>>")
-    return found.select("doc_id", F.inline("spans")).distinct()
-
-
-def drop_repeats(df: DataFrame, passages: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the dropped spans cut out of its texts; column order stays."""
-    gone = passages.filter("dropped").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_tidings_spans"))
+        for t, own in zip(batch, wanted):
+            out.append([{**w, "lead": t[max(0, w["at"] - 1) : w["at"]], "s": t[w["at"] : w["at"] + BESIDE] if w["side"] else t[max(0, w["at"] - BESIDE) : w["at"]]} for w in own])
+        return {"found": out}
+
+    found = add_columns(docs.join(wanted, ["doc_id", "k"]), ["text", "wanted"], cut, "found array<struct<at: int, side: int, lead: string, s: string>>", 128, drop=["text", "wanted"])
+    beside = materialize(found.select("doc_id", "k", F.inline("found")).distinct(), "beside")
+    other = beside.select(F.col("doc_id").alias("od"), F.col("k").alias("ok"), F.col("at").alias("oat"), "side", F.col("s").alias("other"))
+    rows = ends.join(other, ["od", "ok", "oat", "side"]).select("doc_id", "k", "start", "at", "side", "other").join(beside, ["doc_id", "k", "at", "side"])
+
+    def compare(side: list, lead: list, own: list, other: list) -> dict:
+        more, more_words = [], []
+        for right, before, x, y in zip(side, lead, own, other):
+            n = _common(x, y, right)
+            if right:  # a word that began before the end is counted there
+                words = int(_begins(np.frombuffer((before + x[:n]).encode(), np.uint8)).sum()) - len(before.split())
+            else:
+                words = len(x[len(x) - n :].split()) - (n > 0 and not x[-1].isspace()) if n else 0
+            more.append(n)
+            more_words.append(words)
+        return {"more": more, "more_words": more_words}
+
+    return add_columns(rows, ["side", "lead", "s", "other"], compare, "more int, more_words int", drop=["at", "lead", "s", "other"])
+
+
+def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text_hash, start, end, n_words, first_doc_id, dropped``: spans (code points) of passages found more than once.
+
+    A passage is found in several documents or several times in one. ``dropped`` is false for its first
+    place (least id, then text, then position), so one copy of each stays; ``first_doc_id`` is the id of
+    that place. Rows with a null id take no part. Rows that repeat an id and a text are one; ``text_hash``
+    tells several texts of one id apart. Spans of a text do not overlap; ``n_words`` of one that is cut by
+    another is its share. Null and empty texts have no passage. Texts of any length are
+    read whole, a slice of bounded bytes at a time; an empty table gives an empty one. Other columns are
+    not read.
+    """
+    docs = texts(df, id_col, text_col).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("k"), "text")
+    chunks = materialize(_chunked(docs), "chunks")
+    zipped = F.arrays_zip("h", F.concat(F.array(F.lit(0)), F.col("ends")).alias("start"), F.col("ends").alias("end"))
+    places = chunks.select("doc_id", "k", F.posexplode(F.slice(zipped, 1, F.size("h"))).alias("place", "c")).select("doc_id", "k", "place", "c.*")
+    place = F.struct("doc_id", "k", "place", "start", "end")
+    holders = places.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    shared = materialize(holders, "shared")
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("k") == F.col("first.k")) & (F.col("place") == F.col("first.place"))
+    hits = places.join(shared, "h").withColumn("own", own).select("doc_id", "k", "place", "own", "first", F.when(F.col("own"), F.col("last")).otherwise(F.col("first")).alias("other"))
+    of_doc = hits.groupBy("doc_id", "k").agg(F.collect_set(F.struct("place", "own", "first", "other")).alias("hits"))
+    rows = of_doc.join(chunks.dropDuplicates(["doc_id", "k"]).select("doc_id", "k", "ends", "words"), ["doc_id", "k"])
+
+    def runs(hits: list, ends: list, words: list) -> dict:
+        return {"runs": [[{**r, **{x: {"od": r[x]["doc_id"], "ok": r[x]["k"], "oat": r[x]["end" if x == "right" else "start"]} for x in ("left", "right")}} for r in _runs(*row)] for row in zip(hits, ends, words)]}
+
+    end = "struct<od: long, ok: long, oat: int>"
+    found = add_columns(rows, ["hits", "ends", "words"], runs, f"runs array<struct<start: int, end: int, n_words: int, dropped: boolean, first_doc_id: long, left: {end}, right: {end}>>", drop=["hits", "ends", "words"])
+    found = materialize(found.select("doc_id", "k", F.inline("runs")), "runs")
+    side = lambda n, at, of: found.select("doc_id", "k", "start", F.lit(n).alias("side"), F.col(at).alias("at"), f"{of}.od", f"{of}.ok", f"{of}.oat")
+    more = _extended(side(0, "start", "left").union(side(1, "end", "right")), docs.dropDuplicates(["doc_id", "k"]))
+    of_side = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
+    more = more.groupBy("doc_id", "k", "start").agg(of_side(0, "more").alias("left"), of_side(1, "more").alias("right"), F.sum("more_words").alias("words"))
+    grown = found.drop("left", "right").join(more, ["doc_id", "k", "start"]).select(
+        "doc_id", "k", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"), (F.col("n_words") + F.col("words")).cast("int").alias("n_words"), "first_doc_id", "dropped"
+    ).filter(F.col("n_words") >= least_words)
+    of_text = grown.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "end", "n_words", "first_doc_id", "dropped")).alias("spans"))
+
+    def settled(batch: list) -> dict:
+        return {"spans": [_apart(spans, least_words) for spans in batch]}
+
+    spans = add_columns(of_text, ["spans"], settled, "spans array<struct<start: int, end: int, n_words: int, first_doc_id: long, dropped: boolean>>")
+    return spans.select("doc_id", F.col("k").alias("text_hash"), F.inline("spans"))
+
+
+def drop_repeats(df: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with the dropped spans cut out of its texts; null texts, column order and all other columns stay."""
+    gone = passages.filter("dropped").groupBy(F.col("doc_id").alias("_tidings_id"), F.col("text_hash").alias("_tidings_k")).agg(F.collect_set(F.struct("start", "end")).alias("_tidings_spans"))
 
     def cut(batch: list, spans: list) -> dict:
         out = []
@@ -129,4 +222,6 @@ def drop_repeats(df: DataFrame, passages: DataFrame, text_col: str = "text") ->
             out.append(text)
         return {text_col: out}
 
-    return add_columns(df.join(gone, "doc_id", "left"), [text_col, "_tidings_spans"], cut, f"`{text_col}` string").select(*df.columns)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = df.select("*", F.col(f"`{id_col}`").cast("long").alias("_tidings_id"), F.xxhash64(text).alias("_tidings_k")).join(gone, ["_tidings_id", "_tidings_k"], "left")
+    return add_columns(rows, [text_col, "_tidings_spans"], cut, f"`{text_col}` string").select(*(f"`{c}`" for c in df.columns))
