@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidings.llm.common import add_columns, texts
 from tidings.operators.storage import materialize
 
-#: The classifier is fitted on at most so many labelled rows, those of the least hashes of their ids.
+#: The classifier is fitted on some so many labelled rows, those whose ids have a hash under a threshold; on all, if there are fewer.
 SAMPLE = 16_000
 #: Lengths of the n-grams, hash buckets of all n-grams, and how many of them become features.
 SIZES, BUCKETS, FEATURES = (5, 7), 1 << 20, 1536
@@ -64,6 +64,8 @@ class Model:
 
     def __init__(self, table: np.ndarray, weights: np.ndarray, bias: float):
         self.table, self.weights, self.bias = table, weights, bias
+        #: False where there was no example of one of the classes.
+        self.learnt = bool((table >= 0).any())
 
     def scores(self, batch: list[str]) -> np.ndarray:
         doc, feature = _grams(batch, self.table)
@@ -102,14 +104,17 @@ def _regression(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarr
 def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled documents that are not held out.
 
-    Rows with a null id or label are no examples; an id labelled twice counts by its larger label.
-    With no example of one of the classes every score is that of the class shares.
+    Rows with a null id or label are no examples; an id labelled twice counts by its larger label. An id
+    that names several texts gives several examples. With no example of one of the classes every score is
+    that of the class shares; so it is with empty tables. Other columns are not read.
     """
     spark = df.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
     chosen = known.filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` rows of twelve bytes: small enough to broadcast at any size of the corpus
+    total = chosen.count()
+    if total > sample:  # the threshold follows from their number, so no task has to rank them
+        chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(sample / total * (1 << 40)))
+    # some ``sample`` rows of twelve bytes: small enough to broadcast at any size of the corpus
     examples = texts(df, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     examples = materialize(examples.repartition(COUNTERS), "examples")
 
@@ -161,8 +166,8 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns and ``held_out, score, predicted`` (columns of these names are replaced).
 
-    Whole texts are scored; only the text goes into a score. A null text counts as empty and gets the
-    score of the bias. Null and repeated ids are kept as they are; an empty table gives an empty one.
+    Whole texts of any length are scored, a slice of bounded bytes at a time; only the text goes into a
+    score. A null text counts as empty and gets the score of the bias. Null and repeated ids are kept as they are; an empty table gives an empty one.
     """
     shared = df.sparkSession.sparkContext.broadcast((model.table, model.weights, model.bias))
 
