@@ -85,19 +85,20 @@ def _chunked(docs: DataFrame) -> DataFrame:
     return add_columns(docs, ["text"], per_batch, "h array<long>, ends array<int>, words array<int>", 128, drop=["text"])
 
 
-def _runs(hits: list, ends: list, words: list) -> list[dict]:
+def _runs(start: np.ndarray, end: np.ndarray, kept: np.ndarray, od: np.ndarray, ok: np.ndarray, ostart: np.ndarray, oend: np.ndarray, ends: np.ndarray, words: np.ndarray) -> list[dict]:
     """Runs of hit chunks of one text, cut where kept and dropped ones meet; with the places elsewhere of both ends."""
-    at = {x["place"]: x for x in hits}
-    found, run = [], []
-    for place in [*sorted(at), None]:
-        if run and (place is None or place != run[-1] + 1 or at[place]["own"] != at[run[-1]]["own"]):
-            lo, hi = run[0], run[-1]
-            n = words[hi] - (words[lo - 1] if lo else 0)
-            if n >= LEAST_INNER:
-                found.append({"start": ends[lo - 1] if lo else 0, "end": ends[hi], "n_words": n, "dropped": not at[lo]["own"], "first_doc_id": at[lo]["first"]["doc_id"], "left": at[lo]["other"], "right": at[hi]["other"]})
-            run = []
-        run.append(place)
-    return found
+    order = np.argsort(start)
+    start, end, kept, od, ok, ostart, oend = (x[order] for x in (start, end, kept, od, ok, ostart, oend))
+    cut = np.flatnonzero((start[1:] != end[:-1]) | (kept[1:] != kept[:-1])) + 1
+    lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(start)]]) - 1
+    begun = np.concatenate([[0], words])[np.searchsorted(ends, np.stack([start[lo], end[hi]])) + (np.stack([start[lo], end[hi]]) > 0)]
+    n = begun[1] - begun[0]
+    out = []
+    for i in np.flatnonzero(n >= LEAST_INNER).tolist():
+        a, b = lo[i], hi[i]
+        left, right = {"od": int(od[a]), "ok": int(ok[a]), "oat": int(ostart[a])}, {"od": int(od[b]), "ok": int(ok[b]), "oat": int(oend[b])}
+        out.append({"start": int(start[a]), "end": int(end[b]), "n_words": int(n[i]), "dropped": not kept[a], "left": left, "right": right})
+    return out
 
 
 def _common(own: str, other: str, side: int) -> int:
@@ -179,23 +180,27 @@ def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     docs = texts(df, id_col, text_col).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("k"), "text")
     chunks = materialize(_chunked(docs), "chunks")
     zipped = F.arrays_zip("h", F.concat(F.array(F.lit(0)), F.col("ends")).alias("start"), F.col("ends").alias("end"))
-    places = chunks.select("doc_id", "k", F.posexplode(F.slice(zipped, 1, F.size("h"))).alias("place", "c")).select("doc_id", "k", "place", "c.*")
-    place = F.struct("doc_id", "k", "place", "start", "end")
-    holders = places.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    shared = materialize(holders, "shared")
-    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("k") == F.col("first.k")) & (F.col("place") == F.col("first.place"))
-    hits = places.join(shared, "h").withColumn("own", own).select("doc_id", "k", "place", "own", "first", F.when(F.col("own"), F.col("last")).otherwise(F.col("first")).alias("other"))
-    of_doc = hits.groupBy("doc_id", "k").agg(F.collect_set(F.struct("place", "own", "first", "other")).alias("hits"))
-    rows = of_doc.join(chunks.dropDuplicates(["doc_id", "k"]).select("doc_id", "k", "ends", "words"), ["doc_id", "k"])
-
-    def runs(hits: list, ends: list, words: list) -> dict:
-        return {"runs": [[{**r, **{x: {"od": r[x]["doc_id"], "ok": r[x]["k"], "oat": r[x]["end" if x == "right" else "start"]} for x in ("left", "right")}} for r in _runs(*row)] for row in zip(hits, ends, words)]}
+    places = chunks.select("doc_id", "k", F.explode(F.slice(zipped, 1, F.size("h"))).alias("c")).select("doc_id", "k", "c.*")
+    often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    hits = materialize(places.join(often, "h"), "hits")
+    place = F.struct("doc_id", "k", "start", "end")
+    shared = hits.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("k") == F.col("first.k")) & (F.col("start") == F.col("first.start"))
+    rows = hits.join(shared, "h").withColumn("kept", own).withColumn("o", F.when(own, F.col("last")).otherwise(F.col("first")))
+    hit = F.struct("start", "end", F.col("kept").cast("int").alias("kept"), F.col("o.doc_id").alias("od"), F.col("o.k").alias("ok"), F.col("o.start").alias("ostart"), F.col("o.end").alias("oend"))
+    of_doc = rows.groupBy("doc_id", "k").agg(F.collect_set(hit).alias("hits"))
+    parts = ["start", "end", "kept", "od", "ok", "ostart", "oend"]
+    rows = of_doc.select("doc_id", "k", *(F.col(f"hits.{c}").alias(c) for c in parts)).join(chunks.select("doc_id", "k", "ends", "words"), ["doc_id", "k"])
+
+    def runs(*columns: list) -> dict:
+        return {"runs": [_runs(*row) for row in zip(*columns)]}
 
     end = "struct<od: long, ok: long, oat: int>"
-    found = add_columns(rows, ["hits", "ends", "words"], runs, f"runs array<struct<start: int, end: int, n_words: int, dropped: boolean, first_doc_id: long, left: {end}, right: {end}>>", drop=["hits", "ends", "words"])
-    found = materialize(found.select("doc_id", "k", F.inline("runs")), "runs")
+    found = add_columns(rows, [*parts, "ends", "words"], runs, f"runs array<struct<start: int, end: int, n_words: int, dropped: boolean, left: {end}, right: {end}>>", drop=[*parts, "ends", "words"])
+    found = materialize(found.select("doc_id", "k", F.inline("runs")).distinct(), "runs")
+    found = found.withColumn("first_doc_id", F.when(F.col("dropped"), F.col("left.od")).otherwise(F.col("doc_id")))
     side = lambda n, at, of: found.select("doc_id", "k", "start", F.lit(n).alias("side"), F.col(at).alias("at"), f"{of}.od", f"{of}.ok", f"{of}.oat")
-    more = _extended(side(0, "start", "left").union(side(1, "end", "right")), docs.dropDuplicates(["doc_id", "k"]))
+    more = _extended(side(0, "start", "left").union(side(1, "end", "right")), docs)
     of_side = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
     more = more.groupBy("doc_id", "k", "start").agg(of_side(0, "more").alias("left"), of_side(1, "more").alias("right"), F.sum("more_words").alias("words"))
     grown = found.drop("left", "right").join(more, ["doc_id", "k", "start"]).select(
