@@ -101,3 +101,33 @@ def test_co_sharing_interval(spark):
     df = spark.createDataFrame(posts, "author string, stories_id long, publish_date timestamp_ntz")
     got = [(r.seconds, r.a_id, r.b_id) for r in topics.co_sharing_links(df, 40).collect()]
     assert len(want) == 40 and want[-1][0] > 3600 and got == want
+
+
+def test_co_located_tables_join_without_a_shuffle(spark):
+    from tidings.operators.topic_lists import co_located
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    a = co_located(spark.range(200).withColumnRenamed("id", "stories_id"), "co_a", "stories_id", 4)
+    b = co_located(spark.range(100, 300).withColumnRenamed("id", "stories_id"), "co_b", "stories_id", 4)
+    joined = a.join(b, "stories_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joined.count() == 100 and "Exchange" not in plan
+
+
+def test_atom_entries(spark, tmp_path):
+    (tmp_path / "atom.xml").write_text('<feed><entry><title>A</title><link href="http://x.com/2020/a"/><id>tag:1</id><updated>2024-01-02</updated><summary>s</summary></entry></feed>')
+    got = readers.syndicated_feed(spark, str(tmp_path / "atom.xml"), "entry").collect()
+    assert [tuple(r) for r in got] == [("http://x.com/2020/a", "tag:1", "A", "s", "2024-01-02")]
+
+
+def test_exact_search_and_medians(spark):
+    from tidings.functions.boolean import predicate
+    from tidings.operators.graph import element_at
+
+    df = spark.createDataFrame([(1, "rye then oats"), (2, "the oats and more and more rye"), (3, "thence")], "id int, text string")
+    ids = lambda q: [r.id for r in df.filter(predicate(q, exact=True)).orderBy("id").collect()]
+    assert ids("the") == [2] and ids("the*") == [1, 2, 3] and ids('"rye oats"~1') == [1] and ids('"oats rye"~9') == [1, 2]
+    for values in ([5.0], [1.0, 1.0, 9.0], [3.0, -2.0, 8.0, 8.0], [float(i * i % 97) for i in range(200)]):
+        got = element_at(spark.createDataFrame([(v,) for v in values], "v double"), "v", 4).first()[0]
+        assert got == sorted(values)[len(values) // 2]

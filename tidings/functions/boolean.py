@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r'"[^"]*"(?:~\d+)?|[()+!-]|[^\s()"+!-][^\s()"+!]*')
-_START = r"(?:^|[^\p{L}\p{N}_])"
+_START, _END = r"(?:^|[^\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 class QueryError(ValueError):
@@ -27,6 +27,8 @@ class Node(NamedTuple):
 
     op: str
     args: tuple
+    #: Of a near clause: words that may stand between.
+    distance: int = 0
 
 
 NOOP = Node("noop", ())
@@ -58,7 +60,8 @@ def _leaf(token: str) -> Node:
         return NOOP
     if token.startswith('"'):
         words = tuple(re.findall(r"[^\s\"!-/:-@\[-^`{-~]+", token.rpartition('"')[0]))
-        return Node("near" if "~" in token else "phrase", words) if words else NOOP
+        near = token.rpartition('"')[2]
+        return NOOP if not words else Node("near", words, int(near[1:])) if near else Node("phrase", words)
     return Node("term", (token.rstrip("*"), token.endswith("*")))
 
 
@@ -143,26 +146,35 @@ def tsquery(query: str) -> str:
     return show(text_part(query))
 
 
-def pattern(node: Node, boundary: bool = True) -> str:
-    """Regex of a term or phrase."""
+def pattern(node: Node, boundary: bool = True, exact: bool = False) -> str:
+    """Regex of a term or phrase; an exact one ends where its word ends, unless the term has a star."""
     words = node.args[:1] if node.op == "term" else node.args
-    return "(?iu)" + (_START if boundary else "") + r"\s+".join(map(re.escape, words))
+    end = _END if exact and not (node.op == "term" and node.args[1]) else ""
+    return "(?iu)" + (_START if boundary else "") + r"\s+".join(map(re.escape, words)) + end
 
 
-def matches(node: Node, text: Column, fields: dict[str, Callable[[str], Column]] | None = None) -> Column:
+def within(text: Column, words: tuple, distance: int) -> Column:
+    """Whether all words stand in some stretch of the text's words that has ``distance`` more than they are."""
+    own = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    starts = F.filter(F.transform(own, lambda w, i: F.when(w.isin(*words), i + 1)), lambda i: i.isNotNull())
+    hit = lambda i: F.forall(F.array(*map(F.lit, sorted(set(words)))), lambda w: F.array_contains(F.slice(own, i, len(words) + distance), w))
+    return F.exists(starts, hit)
+
+
+def matches(node: Node, text: Column, fields: dict[str, Callable[[str], Column]] | None = None, exact: bool = False) -> Column:
     """The predicate: ``fields`` makes one from a value of a named field; a field it lacks is an error."""
     if node.op == "and" or node.op == "or":
-        parts = [matches(a, text, fields) for a in node.args if a.op != "noop"] or [F.lit(True)]
+        parts = [matches(a, text, fields, exact) for a in node.args if a.op != "noop"] or [F.lit(True)]
         out = parts[0]
         for p in parts[1:]:
             out = out & p if node.op == "and" else out | p
         return out
     if node.op == "not":
-        return ~matches(node.args[0], text, fields)
+        return ~matches(node.args[0], text, fields, exact)
     if node.op == "field":
         name, inner = node.args
         if name == "text":
-            return matches(inner, text, fields)
+            return matches(inner, text, fields, exact)
         if name not in (fields or {}):
             raise QueryError(f"no field {name}")
         return _of_field(inner, fields[name])
@@ -171,9 +183,9 @@ def matches(node: Node, text: Column, fields: dict[str, Callable[[str], Column]]
     if node.op == "near":
         out = F.lit(True)
         for w in node.args:
-            out = out & text.rlike(pattern(Node("term", (w, False))))
-        return out
-    return text.rlike(pattern(node))
+            out = out & text.rlike(pattern(Node("term", (w, False)), exact=exact))
+        return out & within(text, node.args, node.distance) if exact else out
+    return text.rlike(pattern(node, exact=exact))
 
 
 def _of_field(node: Node, make: Callable[[str], Column]) -> Column:
@@ -188,9 +200,9 @@ def _of_field(node: Node, make: Callable[[str], Column]) -> Column:
     return make(" ".join(node.args) if node.op == "phrase" else node.args[0])
 
 
-def predicate(query: str, text: str | Column = "text", fields: dict[str, Callable[[str], Column]] | None = None) -> Column:
-    """The Column for a whole query, fields included."""
-    return matches(parse(query), F.col(text) if isinstance(text, str) else text, fields)
+def predicate(query: str, text: str | Column = "text", fields: dict[str, Callable[[str], Column]] | None = None, exact: bool = False) -> Column:
+    """The Column for a whole query, fields included; ``exact`` asks for whole words and counts the distance of near clauses."""
+    return matches(parse(query), F.col(text) if isinstance(text, str) else text, fields, exact)
 
 
 def any_term(query: str, text: str | Column = "text", logograms: bool = False) -> Column:

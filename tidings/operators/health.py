@@ -50,14 +50,21 @@ def media_health(daily: DataFrame) -> DataFrame:
     return rows.groupBy("medium").agg(*out)
 
 
-def health_status(health: DataFrame) -> DataFrame:
-    """Ill: much less in the last week than in 90 days or a year, or nothing at all in 90 days."""
+def health_status(health: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """Ill: much less in the last week than in 90 days or a year, or nothing at all in 90 days.
+
+    ``feeds`` (medium, active) tells who has an active feed; without it more than one story in 90 days does.
+    """
     falls = F.lit(False)
     for c in ("num_stories", "num_sentences"):
         for base in ("_y", "_90"):
             falls = falls | (F.col(f"{c}_w") / F.greatest(F.col(c + base), F.lit(1.0)) < HEALTHY_RATIO)
     ill = ((F.col("num_stories_90") > 10) & falls) | (F.col("num_sentences_90") == 0)
-    return health.withColumn("is_healthy", ~ill).withColumn("has_active_feed", F.col("num_stories_90") > 1)
+    rows = health.withColumn("is_healthy", ~ill)
+    if feeds is None:
+        return rows.withColumn("has_active_feed", F.col("num_stories_90") > 1)
+    active = feeds.groupBy("medium").agg(F.max("active").alias("has_active_feed"))
+    return rows.join(active, "medium", "left").withColumn("has_active_feed", F.coalesce("has_active_feed", F.lit(False)))
 
 
 def health_report(status: DataFrame, worst: int = 50) -> DataFrame:

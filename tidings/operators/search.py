@@ -17,7 +17,10 @@ SENTENCE_STORIES, PAGE = 1_000_000, 1000
 def story_fields() -> dict:
     """Field clauses on story columns."""
     number = lambda name: lambda v: F.col(name) == int(v)
+    tagged = lambda v: F.coalesce(F.array_contains("media_tags", F.lit(int(v)).cast("long")), F.lit(False))
     return {
+        "tags_id_media": tagged,
+        "collections_id": tagged,
         "stories_id": number("stories_id"),
         "media_id": number("media_id"),
         "language": lambda v: F.col("language") == v,
@@ -25,30 +28,21 @@ def story_fields() -> dict:
     }
 
 
-def expand_collections(query: str, media_tags: DataFrame) -> str:
-    """``tags_id_media:`` and ``collections_id:`` clauses, one id or a list, become ``media_id:`` clauses; -1 where a tag has no medium.
+def with_media_tags(stories: DataFrame, media_tags: DataFrame) -> DataFrame:
+    """Stories with ``media_tags``, the tags of their medium, for collection clauses: one row per medium is joined, nothing is collected."""
+    tags = media_tags.groupBy("media_id").agg(F.collect_set("tags_id").alias("media_tags"))
+    return stories.join(tags, "media_id", "left")
 
-    The ids come from the query's text, and a collection's media from a dimension table.
-    """
-    clause = re.compile(r"(?:tags_id_media|collections_id):(\(\s*[\d\sORor]+\)|\d+|\[)")
-    wanted = {int(i) for m in clause.finditer(query) for i in re.findall(r"\d+", m[1])}
-    if any(m[1] == "[" for m in clause.finditer(query)):
-        raise boolean.QueryError("a collection clause takes ids, no range")
-    found: dict[int, list[int]] = {}
-    if wanted:
-        for r in media_tags.filter(F.col("tags_id").isin(*wanted)).groupBy("tags_id").agg(F.array_sort(F.collect_set("media_id")).alias("ids")).collect():
-            found[r.tags_id] = r.ids
-
-    def replaced(m: re.Match) -> str:
-        ids = sorted({x for i in re.findall(r"\d+", m[1]) for x in found.get(int(i), [])}) or [-1]
-        return "media_id:( " + " or ".join(str(i).replace("-1", '"-1"') for i in ids) + " )" if ids != [-1] else "media_id:999999999999"
 
-    return clause.sub(replaced, query)
+def search(stories: DataFrame, query: str, *filters: Column, exact: bool = False) -> DataFrame:
+    """Stories that match a query; ``filters`` may be any Columns, for ranges too.
 
-
-def search(stories: DataFrame, query: str, *filters: Column) -> DataFrame:
-    """Stories that match a query; ``filters`` may be any Columns, for ranges too."""
-    out = stories.filter(boolean.predicate(query, "text", story_fields()))
+    ``tags_id_media:`` and ``collections_id:`` clauses ask for stories of ``with_media_tags``. With ``exact``
+    plain terms are whole words, and the distance of a near clause counts.
+    """
+    if re.search(r"(?:tags_id_media|collections_id):\[", query):
+        raise boolean.QueryError("a collection clause takes ids, no range")
+    out = stories.filter(boolean.predicate(query, "text", story_fields(), exact))
     for f in filters:
         out = out.filter(f)
     return out

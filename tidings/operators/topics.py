@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.dates import in_period
+from tidings.operators.storage import discard, materialize, rows_and_sum
 
 
 def period_stories(stories: DataFrame, links: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -52,7 +53,7 @@ def drop_prolific(posts: DataFrame, query: str, least: int = 100, share: float =
     Counts are aggregates joined back, so a query with most posts is no single task.
     """
     authors = posts.groupBy("author", query).agg(F.count("*").alias("author_count"))
-    totals = F.broadcast(authors.groupBy(query).agg(F.sum("author_count").alias("query_count")))
+    totals = authors.groupBy(query).agg(F.sum("author_count").alias("query_count"))
     fine = authors.join(totals, query).filter(F.col("author_count") < F.greatest(F.lit(float(least)), F.col("query_count") * share)).select("author", query)
     return posts.join(fine, ["author", query], "left_semi")
 
@@ -71,14 +72,23 @@ def close_shares(posts: DataFrame, seconds: int) -> DataFrame:
 
 
 def co_sharing_links(posts: DataFrame, n_stories: int, start: int = 365 * 86400, least: int = 4 * 3600) -> DataFrame:
-    """The closest pairs, as many as stories: the interval is halved until there are fewer than twice as many pairs; none under ``least``."""
-    seconds = start
-    while seconds >= least:
-        pairs = close_shares(posts, seconds)
-        if pairs.limit(2 * n_stories + 1).count() <= 2 * n_stories:
-            return pairs.orderBy("seconds", "a_id", "b_id").limit(n_stories)
-        seconds //= 2
-    return close_shares(posts, 1).limit(0)
+    """The closest pairs, as many as stories: the interval is halved until there are fewer than twice as many pairs; none under ``least``.
+
+    Pairs only grow with the interval, so the halved ones are tried from the least up, and the last that has
+    few enough is taken: no more pairs are made than that one and the next have.
+    """
+    steps = [start]
+    while steps[-1] // 2 >= least:
+        steps.append(steps[-1] // 2)
+    found = None
+    for seconds in reversed(steps):
+        pairs = materialize(close_shares(posts, seconds), "pairs")
+        if rows_and_sum(pairs)[0] >= 2 * n_stories:
+            discard(pairs)
+            break
+        discard(found)
+        found = pairs
+    return close_shares(posts, 1).limit(0) if found is None else found.orderBy("seconds", "a_id", "b_id").limit(n_stories)
 
 
 def story_link_counts(stories: DataFrame, links: DataFrame, posts: DataFrame) -> DataFrame:
@@ -197,8 +207,6 @@ def new_stories(known: DataFrame, rows: DataFrame) -> DataFrame:
 
 def spider(links: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """``stories_id, iteration``: stories reached from the seeds by links, each with its least iteration."""
-    from tidings.operators.storage import materialize, rows_and_sum
-
     seen = seeds.select("stories_id").distinct().withColumn("iteration", F.lit(0))
     edge = seen
     for k in range(1, most + 1):

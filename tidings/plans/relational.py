@@ -84,7 +84,7 @@ def _(e):
 @query("join_multi_hop", "SELECT p.post_id, s.stories_id, m.name FROM posts p JOIN stories s ON s.stories_id = p.stories_id JOIN media m ON m.media_id = s.media_id JOIN feeds f ON f.media_id = m.media_id AND f.type = 'web_page' WHERE p.channel = 'click'")
 def _(e):
     rows = e.posts.filter("channel = 'click'").join(e.stories.select("stories_id", "media_id"), "stories_id")
-    return rows.join(F.broadcast(e.media), "media_id").join(F.broadcast(e.feeds.filter("type = 'web_page'").select("media_id")), "media_id").select("post_id", "stories_id", "name")
+    return rows.join(e.media, "media_id").join(F.broadcast(e.feeds.filter("type = 'web_page'").select("media_id")), "media_id").select("post_id", "stories_id", "name")
 
 
 @query("cross_media_links", "SELECT DISTINCT l.stories_id, l.ref_stories_id FROM topic_links l JOIN topic_stories a ON a.stories_id = l.stories_id JOIN topic_stories b ON b.stories_id = l.ref_stories_id WHERE a.media_id <> b.media_id")
@@ -111,7 +111,7 @@ def _(e):
 
 @query("update_from_join", "SELECT p.post_id, coalesce(m.media_id, p.stories_id) AS target FROM posts p LEFT JOIN media m ON m.media_id = p.stories_id")
 def _(e):
-    return e.posts.join(F.broadcast(e.media.select(F.col("media_id").alias("stories_id"), "media_id")), "stories_id", "left").select("post_id", F.coalesce("media_id", "stories_id").alias("target"))
+    return e.posts.join(e.media.select(F.col("media_id").alias("stories_id"), "media_id"), "stories_id", "left").select("post_id", F.coalesce("media_id", "stories_id").alias("target"))
 
 
 @query("fallback_lookup", "SELECT s.stories_id, coalesce(a.media_id, b.media_id) AS media_id FROM (SELECT stories_id, CASE WHEN stories_id % 2 = 0 THEN url ELSE 'x' END AS u, 'SRC' || media_id AS n FROM stories) s LEFT JOIN media a ON s.u LIKE a.url || '%' LEFT JOIN media b ON b.name = lower(s.n)")
@@ -119,8 +119,8 @@ def _(e):
     from tidings.functions.urls import medium_url
 
     keyed = e.stories.select("stories_id", medium_url(F.when(F.col("stories_id") % 2 == 0, F.col("url")).otherwise("x")).alias("u"), F.lower(F.concat(F.lit("SRC"), F.col("media_id").cast("string"))).alias("n"))
-    by_url = F.broadcast(e.media.select(F.col("url").alias("u"), F.col("media_id").alias("a")))
-    by_name = F.broadcast(e.media.select(F.col("name").alias("n"), F.col("media_id").alias("b")))
+    by_url = e.media.select(F.col("url").alias("u"), F.col("media_id").alias("a"))
+    by_name = e.media.select(F.col("name").alias("n"), F.col("media_id").alias("b"))
     return keyed.join(by_url, "u", "left").join(by_name, "n", "left").select("stories_id", F.coalesce("a", "b").alias("media_id"))
 
 

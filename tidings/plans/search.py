@@ -65,7 +65,7 @@ def _(e):
 
 @query("search_collection", f"SELECT stories_id, media_id FROM stories WHERE media_id IN (SELECT media_id FROM media_tags WHERE tags_id IN (100, 201)) AND {OF}")
 def _(e):
-    return S.search(e.stories, S.expand_collections("tags_id_media:( 100 or 201 ) and of", e.media_tags)).select("stories_id", "media_id")
+    return S.search(S.with_media_tags(e.stories, e.media_tags), "tags_id_media:( 100 or 201 ) and of").select("stories_id", "media_id")
 
 
 @query("search_range_filter", f"SELECT stories_id, publish_date FROM stories WHERE {OF} AND publish_date >= TIMESTAMP '2024-02-01' AND publish_date <= TIMESTAMP '2024-03-01' - INTERVAL 1 SECOND")
@@ -159,7 +159,7 @@ def _(e):
 
 def _story_list(e, stories):
     flagged = e.story_tags.filter("tags_id = 4").select("stories_id", F.lit(True).alias("flag"))
-    rows = stories.join(F.broadcast(e.media.select("media_id", F.col("name").alias("media_name"), F.col("url").alias("media_url"))), "media_id")
+    rows = stories.join(e.media.select("media_id", F.col("name").alias("media_name"), F.col("url").alias("media_url")), "media_id")
     return rows.join(flagged, "stories_id", "left").select("stories_id", "title", "media_name", "media_url", F.coalesce("flag", F.lit(False)).alias("flagged"))
 
 

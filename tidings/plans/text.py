@@ -74,7 +74,7 @@ TITLE = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regex
 
 @query("title_normalize", f", t AS (SELECT stories_id, substr({TITLE.format('title')}, 1, 1023) AS p, name FROM stories JOIN media USING (media_id)), x AS (SELECT *, (SELECT q FROM (SELECT unnest(regexp_split_to_array(p, ' *SEPSEP *')) AS q, generate_subscripts(regexp_split_to_array(p, ' *SEPSEP *'), 1) AS i) ORDER BY length(q) DESC, i LIMIT 1) AS longest FROM t) SELECT stories_id, CASE WHEN longest = p OR length(longest) < 32 OR name = longest THEN p ELSE longest END AS title, md5(CASE WHEN longest = p OR length(longest) < 32 OR name = longest THEN p ELSE longest END) AS hash FROM x")
 def _(e):
-    rows = e.stories.join(F.broadcast(e.media.select("media_id", "name")), "media_id")
+    rows = e.stories.join(e.media.select("media_id", "name"), "media_id")
     return rows.select("stories_id", text.normalized_title(F.col("title"), F.col("name")).alias("title"), text.title_hash(F.col("title"), F.col("name")).alias("hash"))
 
 

@@ -115,7 +115,7 @@ def _(e):
 
 @query("preferred_story", "SELECT title, arg_min(stories_id, (NOT foreign_rss_links, dup_media_id IS NOT NULL, -n, stories_id)) AS stories_id FROM stories JOIN media USING (media_id) JOIN (SELECT stories_id, count(*) AS n FROM sentences GROUP BY 1) USING (stories_id) GROUP BY 1")
 def _(e):
-    rows = e.stories.select("stories_id", "media_id", "title").join(F.broadcast(e.media.select("media_id", "dup_media_id", F.col("foreign_rss_links").alias("is_dup_target"))), "media_id")
+    rows = e.stories.select("stories_id", "media_id", "title").join(e.media.select("media_id", "dup_media_id", F.col("foreign_rss_links").alias("is_dup_target")), "media_id")
     return T.preferred_story(rows.join(e.sentences.groupBy("stories_id").agg(F.count("*").alias("n_sentences")), "stories_id"), "title")
 
 
@@ -132,7 +132,7 @@ def _(e):
 
 @query("seed_import", "SELECT DISTINCT p.stories_id FROM posts p WHERE p.channel = 'purchase' AND p.stories_id NOT IN (SELECT media_id FROM media)")
 def _(e):
-    return e.posts.filter("channel = 'purchase'").select("stories_id").distinct().join(F.broadcast(e.media.select(F.col("media_id").alias("stories_id"))), "stories_id", "left_anti")
+    return e.posts.filter("channel = 'purchase'").select("stories_id").distinct().join(e.media.select(F.col("media_id").alias("stories_id")), "stories_id", "left_anti")
 
 
 @query("date_window_margin", "SELECT stories_id FROM stories WHERE publish_date IS NULL OR publish_date BETWEEN TIMESTAMP '2024-02-01' - INTERVAL 7 DAY AND TIMESTAMP '2024-02-15' + INTERVAL 7 DAY")

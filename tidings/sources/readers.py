@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidings.functions.boolean import predicate
 from tidings.functions.urls import http_urls_in_string, is_homepage_url
 
-FEED_SCHEMA = "title string, link string, guid string, pubDate string, description string"
+FEED_SCHEMA = "title string, link struct<_VALUE: string, _href: string>, id string, updated string, summary string, guid string, pubDate string, description string"
 POST_SCHEMA = "content string, author string, channel string, publish_date timestamp, post_id string, url string"
 
 
@@ -25,7 +25,9 @@ def syndicated_feed(spark: SparkSession, path: str, row_tag: str = "item") -> Da
 
     The guid falls back to the URL, also where it is a home page; the title to ``(no title)``.
     """
-    rows = spark.read.format("xml").option("rowTag", row_tag).schema(FEED_SCHEMA).load(path).filter("link is not null")
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(FEED_SCHEMA).load(path)
+    # an entry of an Atom file names its address in an attribute, and its id, day and text otherwise
+    rows = rows.select("title", F.coalesce("link._href", "link._VALUE").alias("link"), F.coalesce("guid", "id").alias("guid"), F.coalesce("pubDate", "updated").alias("pubDate"), F.coalesce("description", "summary").alias("description")).filter("link is not null")
     guid = F.when(F.col("guid").isNull() | (F.trim("guid") == "") | is_homepage_url(F.col("guid")), F.col("link")).otherwise(F.col("guid"))
     title = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "(no title)").otherwise(F.trim("title"))
     return rows.select(F.trim("link").alias("url"), guid.alias("guid"), title.alias("title"), "description", F.col("pubDate").alias("published"))
