@@ -60,3 +60,19 @@ def test_small_groups_and_outliers(spark):
     want = brute(ids, x, ids[1500:])
     assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
     assert np.mean([len(set(got[i]) & {a for a, _ in want[i]}) / 10 for i in want]) >= 0.9
+
+
+def test_lists_cut_into_cells(spark):
+    """As on tables so large that lists are cut: cells of 64 rows; a third of all rows are one vector, and a few lie apart."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 16)) * 2
+    x = np.concatenate([middles[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)), np.tile(middles[0], (3000, 1)), rng.normal(size=(5, 16)) * 40])
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest_neighbours(df, df.filter("vec_id % 50 = 0 or vec_id >= 9000"), cell=64).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = brute(ids, x, [i for i in ids if i % 50 == 0 or i >= 9000])
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert all(abs(a[1] - b[1]) < 1e-9 for i in want if 6000 <= i < 9000 for a, b in zip(got[i], want[i]))
+    assert np.mean([len({a for a, _ in got[i]} & {a for a, _ in want[i]}) / 10 for i in want if i < 6000 or i >= 9000]) >= 0.9

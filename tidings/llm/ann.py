@@ -4,12 +4,17 @@ Centroids come from a balanced clustering of a bounded sample and are searched t
 an in-memory neighbour graph. Every vector goes to the list of its nearest centroid; one
 near a border is copied to several lists. A query reads the nearest lists until they are
 known to hold k other ids, and those whose centroids are within a distance ratio of the
-last of these. Lists and the queries of a list are dealt
-into parts of bounded size, so a list that holds a third of all vectors is many tasks.
+last of these. Where a table is so large that a list has more than CELL rows, the list is
+cut into cells by centroids of its own, and a query reads the cells near it by the same
+rule; so the number of rows that a query meets does not grow with the table. Cells and
+their queries are dealt into parts of bounded size, so one that holds a third of all
+vectors is many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,7 +25,7 @@ from tidings.operators.storage import materialize
 
 #: The clustering is fitted on at most so many vectors, those of the least hashes of their ids.
 SAMPLE = 20_000
-#: Vectors of the sample in a cluster at most; so there are some SAMPLE / LIST centroids whatever the table's size.
+#: Vectors of the sample in a cluster at most; so there are some SAMPLE / LIST lists whatever the table's size.
 LIST = 24
 #: Copies of a vector at most, and how much farther than the nearest a centroid of a copy may be.
 COPIES, COPY_RATIO = 6, 1.15
@@ -28,6 +33,10 @@ COPIES, COPY_RATIO = 6, 1.15
 PROBES, PROBE_RATIO = 128, 1.6
 #: Neighbours of a centroid in the graph; candidates kept in its search at least.
 DEGREE, BEAM = 24, 16
+#: Rows of a cell, as far as its list's sample tells; vectors of a list that its cells are fitted on, about.
+CELL, CELL_SAMPLE = 4096, 8192
+#: Cells of a list that a query reads at most, once they hold enough ids.
+CELLS = 16
 #: Vectors and queries that one task call compares.
 PART, BLOCK = 4096, 1024
 
@@ -140,13 +149,78 @@ def _probes(graph: Graph, held: np.ndarray, x: np.ndarray, k: int) -> list[list[
             far_all = np.sqrt(((graph.x - q) ** 2).sum(-1))
             own = np.argsort(far_all, kind="stable")
             d = far_all[own]
-        # one more than k, as the query's own id may be among them
-        last = min(int(np.searchsorted(np.cumsum(held[own]), k + 1)), len(own) - 1)
-        most = max(PROBES, last + 1)
-        out.append(own[:most][d[:most] <= PROBE_RATIO * d[last] + 1e-12].tolist())
+        out.append(own[: _enough(held[own], d, k, PROBES)].tolist())
     return out
 
 
+def _enough(held: np.ndarray, far: np.ndarray, k: int, most: int) -> int:
+    """How many of the places at distances ``far``, nearest first, a query reads: until they hold k + 1 ids, then by ratio."""
+    # one more than k, as the query's own id may be among them
+    last = min(int(np.searchsorted(np.cumsum(held), k + 1)), len(far) - 1)
+    return int(np.searchsorted(far[: max(most, last + 1)], PROBE_RATIO * far[last] + 1e-12, side="right"))
+
+
+def _far_cells(x: np.ndarray, centres: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each vector the cells, nearest first, and their distances."""
+    norm = (centres**2).sum(1)
+    for at in range(0, len(x), 512):
+        part = x[at : at + 512]
+        far = np.sqrt(np.maximum(0, norm - 2 * part @ centres.T + (part**2).sum(1)[:, None]))
+        yield from ((o := np.argsort(f, kind="stable"), f[o]) for f in far)
+
+
+def _fit_cells(index: DataFrame, wide: DataFrame, cell: int) -> DataFrame:
+    """``list, cell, centre``: centroids of the lists in ``wide`` (``list, rows``), from a sample of each by hash; equal vectors count once."""
+    share = F.least(F.lit(1.0), F.lit(CELL_SAMPLE) / F.col("rows"))
+    sample = index.join(F.broadcast(wide), "list").filter(F.pmod(F.xxhash64(F.lit(11), "v"), F.lit(1 << 30)) < share * F.lit(float(1 << 30)))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        size = max(4, int(cell * min(1.0, CELL_SAMPLE / rows["rows"].iloc[0])))
+        centres = fit_centroids(np.stack(rows.v.to_numpy()), size)
+        return pd.DataFrame({"list": rows["list"].iloc[0], "cell": np.arange(len(centres), dtype=np.int32), "centre": list(centres)})
+
+    return sample.select("list", "rows", "v").distinct().groupBy("list").applyInPandas(fit, "list int, cell int, centre array<double>")
+
+
+def _deal(rows: DataFrame, cells: DataFrame, slices: DataFrame, id_col: str, vector: str, choose: Callable) -> DataFrame:
+    """Rows of lists that have cells, with each ``cell`` that ``choose(cells, distances, held)`` takes and its place ``near`` in that order."""
+    schema = f"list int, {id_col} long, {vector} array<double>, cell int, near int"
+    left = rows.join(slices, "list").withColumn("slice", F.pmod(F.xxhash64(id_col, vector), F.col("slices"))).select("list", "slice", id_col, vector)
+    right = cells.join(slices, "list").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).select("list", "slice", "cell", "centre", "held")
+
+    def per_slice(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"list": [], id_col: [], vector: [], "cell": [], "near": []}).astype({"list": "int32", id_col: "int64", "cell": "int32", "near": "int32"})
+        held = b.held.to_numpy()
+        taken = [o[: choose(held[o], far)] for o, far in _far_cells(np.stack(a[vector].to_numpy()), np.stack(b.centre.to_numpy()))]
+        many = [len(t) for t in taken]
+        out = a.iloc[np.repeat(np.arange(len(a)), many)][["list", id_col, vector]].reset_index(drop=True)
+        return out.assign(cell=b.cell.to_numpy()[np.concatenate(taken)], near=np.concatenate([np.arange(n, dtype=np.int32) for n in many]))
+
+    keys = ["list", "slice"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(per_slice, schema)
+
+
+def _in_cells(index: DataFrame, probes: DataFrame, k: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a ``cell``: of lists of at most ``cell`` rows it is 0, of others one or two for a vector and some for a query."""
+    # one row for each list: as many as there are centroids
+    sizes = materialize(index.groupBy("list").agg(F.count("*").alias("rows")).join(probes.groupBy("list").agg(F.count("*").alias("asked")), "list"), "sizes")
+    wide, whole = sizes.filter(F.col("rows") > cell), F.lit(0).alias("cell")
+    rows, asked = index.select("list", "vec_id", "v"), probes.select("list", "query_id", "q")
+    if wide.isEmpty():
+        return rows.select("*", whole), asked.select("*", whole)
+    cells = materialize(_fit_cells(index, wide.select("list", "rows"), cell), "cells")
+    # a list without any vector in its sample stays whole
+    cut = F.broadcast(materialize(wide.join(cells.select("list").distinct(), "list"), "cut"))
+    slices = lambda n: cut.select("list", F.ceil(F.col(n) / PART).cast("long").alias("slices"))
+    inner = materialize(_deal(rows, cells.withColumn("held", F.lit(0).cast("long")), slices("rows"), "vec_id", "v", lambda held, far: 1 + int(len(far) > 1 and far[1] <= COPY_RATIO * far[0])), "cell_rows")
+    held = inner.filter("near = 0").groupBy("list", "vec_id").agg(F.min("cell").alias("cell")).groupBy("list", "cell").agg(F.count("*").alias("held"))
+    held = cells.join(held, ["list", "cell"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    read = materialize(_deal(asked, held, slices("asked"), "query_id", "q", lambda held, far: _enough(held, far, k, CELLS)), "cell_probes")
+    outer = lambda df: df.join(cut.select("list"), "list", "left_anti").select("*", whole)
+    return outer(rows).unionByName(inner.drop("near")), outer(asked).unionByName(read.drop("near"))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, v``: rows with an id and a vector of finite numbers that are not all zero."""
     v = F.col(vector_col).cast("array<double>")
@@ -154,13 +228,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.filter(good).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest vectors found for each query, its own id excepted.
 
     The score is the Euclidean distance in double precision; ties go to the smaller id. Vectors that are
     null, empty, all zero, or hold a null or non-finite component take no part, nor do those of another
     length than most of the sample have. Rows that repeat an id count as one candidate, the nearest. With
     fewer candidates all are returned; an empty table gives an empty one. Other columns are not read.
+    ``cell``: rows of a list beyond which it is cut into cells.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -186,11 +261,12 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
         return {"lists": _probes(shared.value, held, np.array(batch), k)}
 
     probes = materialize(add_columns(asked, ["v"], probed, "lists array<int>", 256).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list")), "probes")
-    # one row for each list: as many as there are centroids
-    sizes = index.groupBy("list").count().join(probes.groupBy("list").agg(F.count("*").alias("asked")), "list")
-    sizes = F.broadcast(materialize(sizes.select("list", F.ceil(F.col("count") / PART).cast("int").alias("parts"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("blocks")), "sizes"))
-    left = index.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select("list", "part", "block", "vec_id", "v")
-    right = probes.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).select("list", "part", "block", "query_id", "q")
+    rows, asked = _in_cells(index, probes, k, cell)
+    sizes = rows.groupBy("list", "cell").count().join(asked.groupBy("list", "cell").agg(F.count("*").alias("asked")), ["list", "cell"])
+    sizes = materialize(sizes.select("list", "cell", F.ceil(F.col("count") / PART).cast("long").alias("parts"), F.ceil(F.col("asked") / BLOCK).cast("long").alias("blocks")), "sizes")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.join(sizes, ["list", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts")).withColumn("block", up_to("blocks"))
+    right = asked.join(sizes, ["list", "cell"]).withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).withColumn("part", up_to("parts"))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -218,8 +294,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][best], "score": score[best]}))
         return pd.concat(out)
 
-    keys = ["list", "part", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+    keys = ["list", "cell", "part", "block"]
+    found = left.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "q").groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
