@@ -13,7 +13,7 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 
 def _step(edges: DataFrame) -> DataFrame:
-    """One large-star then one small-star pass; only aggregates and equi-joins, so a hub of any degree is split."""
+    """One large-star then one small-star pass; only aggregates and equi-joins of ids. The edges of a hub meet in one task of a sorted join, which spills."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = _least(both).select("u", F.least("u", "m").alias("m"))
     large = both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
