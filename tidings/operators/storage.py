@@ -46,6 +46,22 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+def materialize_sorted(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write ``df`` to the shared folder as a table dealt into buckets by ``keys`` and sorted in each.
+
+    There are as many buckets as shuffle partitions, so a join by the keys reads the table as it lies,
+    without an exchange; one that is shuffled by the keys already is written one file a bucket.
+    """
+    spark = df.sparkSession
+    path = table_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._tidings_path, out._tidings_table = path, table
+    return out
+
+
 def rows_and_sum(table: DataFrame) -> tuple[int, object]:
     """Of a table made by ``materialize``: its row count and a checksum of its rows in any order."""
     got = table._tidings_seen.get
@@ -53,8 +69,10 @@ def rows_and_sum(table: DataFrame) -> tuple[int, object]:
 
 
 def discard(df: DataFrame | None) -> None:
-    """Delete the files of a table made by ``materialize`` that no later step reads."""
+    """Delete the files of a table made by ``materialize`` or ``materialize_sorted`` that no later step reads."""
     path = getattr(df, "_tidings_path", None)
+    if table := getattr(df, "_tidings_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS `{table}`")
     if path:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
