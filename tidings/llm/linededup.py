@@ -1,20 +1,22 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 The index is a list of levels; each level holds a few runs, each run a table of line
-hashes with document counts, dealt out and sorted by hash. A new batch of lines is
-counted, merge-anti-joined with what the runs have settled (lines known to be frequent
-need no more counting), and its own counts become a run of level 0. A level that is
-full is merged into one run of the next.
+hashes with document counts, dealt into buckets and sorted by hash. A new batch of lines
+is counted and merge-anti-joined run by run with the lines that are settled (known to be
+frequent, which need no more counting), and its own counts become a run of level 0. A
+level that is full is merged into one run of the next.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidings.llm.common import KEY, add_columns, text_key
-from tidings.operators.storage import discard, materialize
+from tidings.operators.storage import discard, materialize, materialize_sorted
 
 #: A level with more runs than this is merged into one run of the next level.
 FANOUT = 3
@@ -34,50 +36,66 @@ def _hash(key: bytes) -> tuple[int, int]:
 
 
 class LineIndex:
-    """Levelled runs of ``h, g, n`` (hash, documents counted); ``settle`` is the count from which a line is settled."""
+    """Levelled runs of ``h, g, n, seen``: a line's hash, its documents in the run, and in all batches up to the run's last.
+
+    ``settle`` is the count from which a line is settled. Runs are dealt out and sorted by hash alike, so a
+    batch meets each of them in a merge join that moves and regroups none of the runs.
+    """
 
     def __init__(self, spark: SparkSession, settle: int):
         self.spark, self.settle, self.levels = spark, settle, []
 
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
     def counts(self) -> DataFrame | None:
-        """All runs merged: one row per line hash."""
-        runs = [run for level in self.levels for run in level]
-        if not runs:
-            return None
-        merged = runs[0]
-        for run in runs[1:]:
-            merged = merged.union(run)
-        return merged.groupBy("h", "g").agg(F.sum("n").alias("n"))
+        """All runs merged: one row ``h, g, n`` per line hash."""
+        return _merged(self.runs()).drop("seen") if self.runs() else None
 
     def settled(self) -> DataFrame | None:
-        known = self.counts()
-        return None if known is None else known.filter(F.col("n") >= self.settle).select("h", "g")
+        """``h, g`` of settled lines. No batch counts a settled line again, so only one run holds it as such."""
+        known = [run.filter(F.col("seen") >= self.settle).select("h", "g") for run in self.runs()]
+        return reduce(DataFrame.union, known) if known else None
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The rows of ``lines`` (with ``h, g``) that no run has."""
-        known = self.counts()
-        return lines if known is None else lines.join(known.select("h", "g").hint("merge"), ["h", "g"], "left_anti")
+        for run in self.runs():
+            lines = lines.join(run.select("h", "g").hint("merge"), ["h", "g"], "left_anti")
+        return lines
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch: one row of ``h, g`` for each line of each document, a line once a document."""
-        own, known = lines.groupBy("h", "g").agg(F.count("*").alias("n")), self.settled()
-        if known is not None:
-            own = own.join(known.hint("merge"), ["h", "g"], "left_anti")
-        self._push(0, own)
+        """Add a batch: one row of ``h, g`` for each line of each document, a line once a document.
+
+        Level by level the batch is merge-joined with the runs; a line that one has settled goes (the
+        anti-join), any other takes along how often it was seen.
+        """
+        own = lines.groupBy("h", "g").agg(F.count("*").alias("n")).withColumn("seen", F.lit(0).cast("long"))
+        for run in self.runs():
+            before = run.select("h", "g", F.col("seen").alias("before")).hint("merge")
+            own = own.join(before, ["h", "g"], "left").filter(F.col("before").isNull() | (F.col("before") < self.settle))
+            own = own.select("h", "g", "n", F.greatest("seen", "before").alias("seen"))
+        self._push(0, own.withColumn("seen", F.col("seen") + F.col("n")))
 
     def _push(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(materialize(run.sortWithinPartitions("h", "g"), f"run{level}"))
+        self.levels[level].append(materialize_sorted(run, f"run{level}", ["h", "g"]))
         if len(self.levels[level]) > FANOUT:
             full, self.levels[level] = self.levels[level], []
-            merged = full[0]
-            for more in full[1:]:
-                merged = merged.union(more)
-            self._push(level + 1, merged.groupBy("h", "g").agg(F.sum("n").alias("n")))
+            self._push(level + 1, _merged(full))
             for old in full:
                 discard(old)
 
+    def drop(self) -> None:
+        """Delete the runs."""
+        for run in self.runs():
+            discard(run)
+        self.levels = []
+
+
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, runs).groupBy("h", "g").agg(F.sum("n").alias("n"), F.max("seen").alias("seen"))
+
 
 def dedup_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """Drop each line whose key is found in at least ``min_docs`` documents; the others stay, joined by newlines.
@@ -105,6 +123,7 @@ def dedup_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col:
     for k in range(batches):
         index.add(hashed.filter(F.col("batch") == k).select(F.inline("lines")))
     frequent = materialize(index.settled(), "frequent")
+    index.drop()
     hits = hashed.select(*KEY, F.inline("lines")).join(frequent, ["h", "g"], "left_semi")
     # a table of its own, so that both sides of the join below are plain exchanges that can be split where many copies meet
     drops = materialize(hits.groupBy(*KEY).agg(F.collect_set(F.struct("h", "g")).alias("_tidings_drop")), "drops")
