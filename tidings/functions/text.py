@@ -12,6 +12,24 @@ STOP_WORDS = {
     "fr": "au avec dans de des du elle en est et il la le les pour que qui sur un une".split(),
     "es": "al como con de del el en es la las los no para por que se su un una y".split(),
 }
+# The same for the other languages of the registry that have words between spaces.
+MORE_STOP_WORDS = {
+    "ca": "a al amb de del el els en és i la les més no o per que se un una".split(),
+    "da": "af at de den der det en er et for fra har i ikke med og på som til var".split(),
+    "fi": "ei että hän ja joka kun mutta myös ne niin oli on ovat se tai".split(),
+    "ha": "a da don ga haka idan ko na ne ta wannan ya yana zai".split(),
+    "hi": "और इस एक का की के को तो था थी थे नहीं पर भी में यह से है हैं".split(),
+    "hu": "a az azt de egy el és hogy is meg mint nem ne volt".split(),
+    "it": "al che con da del della di e gli i il in la le lo non per si sono un una".split(),
+    "lt": "ar bet buvo iki ir iš jis kad kaip ne nuo o per su tai yra".split(),
+    "nl": "aan als dat de die een en het in is met niet of op te van voor was zijn".split(),
+    "no": "av de den det en er et for fra har i ikke med og på som til var".split(),
+    "pt": "a ao as com da de do e em na no não o os para por que se um uma".split(),
+    "ro": "a al ale ca care cu de din în la mai nu o pe pentru se și un".split(),
+    "ru": "а без был в во для до и из к как на не но о от по с то что это".split(),
+    "sv": "att av de den det en ett för från har i inte med och på som till var".split(),
+    "tr": "bir bu çok da daha de en gibi ile için ki mi ne o ve".split(),
+}
 # Languages of the registry; those written without spaces.
 LANGUAGES = "ca zh da nl en fi fr de ha hi hu it ja lt no pt ro ru es sv tr".split()
 LOGOGRAMS = ("zh", "ja")
@@ -19,6 +37,8 @@ LOGOGRAMS = ("zh", "ja")
 TITLE_PART, TEXT_LIMIT = 32, 1 << 20
 # The word that stands for a mark between title parts, the marks, and the most characters of a title.
 PART_WORD, PART_MARKS, TITLE_CHARS = "SEPSEP", r"(?:- )|[:|]", 1023
+# Scripts of the languages without spaces, and the kana that only Japanese has.
+_LOGOGRAM, _KANA = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]", r"[\p{IsHiragana}\p{IsKatakana}]"
 _BLOCKS = "(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|blockquote|section|article|hr)\\b[^>]*>"
 
 
@@ -73,6 +93,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'’-]*[\p{L}\p{N}_])?"), F.lit(0))
 
 
+def words_of(text: Column, language: Column) -> Column:
+    """Words of a text in its language: where no spaces part them, each two neighbouring characters stand for one."""
+    pairs = F.regexp_extract_all(text, F.lit(rf"(?=({_LOGOGRAM}{{2}}))"), F.lit(1))
+    return F.when(language.isin(*LOGOGRAMS), F.concat(pairs, words(F.regexp_replace(text, _LOGOGRAM, " ")))).otherwise(words(text))
+
+
 def stem(word: Column, language: Column | str = "en") -> Column:
     """A light suffix stripper for the languages with word lists; other words stay as they are."""
     lang = F.lit(language) if isinstance(language, str) else language
@@ -87,18 +113,30 @@ def drop_stop_words(tokens: Column, language: Column) -> Column:
         return F.filter(tokens, lambda w: ~w.isin(stop))
 
     out = F.when(F.lit(False), tokens)
-    for lang, own in STOP_WORDS.items():
+    for lang, own in (STOP_WORDS | MORE_STOP_WORDS).items():
         if lang != "en":
             out = out.when(language == lang, without(sorted({*own, *STOP_WORDS["en"]})))
     return out.otherwise(without(STOP_WORDS["en"]))
 
 
 def guess_language(text: Column) -> Column:
-    """The language whose common words are most of the text's, by share; empty without ten letters or a common word."""
-    own = words(text)
-    hits = [F.struct(F.size(F.filter(own, lambda w, s=None: w.isin(STOP_WORDS[lang]))).alias("n"), F.lit(lang).alias("lang")) for lang in STOP_WORDS]
-    best = F.greatest(*hits)
-    return F.when((best["n"] > 0) & (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= 10), best["lang"]).otherwise("")
+    """The language whose common words are most of the text's, ties to the first listed; empty without ten letters or a common word.
+
+    Texts of which a fifth of the letters are logograms are Japanese with kana among them, else Chinese:
+    they need no ten letters, as one stands for a syllable or a word.
+    """
+    lists = STOP_WORDS | MORE_STOP_WORDS
+    common = F.filter(words(text), lambda w: w.isin(sorted({w for own in lists.values() for w in own})))
+
+    def most(found: Column) -> Column:
+        hits = [F.struct(F.size(F.filter(found, lambda w: w.isin(own))).alias("n"), F.lit(-k).alias("order"), F.lit(lang).alias("lang")) for k, (lang, own) in enumerate(lists.items())]
+        best = F.greatest(*hits)
+        return F.when(best["n"] > 0, best["lang"]).otherwise("")
+
+    letters, logograms = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(_LOGOGRAM))
+    asian = (logograms > 0) & (logograms * 5 >= letters)
+    latin = F.element_at(F.transform(F.array(common), most), 1)
+    return F.when(asian, F.when(text.rlike(_KANA), "ja").otherwise("zh")).when(letters >= 10, latin).otherwise("")
 
 
 def _plain_title(title: Column) -> Column:

@@ -55,6 +55,14 @@ def _(e):
     return G.near_centre(nodes, 1.2).select("id")
 
 
-@query("communities")
+def _propagation(rounds: int) -> str:
+    """Common table expressions of label propagation, one for each round."""
+    out = EDGES + ", both_ways AS (SELECT source_media_id AS a, ref_media_id AS b, link_count AS w FROM edges UNION ALL SELECT ref_media_id, source_media_id, link_count FROM edges), labels0 AS (SELECT DISTINCT a AS node, a AS community FROM both_ways)"
+    for k in range(rounds):
+        out += f", labels{k + 1} AS MATERIALIZED (SELECT node, arg_min(community, (-w, community)) AS community FROM (SELECT a AS node, community, sum(w) AS w FROM both_ways JOIN labels{k} l ON l.node = b GROUP BY 1, 2) GROUP BY 1)"
+    return f"{out} SELECT * FROM labels{rounds}"
+
+
+@query("communities", _propagation(5))
 def _(e):
     return G.communities(_edges(e), "source_media_id", "ref_media_id", "link_count")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidings.operators import tables
+from tidings.operators.storage import materialize_sorted
 from tidings.plans.registry import entity_query as query
 
 
@@ -332,3 +333,10 @@ def _(e):
 @query("referential_check", "SELECT DISTINCT stories_id FROM posts WHERE stories_id NOT IN (SELECT media_id FROM media)")
 def _(e):
     return tables.missing_keys(e.posts, "stories_id", e.media, "media_id")
+
+
+@query("join_co_located", "SELECT s.media_id, count(*) AS links FROM topic_links JOIN topic_stories s USING (stories_id) GROUP BY 1")
+def _(e):
+    links = materialize_sorted(e.topic_links, "links", ["stories_id"])
+    stories = materialize_sorted(e.topic_stories.select("stories_id", "media_id"), "stories", ["stories_id"])
+    return links.join(stories.hint("merge"), "stories_id").groupBy("media_id").agg(F.count("*").alias("links"))

@@ -64,7 +64,11 @@ def _(e):
     return e.stories.select("stories_id", "language", text.guess_language(F.col("text")).alias("guess"))
 
 
-@query("sentence_split")
+# Java's look-around marks the same places as a break put between the two groups: an end mark never begins a sentence.
+SPLIT = "regexp_split_to_array(regexp_replace(regexp_replace(substr(text, 1, 1048576), '[ \\t\\r\\f]+', ' ', 'g'), '([.!?])\\s+([\\p{Lu}\\p{N}])', '\\1' || chr(10) || '\\2', 'g'), '\\n+')"
+
+
+@query("sentence_split", f", parts AS (SELECT stories_id, list_filter(list_transform({SPLIT}, lambda x: trim(x)), lambda x: NOT regexp_matches(x, '(?:[\\[\\]{{}}<>]\\s*){{5,}}') AND NOT (length(x) <= 5 AND regexp_matches(x, '^[\\x00-\\x7f]*$')) AND regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS p FROM stories) SELECT stories_id, generate_subscripts(p, 1) - 1 AS sentence_number, unnest(p) AS sentence FROM parts")
 def _(e):
     return e.stories.select("stories_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence_number", "sentence"))
 
@@ -88,7 +92,17 @@ def _(e):
     return e.stories.groupBy("media_id").agg(text.feed_checksum(F.transform(F.array_sort(F.collect_list(F.struct("stories_id", "url"))), lambda s: s["url"])).alias("checksum"))
 
 
-@query("html_title_strip")
+GONE = "|".join(f"<{t}\\b[^>]*>.*?</{t}>" for t in ("script", "style", "title", "noscript", "head")) + "|<!--.*?-->"
+BLOCKS = "</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|blockquote|section|article|hr)\\b[^>]*>"
+STRIPPED = f"regexp_replace(regexp_replace(regexp_replace(html, '{GONE}', ' ', 'gis'), '{BLOCKS}', chr(10) || chr(10), 'gi'), '<[^>]*>', ' ', 'gs')"
+for _entity, _char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'"), ("­", "''"), ("&shy;", "''")):
+    STRIPPED = f"replace({STRIPPED}, '{_entity}', {_char})"
+STRIPPED = f"regexp_replace(regexp_replace(regexp_replace({STRIPPED}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+METAS = ", ".join(f"nullif(regexp_extract(html, '<meta[^>]*(?:property|name)=[\"'']{m}[\"''][^>]*content=[\"'']([^\"'']*)[\"'']', 1, 'is'), '')" for m in ("og:title", "twitter:title", "dc.title"))
+PAGE_TITLE = f"trim(regexp_replace(regexp_replace(regexp_replace(coalesce({METAS}, regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'), '^\\s*home(?:page)?\\s*[-:|]\\s*', '', 'i'))"
+
+
+@query("html_title_strip", f"SELECT page_id, {PAGE_TITLE} AS title, length({STRIPPED}) AS chars, nullif(regexp_extract(html, '<link[^>]*rel=[\"'']canonical[\"''][^>]*href=[\"'']([^\"'']+)[\"'']', 1, 'is'), '') AS canonical, nullif(trim(regexp_extract(html, '<meta[^>]*http-equiv=[\"'']refresh[\"''][^>]*content=[\"''][^\"'']*url=([^\"'']+)[\"'']', 1, 'is')), '') AS refresh FROM pages")
 def _(e):
     return e.table("pages").select("page_id", text.html_title(F.col("html")).alias("title"), F.length(text.html_strip(F.col("html"))).alias("chars"), text.canonical_link(F.col("html")).alias("canonical"), text.meta_refresh(F.col("html")).alias("refresh"))
 
