@@ -82,6 +82,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(materialize(format_reply_trees(messages), "formatted"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidings.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.audit import filter_interactions
+
+    return filter_interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidings.llm.clusters import cluster_vectors
+
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, size=64, seed=2)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_ann": op2_ann,
@@ -93,4 +113,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op11_packing": op11_packing,
+    "op12_filters": op12_filters,
+    "op13_clusters": op13_clusters,
 }
