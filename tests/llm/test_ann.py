@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidings.llm.ann import nearest_neighbours
+from tidings.llm.ann import _sample, nearest_neighbours, usable
 from tidings.llm.queries import op2_ann
 
 
@@ -76,3 +76,20 @@ def test_lists_cut_into_cells(spark):
     assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
     assert all(abs(a[1] - b[1]) < 1e-9 for i in want if 6000 <= i < 9000 for a, b in zip(got[i], want[i]))
     assert np.mean([len({a for a, _ in got[i]} & {a for a, _ in want[i]}) / 10 for i in want if i < 6000 or i >= 9000]) >= 0.9
+
+
+def test_exact_and_sample(spark):
+    """With ``exact`` nothing is missed, whatever the index; the sample of a table with a third of equal rows is of different vectors."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.zeros((400, 8)) + 0.5, rng.normal(size=(900, 8))])
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    asked = [int(i) for i in ids[::50]]
+    got = {}
+    for r in nearest_neighbours(df, df.filter("vec_id % 50 = 0"), sample=300, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [a for a, _ in best] for q, best in brute(ids, x, asked).items()}
+    rows = usable(df, "vec_id", "embedding")
+    sample = _sample(rows, 1300, 300)
+    assert 150 <= len(sample) <= 400 and len({tuple(v) for v in sample}) == len(sample)
+    assert len(_sample(rows.filter("vec_id < 400"), 400_000_000, 300)) == 1

@@ -108,3 +108,9 @@ def test_group_around_the_threshold(spark):
     assert 100 < alone < 500
     assert run(spark, rows, 3, 85) == want
     assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
+
+
+def test_full_similarity_links_equal_sets_only(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e g"), (4, "A  b c d e f"), (5, "")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}

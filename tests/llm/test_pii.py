@@ -5,7 +5,7 @@ import numpy as np
 
 import pytest
 
-from tidings.llm.pii import KINDS, TAGS, Tagger, base_spans, digests, disguised, find_pii, tagged_spans, train, windows
+from tidings.llm.pii import _free, _numbers, KINDS, TAGS, Tagger, base_spans, digests, disguised, find_pii, tagged_spans, train, windows
 
 HARD = [
     None, "", "a.b@c.de x@y a@b..c", "é🤷 +1 (984) 555-5224 and +12345", "4111 1111 1111 1111, 4111-1111-1111-1112", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 01.2.3.4.", "5" * 40, "x " * 30_000 + "me@mail.example.com", "dup 4111111111111111", "dup 4111111111111111",
@@ -101,3 +101,46 @@ def test_added_spans(spark, held_out):
     assert len(right) >= 0.85 * len(planted) and len(right) >= 0.9 * len(added)
     for kind in range(4):
         assert sum(k == kind for _, _, k, _ in right) >= 0.75 * sum(k == kind for _, k, _ in planted.values())
+
+
+#: Forms that the training does not make: other marks, other separators, other groupings.
+UNSEEN = {
+    0: lambda s: s.replace("@", " AT ").replace(".", " DOT "),
+    1: lambda s: s.replace(".", " [dot] "),
+    2: lambda s: "~".join(d[i : i + 4] for d in ["".join(c for c in s if c.isdigit())] for i in range(0, len(d), 4)),
+    3: lambda s: (lambda d: f"{d[-10:-7]}-{d[-7:-4]} {d[-4:]}")("".join(c for c in s if c.isdigit())),
+}
+
+
+def test_forms_that_were_not_taught(spark, held_out):
+    """Of spans in forms that the training does not make, many are found, and what is added lies on them."""
+    tagger, docs = held_out
+    texts = [r.text for r in docs.orderBy("doc_id").collect() if r.text]
+    pool = [[t[a:b] for t in texts for a, k, b in base_spans(t) if k == kind] for kind in range(4)]
+    rows, planted = [], {}
+    for i, text in enumerate([t for t in texts if not base_spans(t)][:400]):
+        kind, at = i % 4, text.find(" ", len(text) // 3) + 1
+        own = UNSEEN[kind](pool[kind][i % len(pool[kind])])
+        planted[i] = (at, at + len(own))
+        rows.append((i, text[:at] + own + " " + text[at:]))
+    found = find_pii(spark.createDataFrame(rows, "doc_id long, text string"), tagger)
+    added = [(r.doc_id, s.start, s.end) for r in found.collect() for s in r.pii if not s.base]
+    on = {i for i, a, b in added if a < planted[i][1] and planted[i][0] < b}
+    print("unseen forms", len(on), len(planted), len(added))
+    assert len(on) >= 0.4 * len(planted)
+    assert sum(a < planted[i][1] and planted[i][0] < b for i, a, b in added) >= 0.9 * len(added)
+
+
+def test_no_phone_inside_a_number(spark, held_out):
+    """What the tagger adds cuts no run of digits and is no part of a number that failed as a card."""
+    tagger, _ = held_out
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for r in find_pii(docs, tagger).collect():
+        for s in r.pii:
+            if not s.base:
+                around = r.text[max(0, s.start - 3) : s.end + 3]
+                assert not (s.start and r.text[s.start - 1].isdigit() and r.text[s.start].isdigit()), around
+                assert not (s.end < len(r.text) and r.text[s.end].isdigit() and r.text[s.end - 1].isdigit()), around
+    for text, start, end in (("4111 1111 1111 1112 x", 0, 14), ("call 4111-1111-1111-1112", 5, 19), ("no 41111111111111111111", 3, 15)):
+        assert not _free(text, start, 3, end, _numbers(text))
+    assert _free("at 555-123-4567 now", 3, 3, 15, _numbers("at 555-123-4567 now"))

@@ -91,3 +91,27 @@ def test_against_brute_force(spark):
     assert [d for _, d in own] == [False, True]
     for r in spans:
         assert abs(len(text[r.doc_id][r.start : r.end].split()) - r.n_words) <= 1 + r.n_words // 10
+
+
+def test_texts_without_spaces(spark):
+    """Scripts without spaces: each character counts as a word, in whole texts and where scripts mix."""
+    rng = random.Random(9)
+    script = lambda low, high, n: "".join(chr(rng.randint(low, high)) for _ in range(n))
+    passages = [script(0x4E00, 0x9FA0, 70), script(0x3041, 0x3096, 120), script(0x0E01, 0x0E2E, 200), script(0x4E00, 0x9FA0, 40) + " " + words(rng, 30), script(0x4E00, 0x9FA0, 45)]
+    rows = []
+    for i, p in enumerate(passages):
+        for k in range(3):
+            rows.append((10 * i + k, script(0x4E00, 0x9FA0, rng.randint(20, 200)) + p + script(0xAC00, 0xAD00, 1) + script(0x4E00, 0x9FA0, rng.randint(20, 200))))
+    rows.append((100, script(0x4E00, 0x9FA0, 2000)))
+    rows.append((101, rows[-1][1]))
+    text = dict(rows)
+    found = {}
+    for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append(r)
+        assert text[r.doc_id][r.start : r.end] in text[r.first_doc_id] and r.n_words >= 50
+    assert set(found) == {10 * i + k for i in range(4) for k in range(3)} | {100, 101}  # the last passage has 45 words
+    for i, p in enumerate(passages[:4]):
+        for k in range(3):
+            (r,) = found[10 * i + k]
+            assert p in text[10 * i + k][r.start : r.end] and r.end - r.start <= len(p) + 2
+    assert (found[101][0].start, found[101][0].end, found[101][0].n_words) == (0, 2000, 2000)

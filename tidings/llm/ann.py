@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidings.llm.common import add_columns
 from tidings.operators.storage import materialize
 
-#: The clustering is fitted on at most so many vectors, those of the least hashes of their ids.
+#: The clustering is fitted on some so many different vectors, those whose hash is under a threshold that follows from the number of rows.
 SAMPLE = 20_000
 #: Vectors of the sample in a cluster at most; so there are some SAMPLE / LIST lists whatever the table's size.
 LIST = 24
@@ -228,24 +228,36 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.filter(good).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL) -> DataFrame:
+def _sample(rows: DataFrame, total: int, size: int) -> list[np.ndarray]:
+    """Some ``size`` different vectors by a hash threshold, in the order of their hashes; no task gathers more than its part of them."""
+    place, share = F.pmod(F.xxhash64("v"), F.lit(1 << 40)), min(1.0, size / total)
+    while True:
+        found = rows.select(place.alias("place"), "v").filter(F.col("place") < F.lit(int(share * (1 << 40)))).distinct().toLocalIterator()
+        if out := [np.array(r.v) for r in sorted(found, key=lambda r: (r.place, r.v))]:
+            return out
+        share = min(1.0, 16 * share)  # few different vectors, none of them under the threshold
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, sample: int = SAMPLE, exact: bool = False) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest vectors found for each query, its own id excepted.
 
     The score is the Euclidean distance in double precision; ties go to the smaller id. Vectors that are
     null, empty, all zero, or hold a null or non-finite component take no part, nor do those of another
     length than most of the sample have. Rows that repeat an id count as one candidate, the nearest. With
     fewer candidates all are returned; an empty table gives an empty one. Other columns are not read.
-    ``cell``: rows of a list beyond which it is cut into cells.
+    ``cell``: rows of a list beyond which it is cut into cells. ``sample``: vectors that the index is fitted on,
+    about. ``exact``: every query reads every list, whole, so nothing is missed.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
-    sample = [np.array(r.v) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toLocalIterator()]
-    if not sample:
+    total = rows.count()
+    if not total:
         return spark.createDataFrame([], schema)
-    lengths = [len(v) for v in sample]
+    fitted = _sample(rows, total, sample)
+    lengths = [len(v) for v in fitted]
     size = max(sorted(set(lengths)), key=lengths.count)
-    graph = Graph(fit_centroids(np.array([v for v in sample if len(v) == size])))
+    graph = Graph(fit_centroids(np.array([v for v in fitted if len(v) == size])))
     shared = spark.sparkContext.broadcast(graph)
     rows, asked = rows.filter(F.size("v") == size), asked.filter(F.size("v") == size)
 
@@ -258,10 +270,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
         held[r["list"]] = r["count"]
 
     def probed(batch: list) -> dict:
-        return {"lists": _probes(shared.value, held, np.array(batch), k)}
+        return {"lists": [list(range(len(held)))] * len(batch) if exact else _probes(shared.value, held, np.array(batch), k)}
 
     probes = materialize(add_columns(asked, ["v"], probed, "lists array<int>", 256).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list")), "probes")
-    rows, asked = _in_cells(index, probes, k, cell)
+    rows, asked = _in_cells(index, probes, k, 1 << 62 if exact else cell)
     sizes = rows.groupBy("list", "cell").count().join(asked.groupBy("list", "cell").agg(F.count("*").alias("asked")), ["list", "cell"])
     sizes = materialize(sizes.select("list", "cell", F.ceil(F.col("count") / PART).cast("long").alias("parts"), F.ceil(F.col("asked") / BLOCK).cast("long").alias("blocks")), "sizes")
     up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

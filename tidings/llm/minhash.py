@@ -39,7 +39,7 @@ _words: dict[bytes, int] = {}
 
 
 def bands_for(similarity: float) -> int:
-    return math.ceil(math.log(MISS) / math.log1p(-(similarity**ROWS)))
+    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log1p(-(similarity**ROWS)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ class Sketcher:
 def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     bands = bands_for(percent / 100)
     #: Smaller sets are linked with equal sets only: one of s and one of s + 1 shingles are s / (s + 1) similar at most.
-    least = -(-percent // (100 - percent))
+    least = -(-percent // (100 - percent)) if percent < 100 else math.inf
     made: list[Sketcher] = []
 
     def per_batch(ids: list, batch: list) -> dict:

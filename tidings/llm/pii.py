@@ -416,12 +416,24 @@ def _plausible(kind: int, text: str) -> bool:
     return 10 <= len(digits) <= 15 and not re.search("[A-Za-z]", text)
 
 
+def _numbers(text: str) -> list[tuple[int, int]]:
+    """Stretches of digits that a pattern has matched and found to be none of its kind: longer than a phone, and no card."""
+    return [m.span() for m in PATTERNS["card"].finditer(text) if sum(c.isdigit() for c in m[0]) > 15 or not re.search("[ -]", m[0])]
+
+
+def _free(text: str, start: int, kind: int, end: int, numbers: list[tuple[int, int]]) -> bool:
+    """Whether a span cuts no run of digits, and is no phone that lies in a longer number."""
+    cut = any(0 < at < len(text) and text[at - 1].isdigit() and text[at].isdigit() for at in (start, end))
+    return not cut and not (kind == 3 and any(a <= start and end <= b and end - start < b - a for a, b in numbers))
+
+
 def find_pii(df: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
     """All columns and ``pii``: spans ``start, kind, end, base`` (code points), by start, then kind as listed.
 
     Base spans are those of the patterns. The tagger adds spans that meet no base span and hold what
     their kind cannot lack (an at and a dot, also in words; four numbers up to 255; 14 to 19 digits that pass
-    Luhn; 10 to 15 digits); without a tagger there are none. Every whole text is read, a slice of bounded
+    Luhn; 10 to 15 digits) and cut no number: neither a run of digits nor, for a phone, a longer number of
+    several groups; without a tagger there are none. Every whole text is read, a slice of bounded
     bytes at a time; a null text counts as empty, an empty table gives an empty one.
     Ids, repeated rows and further columns do not matter (one called ``pii`` is replaced).
     """
@@ -433,7 +445,8 @@ def find_pii(df: DataFrame, tagger: Tagger | None, text_col: str = "text") -> Da
         out = []
         for text, more in zip(batch, added):
             base = base_spans(text)
-            more = [s for s in more if not any(s[0] < e and b < s[2] for b, _, e in base) and _plausible(s[1], text[s[0] : s[2]])]
+            numbers = _numbers(text) if more else []
+            more = [s for s in more if not any(s[0] < e and b < s[2] for b, _, e in base) and _plausible(s[1], text[s[0] : s[2]]) and _free(text, *s, numbers)]
             out.append([{"start": s, "kind": KINDS[k], "end": e, "base": own} for s, k, own, e in sorted([(s, k, True, e) for s, k, e in base] + [(s, k, False, e) for s, k, e in more])])
         return {"pii": out}
 

@@ -142,20 +142,32 @@ def candidates(df: DataFrame, rules: list[Rule], text: Column) -> DataFrame | No
     return materialize(found.filter("bits = full").groupBy(*KEY).agg(F.collect_set("kind").alias("_tidings_kinds")), "candidates")
 
 
-def _spans(text: Column, rule: Rule, order: int, matches: Column, values: Column) -> Column:
-    """Spans of the leftmost matches, from the lengths of what lies between and of the matches."""
-    gaps = F.split(text, rule.regex)
-    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"), values.alias("value"))
-    kind = "array<struct<start: int, place: int, kind: string, end: int>>"
+#: Values that are summed one by one; a longer array is summed in stretches of so many, so its cost stays near its length.
+STRETCH = 128
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array of numbers that is not empty."""
+    append = lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
+    summed = lambda a: F.aggregate(a, F.array(F.lit(0)), append)
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRETCH).cast("int"))
+    inner = F.transform(starts, lambda k: summed(F.slice(values, k * STRETCH + 1, STRETCH)))  # each with a 0 before it
 
-    def add(acc: Column, s: Column) -> Column:
-        start = acc["at"] + F.length(s["gap"])
-        end = start + F.length(s["match"])
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(s["value"]) >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        before = summed(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), F.slice(before, 1, F.size(parts)).alias("before")), lambda z: F.transform(F.slice(z["part"], 2, F.size(z["part"]) - 1), lambda v: v + z["before"])))
 
-    none = F.array().cast(kind)
-    return F.when(F.size(matches) > 0, F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])).otherwise(none)
+    return F.element_at(F.transform(F.array(inner), placed), 1)  # the sums of the stretches are made once
+
+
+def _spans(text: Column, rule: Rule, order: int, matches: Column, values: Column) -> Column:
+    """Spans of the leftmost matches, from the running lengths of what lies between and of the matches."""
+    gaps = F.slice(F.split(text, rule.regex), F.lit(1), F.size(matches))
+    ends = _running(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m)))
+    kind = "array<struct<start: int, place: int, kind: string, end: int>>"
+    good = F.filter(F.arrays_zip(ends.alias("end"), matches.alias("match"), values.alias("value")), lambda s: F.length(s["value"]) >= rule.least)
+    spans = F.transform(good, lambda s: F.struct((s["end"] - F.length(s["match"])).alias("start"), F.lit(order).alias("place"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(kind))
 
 
 def find_secrets(df: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
@@ -163,7 +175,8 @@ def find_secrets(df: DataFrame, rules: list[Rule] | None = None, text_col: str =
 
     Matches of a rule are leftmost and do not overlap; those of different rules may. A null text counts as
     empty. Texts are named by content, so null and repeated ids, repeated rows and any further columns do
-    not matter (a column called ``secrets`` is replaced); an empty table gives an empty one.
+    not matter (a column called ``secrets`` is replaced); an empty table gives an empty one. Very long texts
+    are read whole, and many matches in one cost near their number.
     """
     rules = BASE + MORE if rules is None else rules
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -4,7 +4,7 @@ A gear rolling hash over the last WINDOW bytes sets chunk borders, so an inserti
 only the borders near it. Chunks are compared by digest. Chunks in a row that are found
 elsewhere too are a run; what stands beside its ends is compared with what stands beside the
 same chunks elsewhere, which moves the ends to the true edges of the passage. It counts
-when it has LEAST_WORDS words or more.
+when it has LEAST_WORDS words or more; a character of a script without spaces counts as a word.
 """
 
 from __future__ import annotations
@@ -58,14 +58,26 @@ def borders(data: np.ndarray) -> list[int]:
     return out
 
 
+#: Scripts that put no space between words (Thai and Lao; Burmese; Khmer; kana; Han and Yi; Han forms; rarer Han), by the first two bytes in UTF-8.
+UNSPACED = [(0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE381, 0xE383), (0xE390, 0xEA93), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0BF)]
+
+
 def _begins(data: np.ndarray) -> np.ndarray:
-    """Where words begin in UTF-8 bytes."""
+    """Where words begin in UTF-8 bytes: after white space, and at each character of a script that puts none between words."""
     letter = (data != 32) & ((data < 9) | (data > 13))
     begins = letter.copy()
     begins[1:] &= ~letter[:-1]
+    if len(data) > 1 and (data >= 0xE0).any():
+        pair = data[:-1].astype(np.int32) << 8 | data[1:]
+        for low, high in UNSPACED:
+            begins[:-1] |= (pair >= low) & (pair <= high)
     return begins
 
 
+def _words_begun(text: str) -> int:
+    return int(_begins(np.frombuffer(text.encode(), np.uint8)).sum())
+
+
 def _chunked(docs: DataFrame) -> DataFrame:
     """``doc_id, k, h, ends, words``: for each chunk of a text its digest, its end in code points, and the words begun up to there."""
 
@@ -156,9 +168,9 @@ def _extended(ends: DataFrame, docs: DataFrame) -> DataFrame:
         for right, before, x, y in zip(side, lead, own, other):
             n = _common(x, y, right)
             if right:  # a word that began before the end is counted there
-                words = int(_begins(np.frombuffer((before + x[:n]).encode(), np.uint8)).sum()) - len(before.split())
-            else:
-                words = len(x[len(x) - n :].split()) - (n > 0 and not x[-1].isspace()) if n else 0
+                words = _words_begun(before + x[:n]) - _words_begun(before)
+            else:  # nor does one that goes on in the run, which has not counted it, unless each character is a word
+                words = _words_begun(x[len(x) - n :]) - (not x[-1].isspace() and not _words_begun("a" + x[-1]) > 1) if n else 0
             more.append(n)
             more_words.append(words)
         return {"more": more, "more_words": more_words}
@@ -173,7 +185,8 @@ def repeated_passages(df: DataFrame, least_words: int = LEAST_WORDS, id_col: str
     place (least id, then text, then position), so one copy of each stays; ``first_doc_id`` is the id of
     that place. Rows with a null id take no part. Rows that repeat an id and a text are one; ``text_hash``
     tells several texts of one id apart. Spans of a text do not overlap; ``n_words`` of one that is cut by
-    another is its share. Null and empty texts have no passage. Texts of any length are
+    another is its share. Words are what stands between white space, and each character of a script that is
+    written without it. Null and empty texts have no passage. Texts of any length are
     read whole, a slice of bounded bytes at a time; an empty table gives an empty one. Other columns are
     not read.
     """
