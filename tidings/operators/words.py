@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.text import drop_stop_words, stem, words
+from tidings.functions.stems import stem_table
+from tidings.functions.text import drop_stop_words, words
+from tidings.operators.segments import Dictionary, segmented, without_spaces
 
 # Characters of a sentence that are counted, and how often a word counts in one sentence.
 SENTENCE_CHARS, MOST_IN_SENTENCE = 1024, 3
@@ -17,21 +19,54 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def word_counts(sentences: DataFrame, n: int = 1, stop_words: bool = True, stemmed: bool = False) -> DataFrame:
+def _clean_words(sentence: str) -> Column:
+    """Words of what counts of a sentence, without addresses and numbers."""
+    clean = F.regexp_replace(F.substr(sentence, F.lit(1), F.lit(SENTENCE_CHARS)), r"https?://\S+", " ")
+    return F.filter(words(clean), lambda w: ~w.rlike("^[0-9]+$"))
+
+
+def _stems_joined(rows: DataFrame) -> DataFrame:
+    """``id, own`` (stem, word) of the token arrays of ``id, language, own``: stems come from a table of the distinct words.
+
+    A sentence is put together again by its id; it has SENTENCE_CHARS characters at most, so its words fit a row.
+    """
+    tokens = rows.select("id", "language", F.posexplode("own").alias("at", "word"))
+    stems = stem_table(tokens.select("language", "word"))
+    found = tokens.join(stems, ["language", "word"])
+    return found.groupBy("id", "language").agg(F.array_sort(F.collect_list(F.struct("at", "stem", "word"))).alias("own"))
+
+
+def _with_words(rows: DataFrame, unspaced: Column, dictionary: Dictionary | None) -> DataFrame:
+    """``rows`` with the words of their sentence as ``own``; in languages without spaces by the dictionary, where there is one."""
+    if dictionary is None:
+        return rows.withColumn("own", _clean_words("sentence"))
+    cut = segmented(rows.withColumn("_s", F.when(unspaced, F.substr("sentence", F.lit(1), F.lit(SENTENCE_CHARS)))), dictionary, "_s", name="_cut")
+    return cut.withColumn("own", F.coalesce("_cut", _clean_words("sentence"))).drop("_s", "_cut")
+
+
+def word_counts(sentences: DataFrame, n: int = 1, stop_words: bool = True, stemmed: bool = False, dictionary: Dictionary | None = None) -> DataFrame:
     """``stem, term, count`` of words (or n-grams) of distinct sentences: a stem's most used term (ties to the least) and its capped count.
 
     The cap is applied inside the row: in the sorted words of a sentence a stem counts unless the same one
     stands MOST_IN_SENTENCE places before. So one aggregate by stem and word is all that is shuffled then.
+    With ``stemmed`` each distinct word of a language is stemmed once and joined back; an n-gram's stem is
+    that of its words. Sentences of languages without spaces are cut into the words of a ``dictionary``, as
+    ``tidings.operators.segments`` learns it from the corpus; without one a run of characters is one word.
     """
-    rows = sentences.groupBy("sentence").agg(F.collect_set(F.coalesce("language", F.lit(""))).alias("languages"))
-    clean = F.regexp_replace(F.substr("sentence", F.lit(1), F.lit(SENTENCE_CHARS)), r"https?://\S+", " ")
-    own = F.filter(words(clean), lambda w: ~w.rlike("^[0-9]+$"))
-
-    def named(language: Column) -> Column:
-        kept = _ngrams(drop_stop_words(F.col("own"), language) if stop_words else F.col("own"), n)
-        return F.transform(kept, lambda w: F.struct((stem(w, language) if stemmed else w).alias("stem"), w.alias("word")))
-
-    rows = rows.select("languages", own.alias("own")).select(F.array_sort(F.flatten(F.transform("languages", named))).alias("w"))
+    if stemmed:
+        each = sentences.select("sentence", F.coalesce("language", F.lit("")).alias("language")).distinct()
+        kept = drop_stop_words(F.col("own"), F.col("language")) if stop_words else F.col("own")
+        each = _with_words(each, without_spaces(F.col("language")), dictionary).select(F.sha2("sentence", 256).alias("id"), "language", kept.alias("own"))
+        own = _stems_joined(each).select("id", _ngrams(F.transform("own", lambda x: x["stem"]), n).alias("stem"), _ngrams(F.transform("own", lambda x: x["word"]), n).alias("word"))
+        rows = own.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("stem", "word")))).alias("w"))
+    else:
+        rows = sentences.groupBy("sentence").agg(F.collect_set(F.coalesce("language", F.lit(""))).alias("languages"))
+
+        def named(language: Column) -> Column:
+            kept = _ngrams(drop_stop_words(F.col("own"), language) if stop_words else F.col("own"), n)
+            return F.transform(kept, lambda w: F.struct(w.alias("stem"), w.alias("word")))
+
+        rows = _with_words(rows, F.exists("languages", without_spaces), dictionary).select(F.array_sort(F.flatten(F.transform("languages", named))).alias("w"))
     counts = lambda x, i: F.struct(x["stem"].alias("stem"), x["word"].alias("word"), (~F.get("w", i - MOST_IN_SENTENCE)["stem"].eqNullSafe(x["stem"])).cast("int").alias("n"))
     each = rows.select(F.inline(F.transform("w", counts))).groupBy("stem", "word").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     return each.groupBy("stem").agg(F.min_by("word", F.struct(-F.col("c"), F.col("word"))).alias("term"), F.sum("n").alias("count"))

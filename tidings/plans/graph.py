@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidings.operators import communities as C
 from tidings.operators import graph as G
 from tidings.operators import topics as T
 from tidings.plans.registry import entity_query as query
@@ -66,3 +67,17 @@ def _propagation(rounds: int) -> str:
 @query("communities", _propagation(5))
 def _(e):
     return G.communities(_edges(e), "source_media_id", "ref_media_id", "link_count")
+
+
+@query("communities_louvain")
+def _(e):
+    return C.louvain(_edges(e), "source_media_id", "ref_media_id", "link_count")
+
+
+@query("community_modularity", EDGES + """, both_ways AS (SELECT source_media_id AS a, ref_media_id AS b, link_count AS w FROM edges UNION ALL SELECT ref_media_id, source_media_id, link_count FROM edges),
+parts AS (SELECT a % 5 AS community, CAST(sum(w) FILTER (a % 5 = b % 5) AS DOUBLE) AS inside, CAST(sum(w) AS DOUBLE) AS total FROM both_ways GROUP BY 1)
+SELECT community, coalesce(inside, 0) AS inside, total, round(coalesce(inside, 0) / (SELECT sum(w) FROM both_ways) - 1.5 * (total / (SELECT sum(w) FROM both_ways)) ** 2, 9) AS part FROM parts""")
+def _(e):
+    edges = _edges(e)
+    both = C.both_ways(edges, "source_media_id", "ref_media_id", "link_count")
+    return C.modularity(both, both.select(F.col("a").alias("node"), (F.col("a") % 5).alias("community")).distinct()).withColumn("part", F.round("part", 9))

@@ -238,3 +238,34 @@ def _(e):
 def _(e):
     w = Window.partitionBy("language").orderBy("stories_id")
     return e.stories.withColumn("k", F.row_number().over(w)).filter("k = 1").select("language", "stories_id")
+
+
+# The stories as they are after the changes: every fifth begins anew, every seventh is deleted.
+CHANGED = ", now AS (SELECT stories_id, CASE WHEN stories_id % 5 = 0 THEN 'Licence notes, with the new text: ' || text ELSE text END AS text FROM stories WHERE stories_id % 7 <> 0), tokens AS (SELECT stories_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM now)"
+
+
+def _changed_index(e):
+    """An index of the stories in a first batch, updates in a second, deletions in a third."""
+    from tidings.operators.index import SearchIndex
+
+    index = SearchIndex(e.spark, fan=3)
+    rows = e.stories.select("stories_id", "text")
+    index.add(rows, 0)
+    index.add(rows.filter("stories_id % 5 = 0").withColumn("text", F.concat(F.lit("Licence notes, with the new text: "), "text")), 1)
+    index.add(rows.filter("stories_id % 7 = 0").withColumn("deleted", F.lit(True)), 2)
+    return index
+
+
+@query("index_search_words", CHANGED + " SELECT stories_id FROM tokens WHERE (list_contains(w, 'licence') OR len(list_filter(w, lambda x: starts_with(x, 'und'))) > 0) AND NOT list_contains(w, 'that')")
+def _(e):
+    return _changed_index(e).search("(licence or und*) and not that")
+
+
+@query("index_search_phrase", CHANGED + " SELECT stories_id FROM now WHERE regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])with\\s+the($|[^\\p{L}\\p{N}_])')")
+def _(e):
+    return _changed_index(e).search('"with the"')
+
+
+@query("index_search_near", CHANGED + ", places AS (SELECT stories_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM tokens) SELECT DISTINCT a.stories_id FROM places a JOIN places b ON a.stories_id = b.stories_id AND abs(a.i - b.i) <= 6 WHERE a.w = 'from' AND b.w = 'with'")
+def _(e):
+    return _changed_index(e).search('"from with"~5')

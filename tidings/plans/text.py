@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidings.functions import dates, text, urls
+from tidings.functions.stems import stem_table
+from tidings.operators import languages as L
+from tidings.operators import segments as S
 from tidings.operators import words as W
+from tidings.operators.sentences import learn_abbreviations, split_sentences
 from tidings.plans.registry import entity_query as query
 
 CLEAN = "regexp_replace(substr(sentence, 1, 1024), 'https?://\\S+', ' ', 'g')"
@@ -29,6 +33,24 @@ def _(e):
     return W.word_list(e.sentences, sample=1000, n=2, stemmed=True)
 
 
+@query("word_list_stemmed")
+def _(e):
+    return W.word_list(e.sentences, stemmed=True)
+
+
+@query("word_stems")
+def _(e):
+    return stem_table(L.distinct_words(e.stories))
+
+
+@query("unspaced_words")
+def _(e):
+    """Titles written without spaces, cut by the words of the stories."""
+    known = S.known_words(L.distinct_words(e.stories), 50_000)
+    bare = F.regexp_replace(F.lower("title"), r"[^\p{L}]", "")
+    return S.segmented(e.stories.select("stories_id", bare.alias("run")), known, "run", r"\p{L}").select("stories_id", F.array_join("words", " ").alias("words"))
+
+
 @query("word_matrix", f", tokens AS (SELECT stories_id, language, unnest(regexp_extract_all(lower(substr(sentence, 1, 1024)), '{WORD}')) AS w FROM sentences WHERE stories_id IN (SELECT stories_id FROM stories WHERE media_id = 3)), good AS (SELECT * FROM tokens WHERE NOT regexp_matches(w, '^[0-9]+$') AND NOT {STOP}) SELECT stories_id, w AS stem, count(*) AS count FROM good GROUP BY 1, 2")
 def _(e):
     return W.word_matrix(e.sentences.filter("media_id = 3"))
@@ -59,6 +81,12 @@ def _(e):
     return e.stories.groupBy("language").agg(F.count("*").alias("stories"))
 
 
+@query("identify_language")
+def _(e):
+    profiles = L.learn(e.stories.filter("crc32(cast(stories_id as string)) % 5 <> 0"))
+    return L.identify(e.stories.select("stories_id", "language", "text"), profiles).drop("text")
+
+
 @query("guess_language")
 def _(e):
     return e.stories.select("stories_id", "language", text.guess_language(F.col("text")).alias("guess"))
@@ -73,6 +101,12 @@ def _(e):
     return e.stories.select("stories_id", F.posexplode(text.sentences(F.col("text"))).alias("sentence_number", "sentence"))
 
 
+@query("sentence_split_learnt")
+def _(e):
+    found = split_sentences(e.stories.select("stories_id", "text", "language"), learn_abbreviations(e.stories))
+    return found.select("stories_id", F.posexplode("sentences").alias("sentence_number", "sentence"))
+
+
 TITLE = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({}, '<[^<]*>', '', 'g'), '&#?[a-z0-9]*', '', 'gi')), '(?:- )|[:|]', 'SEPSEP', 'g'), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g')"
 
 
