@@ -41,8 +41,8 @@ def near_centre(nodes: DataFrame, times: float = 2.0) -> DataFrame:
     return far.crossJoin(middle).filter(F.col("far") <= F.lit(times) * F.col("middle")).select(*nodes.columns)
 
 
-def element_at(rows: DataFrame, column: str, bins: int = 10_000) -> DataFrame:
-    """One row: the element at n / 2 of the sorted values.
+def element_at(rows: DataFrame, column: str, bins: int = 10_000, place: int | None = None) -> DataFrame:
+    """One row: the element at ``place`` (from 0) of the sorted values, by default at n / 2.
 
     Values are counted in bins between the least and the most; the bin that holds the element is binned
     again until it is of one value, so no task sees more than the counts of the bins.
@@ -50,7 +50,7 @@ def element_at(rows: DataFrame, column: str, bins: int = 10_000) -> DataFrame:
     now, skip = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null"), None
     while True:
         ends = now.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).first()
-        skip = ends.n // 2 if skip is None else skip
+        skip = (ends.n // 2 if place is None else place) if skip is None else skip
         if ends.lo is None or ends.lo == ends.hi:
             return rows.sparkSession.createDataFrame([(ends.lo,)], f"`{column}` double")
         place = F.least(F.floor((F.col("v") - ends.lo) / (ends.hi - ends.lo) * bins), F.lit(bins - 1))

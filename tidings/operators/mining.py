@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions import urls
@@ -29,9 +29,10 @@ def match_stories(wanted: DataFrame, stories: DataFrame, media: DataFrame) -> Da
     usable = stories.join(media.filter(~F.col("foreign_rss_links")).select("media_id", "dup_media_id"), "media_id")
     known = usable.select("stories_id", "dup_media_id", "publish_date", F.explode(forms("url", "guid")).alias("form"))
     found = asked.join(known, "form").select("url", "stories_id", "dup_media_id", "publish_date").distinct()
-    newest = F.sort_array(F.collect_list(F.struct("publish_date", "stories_id", F.col("dup_media_id").isNotNull().alias("dup"))), asc=False)
-    best = F.array_min(F.transform(F.slice(newest, 1, MOST_MATCHES), lambda s: F.struct(s["dup"], s["stories_id"].alias("stories_id"))))
-    return found.groupBy("url").agg(best["stories_id"].alias("stories_id"))
+    # the newest of a URL are cut before the shuffle too, so a home page sends MOST_MATCHES rows from each task at most
+    newest = F.row_number().over(Window.partitionBy("url").orderBy(F.desc_nulls_last("publish_date"), F.desc("stories_id")))
+    best = F.min_by("stories_id", F.struct(F.col("dup_media_id").isNotNull(), F.col("stories_id")))
+    return found.withColumn("k", newest).filter(F.col("k") <= MOST_MATCHES).groupBy("url").agg(best.alias("stories_id"))
 
 
 def move_to_root_media(stories: DataFrame, roots: DataFrame) -> DataFrame:
@@ -87,11 +88,21 @@ def dedup_media(media: DataFrame) -> DataFrame:
     return keyed.join(kept, ["domain", "form"]).filter("media_id <> dup_of").select("media_id", "dup_of")
 
 
-def merge_candidates(media: DataFrame) -> DataFrame:
-    """``media_id, candidate_id``: media whose host or name holds the other's second-level label as a word; an equi-join on words."""
+#: Media that share a second-level label at most; one that more have is the name of a host of many, not of a medium.
+LABEL_MEDIA = 1000
+
+
+def merge_candidates(media: DataFrame, most: int = LABEL_MEDIA) -> DataFrame:
+    """``media_id, candidate_id``: media whose host or name holds the other's second-level label as a word; an equi-join on words.
+
+    A label of more than ``most`` media says nothing about any two of them and gives no candidates, so there are
+    at most ``most`` for each word of a medium.
+    """
     label = F.element_at(F.split(urls.distinctive_domain(F.col("url")), "\\."), 1)
     word = F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", F.translate(urls.host(F.col("url")), ".", " "), "name")), r"\s+")))
     own = media.select("media_id", label.alias("label")).filter("label <> ''")
+    telling = own.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("label")
+    own = own.join(telling, "label", "left_semi")
     return own.join(media.select(F.col("media_id").alias("candidate_id"), word.alias("label")), "label").filter("media_id <> candidate_id").select("media_id", "candidate_id")
 
 
@@ -103,8 +114,6 @@ def respider_flags(stories: DataFrame, old: tuple[Column, Column], new: tuple[Co
 
 def id_chunks(rows: DataFrame, key: str, size: int = 100, block: int = 100_000) -> DataFrame:
     """``key, block, chunk``: distinct ids in chunks of at most ``size``, dealt within blocks of the id range, so no task numbers them all."""
-    from pyspark.sql import Window
-
     ids = rows.select(key).distinct().withColumn("block", F.floor(F.col(key) / block))
     place = F.row_number().over(Window.partitionBy("block").orderBy(key)) - 1
     return ids.withColumn("chunk", F.floor(place / size))

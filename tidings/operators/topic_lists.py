@@ -134,9 +134,3 @@ def query_export(found: DataFrame, counts: DataFrame | None = None) -> DataFrame
     """Rows of a story search for a file, with link counts where a timespan's are given."""
     rows = found.select("stories_id", "media_id", "title", "url", "publish_date")
     return rows if counts is None else rows.join(counts, "stories_id", "left")
-
-
-def co_located(table: DataFrame, name: str, key: str, buckets: int = 200) -> DataFrame:
-    """Save a table bucketed and sorted by a key, so that tables that share it join without a shuffle."""
-    table.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
-    return table.sparkSession.table(name)

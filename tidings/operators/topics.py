@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.dates import in_period
+from tidings.operators.graph import element_at
 from tidings.operators.storage import discard, materialize, rows_and_sum
 
 
@@ -122,19 +123,23 @@ def top_tenth(counts: DataFrame) -> DataFrame:
     """The first tenth by media inlinks (rounded up), of which those with more inlinks than the first miss less one.
 
     A tenth of all rows is no top-k: the count of media inlinks at the border comes from one aggregate by
-    that count (as many rows as there are media at most), and only rows tied at the border are ranked.
+    that count (as many rows as there are media at most); rows tied at the border are ranked by counts of ranges
+    of their ids, so no task sees them all.
     """
+    counts = materialize(counts, "counts")
     per = counts.groupBy("media_inlinks").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.orderBy(F.desc("media_inlinks")))
     wanted = F.broadcast(per.agg(F.ceil(F.sum("n") / 10).cast("long").alias("wanted")))
     ranked = per.withColumn("upto", upto).crossJoin(wanted)
     # the first miss has the greatest rank wanted + 1: all above its value are in, and some of its ties
-    edge = F.broadcast(ranked.filter("upto > wanted").agg(F.max_by(F.struct("media_inlinks", (F.col("wanted") - F.col("upto") + F.col("n")).alias("ties")), "media_inlinks").alias("e")).select("e.*").withColumnRenamed("media_inlinks", "edge"))
-    at_edge = counts.crossJoin(edge).filter("media_inlinks = edge")
-    first_ties = at_edge.withColumn("k", F.row_number().over(Window.orderBy("stories_id")))
-    bar = F.broadcast(first_ties.filter("k = ties + 1").select((F.col("inlinks") - 1).alias("bar")))
-    above = counts.crossJoin(edge).filter("media_inlinks > edge").select("stories_id", "inlinks")
-    return above.union(first_ties.filter("k <= ties").select("stories_id", "inlinks")).crossJoin(bar).filter("inlinks > bar").select("stories_id")
+    edge = ranked.filter("upto > wanted").agg(F.max_by(F.struct(F.col("media_inlinks").alias("value"), (F.col("wanted") - F.col("upto") + F.col("n")).alias("ties")), "media_inlinks").alias("e")).first().e
+    if edge is None:
+        return counts.select("stories_id").limit(0)
+    tied = counts.filter(F.col("media_inlinks") == edge.value)
+    miss = element_at(tied, "stories_id", place=edge.ties).first().stories_id  # the ties are ranked by counts of id ranges
+    bar = tied.filter(F.col("stories_id") == miss).agg(F.min("inlinks")).first()[0] - 1
+    first = (F.col("media_inlinks") > edge.value) | (F.col("media_inlinks") == edge.value) & (F.col("stories_id") < miss)
+    return counts.filter(first & (F.col("inlinks") > bar)).select("stories_id")
 
 
 def one_per_host(pending: DataFrame, host: str, order: list[Column]) -> DataFrame:
@@ -158,7 +163,16 @@ def confidence_models(stories: DataFrame, links: DataFrame, runs: int = 10, seed
 
 def permissions(users: DataFrame, topics: DataFrame, grants: DataFrame) -> DataFrame:
     """``user, topic, permission``: admin by role, else the grant, else read if public, else none."""
-    pairs = users.crossJoin(F.broadcast(topics))
+    pairs = users.crossJoin(topics)
+    return _with_level(pairs, grants)
+
+
+def permissions_of(asked: DataFrame, users: DataFrame, topics: DataFrame, grants: DataFrame) -> DataFrame:
+    """The same for the pairs ``user, topic`` that are asked for: joins by user, topic and both, never all pairs."""
+    return _with_level(asked.select("user", "topic").distinct().join(users, "user").join(topics, "topic"), grants)
+
+
+def _with_level(pairs: DataFrame, grants: DataFrame) -> DataFrame:
     level = F.when(F.col("is_admin"), "admin").when(F.col("permission").isNotNull(), F.col("permission")).when(F.col("is_public"), "read").otherwise("none")
     return pairs.join(grants, ["user", "topic"], "left").select("user", "topic", level.alias("permission"))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidings.functions import boolean, urls
+from tidings.functions import boolean, dates, sql, urls
+from tidings.operators import export as X
 from tidings.operators import health as H
+from tidings.operators import mining as M
 from tidings.operators import search as S
 from tidings.operators import tables as B
 from tidings.operators import topics as T
@@ -154,3 +156,158 @@ def _(e):
     return H.health_status(rows, feeds).select("medium", "has_active_feed")
 
 
+
+
+# Streams in several batches
+
+
+def _batches(e, parts, path=None):
+    """A folder with one file for each part, to be read as so many batches, in order."""
+    path = path or table_path(e.spark, "batches")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return e.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_daily_load", "SELECT CAST(publish_date AS DATE) AS day, count(*) AS posts, date_diff('day', CAST(publish_date AS DATE), (SELECT max(CAST(publish_date AS DATE)) FROM posts)) > 1 AS complete FROM posts GROUP BY 1")
+def _(e):
+    """A first load without every third post, then one of all posts: late ones come in, none comes twice."""
+    posts = e.posts.withColumn("publish_date", F.col("publish_date").cast("timestamp"))
+    path = table_path(e.spark, "days")
+    streams.daily_load(_batches(e, [posts.filter("post_id % 3 <> 0"), posts]), path, table_path(e.spark, "marks")).awaitTermination()
+    return streams.loaded_days(e.spark, path)
+
+
+@query("stream_index_search", ", tokens AS (SELECT stories_id, regexp_extract_all(lower(CASE WHEN stories_id % 4 = 0 THEN 'press release' ELSE text END), '[\\p{L}\\p{N}_]+') AS w FROM stories WHERE stories_id % 9 <> 0) SELECT stories_id FROM tokens WHERE (list_contains(w, 'press') OR list_contains(w, 'with')) AND NOT list_contains(w, 'from')")
+def _(e):
+    """Stories come in, some are changed and some deleted; the index follows the stream of changes."""
+    from tidings.operators.index import SearchIndex
+
+    rows = e.stories.select("stories_id", "text", F.lit(False).alias("deleted"))
+    changed = rows.filter("stories_id % 4 = 0").withColumn("text", F.lit("press release"))
+    gone = rows.filter("stories_id % 9 = 0").select("stories_id", "text", F.lit(True).alias("deleted"))
+    index = SearchIndex(e.spark)
+    streams.index_stream(_batches(e, [rows, changed, gone]), index, table_path(e.spark, "marks")).awaitTermination()
+    return index.search("(press or with) and not from")
+
+
+ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("stream_domain_lock", ", grants AS (SELECT * FROM (WITH RECURSIVE g AS (SELECT author, min(publish_date) AS t FROM posts GROUP BY 1 UNION ALL SELECT g.author, (SELECT min(p.publish_date) FROM posts p WHERE p.author = g.author AND p.publish_date >= g.t + INTERVAL 6 HOUR) FROM g WHERE g.t IS NOT NULL) SELECT * FROM g WHERE t IS NOT NULL)) SELECT author, strftime(t, '%Y-%m-%d %H:%M:%S') AS granted_at FROM grants")
+def _(e):
+    """Each author is a domain whose requests are granted six hours apart, by state with timers."""
+    old = e.spark.conf.get(ROCKS[0])
+    e.spark.conf.set(*ROCKS)
+    try:
+        rows = e.posts.select(F.col("author").cast("string").alias("domain"), F.col("publish_date").cast("timestamp").alias("at"))
+        out = _streamed(e, rows, lambda s: streams.domain_lock(s, 6 * 3600, "100 days"))
+    finally:
+        e.spark.conf.set(ROCKS[0], old)
+    return out.filter("granted").select(F.col("domain").cast("long").alias("author"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("granted_at"))
+
+
+# Rules on data that puts them to the test
+
+
+@query("co_sharing_adaptive_rows", PAIRS.replace("range(0, 12)", "range(0, 22)") + " SELECT a_id, b_id, seconds FROM pairs, chosen WHERE seconds <= s ORDER BY seconds, a_id, b_id LIMIT (SELECT n FROM n)")
+def _(e):
+    """The interval may go down to 15 seconds, where some authors have shared two stories."""
+    posts = e.posts.filter("stories_id is not null")
+    return T.co_sharing_links(posts, posts.select("stories_id").distinct().count(), least=15)
+
+
+@query("period_stories_first_month", ", f AS (SELECT date_trunc('month', min(publish_date)) AS lo FROM topic_stories), own AS (SELECT stories_id FROM topic_stories, f WHERE publish_date BETWEEN lo AND lo + INTERVAL 1 MONTH - INTERVAL 1 SECOND) SELECT stories_id FROM own UNION SELECT ref_stories_id FROM topic_links JOIN own USING (stories_id) WHERE ref_stories_id IN (SELECT stories_id FROM topic_stories)")
+def _(e):
+    first = F.lit(e.topic_stories.agg(F.date_trunc("month", F.min("publish_date"))).first()[0]).cast("timestamp_ntz")
+    return T.period_stories(e.topic_stories, e.topic_links, first, first + F.expr("interval 1 month"))
+
+
+@query("join_anti_rows", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
+def _(e):
+    return e.table("part").join(e.table("lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("tsquery_of_titles", "SELECT stories_id, '( ' || array_to_string(w, ' & ') || ' )' AS form FROM (SELECT stories_id, regexp_extract_all(lower(title), '[a-z]{3,}')[1:3] AS w FROM stories) WHERE len(w) = 3 AND len(list_intersect(w, ['and', 'not'])) = 0")
+def _(e):
+    """The first three words of each title, joined by AND, in the notation of text search queries."""
+    words = F.slice(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)), 1, 3)
+    rows = e.stories.select("stories_id", words.alias("w")).filter((F.size("w") == 3) & ~F.arrays_overlap("w", F.array(F.lit("and"), F.lit("not"))))
+    form = F.udf(boolean.tsquery, "string")  # a short query for each row
+    return rows.select("stories_id", form(F.array_join("w", " AND ")).alias("form"))
+
+
+@query("latest_overall_of_media", "SELECT media_id AS topics_id, arg_max(stories_id, (publish_date, stories_id)) AS timespans_id FROM stories WHERE stories_id % 3 = 0 AND publish_date IS NOT NULL GROUP BY 1")
+def _(e):
+    """Each medium as a topic and its stories as timespans, every third of them overall."""
+    rows = e.stories.filter("publish_date is not null").select(F.col("media_id").alias("topics_id"), F.col("stories_id").alias("timespans_id"), F.when(F.col("stories_id") % 3 == 0, "overall").otherwise("weekly").alias("period"), F.col("publish_date").alias("snapshot_date"))
+    return T.latest_overall(rows)
+
+
+@query("page_url_forms", "SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?&](utm_source|ref)=[^&]*', '') AS url FROM pages")
+def _(e):
+    """URLs of pages without what tracks readers and without fragments."""
+    tidy = F.regexp_replace(urls.normalize_url(F.concat("url")), r"\?$", "")
+    return e.table("pages").select("page_id", tidy.alias("url"))
+
+
+@query("page_dates", "SELECT page_id, CASE WHEN page_id % 6 = 5 THEN NULL ELSE DATE '2023-01-01' + CAST(page_id % 400 AS INTEGER) END AS day, CASE page_id % 6 WHEN 0 THEN 'guess_by_meta_article:published_time' WHEN 1 THEN 'guess_by_url' WHEN 2 THEN 'guess_by_time_tag' WHEN 3 THEN 'guess_by_text' WHEN 4 THEN 'guess_by_meta_datePublished' ELSE 'undateable' END AS method FROM pages")
+def _(e):
+    """The pages with a date planted in the way that a page's number asks for; those of others have weaker evidence of another day."""
+    day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("page_id") % 400).cast("int"))
+    k, iso = F.col("page_id") % 6, F.date_format(day, "yyyy-MM-dd")
+    meta = F.when(k == 0, F.concat(F.lit('<meta property="article:published_time" content="'), iso, F.lit('T08:00:00Z">'))).when(k == 4, F.concat(F.lit('<meta content="'), iso, F.lit('" itemprop="datePublished"><time datetime="2001-02-03">'))).otherwise("")
+    tag = F.when(k == 2, F.concat(F.lit('<time class="x" datetime="'), iso, F.lit('">'))).when(k == 0, "<time datetime='2001-02-03'>").otherwise("")
+    text = F.when(k == 3, F.concat(F.lit("<p>Posted <b>on</b> "), F.date_format(day, "MMMM d, yyyy"))).when(k == 2, "<p>published 4 May 1999").otherwise("<p>published soon, 31 February 2020")
+    url = F.when(k == 1, F.concat(F.lit("http://x.example.com/"), F.date_format(day, "yyyy/MM/dd"), F.lit("/a"))).otherwise(F.col("url"))
+    return e.table("pages").select("page_id", dates.guess_date(url, F.concat(meta, tag, text, "html")).alias("g")).select("page_id", "g.*")
+
+
+@query("page_media", "SELECT p.page_id, m.media_id FROM (SELECT page_id, regexp_extract(url, '^https?://((m|blog|www)\\.)?([^/?#:]+)', 3) AS h FROM pages) p JOIN (SELECT h, arg_min(page_id, (page_id % 2 = 0, page_id)) AS media_id FROM (SELECT page_id, regexp_extract(url, '^https?://((m|blog|www)\\.)?([^/?#:]+)', 3) AS h FROM pages WHERE page_id % 3 = 0) GROUP BY 1) m USING (h)")
+def _(e):
+    """Every third page's host is a medium; the medium of each page, found by the lossy form of its site."""
+    site = F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.lit("/"))
+    pages = e.table("pages").select("page_id", site.alias("url"))
+    media = pages.filter("page_id % 3 = 0").select(F.col("page_id").alias("media_id"), "url", F.lit(None).cast("long").alias("dup_media_id"))
+    found = M.medium_by_url(pages.select("url").distinct(), media, media.filter("media_id % 2 = 0"))
+    return pages.join(found, "url").select("page_id", "media_id")
+
+
+@query("page_media_duplicates", "WITH h AS (SELECT page_id, regexp_extract(url, '^https?://((m|blog|www)\\.)?([^/?#:]+)', 3) AS h FROM pages) SELECT page_id AS media_id, least AS dup_of FROM (SELECT page_id, min(page_id) OVER (PARTITION BY h) AS least FROM h) WHERE page_id <> least".replace("WITH h AS", ", h AS"))
+def _(e):
+    site = F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.lit("/"))
+    return M.dedup_media(e.table("pages").select(F.col("page_id").alias("media_id"), site.alias("url"), F.lit(None).cast("long").alias("dup_media_id")))
+
+
+@query("topic_permission_of", "SELECT DISTINCT author AS \"user\", stories_id % 40 AS topic, CASE WHEN author % 5 = 0 THEN 'admin' WHEN (author + stories_id % 40) % 4 = 0 THEN 'write' WHEN stories_id % 40 % 2 = 0 THEN 'read' ELSE 'none' END AS permission FROM posts WHERE stories_id IS NOT NULL")
+def _(e):
+    """Permissions of the pairs that posts ask for."""
+    asked = e.posts.filter("stories_id is not null").select(F.col("author").alias("user"), (F.col("stories_id") % 40).alias("topic"))
+    users = asked.select("user").distinct().withColumn("is_admin", F.col("user") % 5 == 0)
+    topics = asked.select("topic").distinct().withColumn("is_public", F.col("topic") % 2 == 0)
+    grants = asked.distinct().filter("(user + topic) % 4 = 0").withColumn("permission", F.lit("write"))
+    return T.permissions_of(asked, users, topics, grants)
+
+
+_CLOSED = ", RECURSIVE_NONE AS (SELECT 1), seeds AS (SELECT stories_id FROM stories WHERE stories_id % 37 = 0), m AS (SELECT * FROM (WITH RECURSIVE c AS (SELECT media_id FROM stories WHERE stories_id % 37 = 0 UNION SELECT m.dup_media_id FROM media m JOIN c USING (media_id) WHERE m.dup_media_id IS NOT NULL) SELECT * FROM c)), kept_tags AS (SELECT DISTINCT tags_id FROM story_tags WHERE stories_id IN (SELECT stories_id FROM seeds))"
+
+
+@query("closed_export", _CLOSED + " SELECT 'stories' AS \"table\", stories_id AS id FROM seeds UNION ALL SELECT 'media', media_id FROM m UNION ALL SELECT 'feeds', feeds_id FROM feeds WHERE media_id IN (SELECT media_id FROM m) UNION ALL SELECT 'tags', tags_id FROM kept_tags UNION ALL SELECT 'story_tags', stories_id * 10 + tags_id FROM story_tags WHERE stories_id IN (SELECT stories_id FROM seeds)")
+def _(e):
+    """Every 37th story with its tags, its medium, those it is a duplicate of, and their feeds."""
+    tables = {"stories": e.stories.select("stories_id", "media_id"), "media": e.media, "feeds": e.feeds, "tags": e.tags, "story_tags": e.story_tags.withColumn("id", F.col("stories_id") * 10 + F.col("tags_id"))}
+    keys = {"stories": "stories_id", "media": "media_id", "feeds": "feeds_id", "tags": "tags_id", "story_tags": "id"}
+    refs = [X.Reference("stories", "media_id", "media"), X.Reference("media", "dup_media_id", "media"), X.Reference("feeds", "media_id", "media", True), X.Reference("story_tags", "stories_id", "stories", True), X.Reference("story_tags", "tags_id", "tags")]
+    out = X.closed_subset(tables, keys, refs, {"stories": e.stories.filter("stories_id % 37 = 0")})
+    parts = [out[t].select(F.lit(t).alias("table"), F.col(keys[t]).alias("id")) for t in keys]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+@query("sql_functions", ", weeks AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-12', INTERVAL 7 DAY)) AS DATE) AS week) SELECT week, count(stories_id) AS stories, min(substr(md5(url), 1, 16)) AS first_hash FROM weeks LEFT JOIN stories ON publish_date >= week AND publish_date < week + INTERVAL 7 DAY AND regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])the') GROUP BY 1")
+def _(e):
+    """A query written as SQL over the library's functions: a table function, a predicate and values."""
+    sql.register(e.spark)
+    return e.spark.sql(
+        "SELECT week, count(stories_id) AS stories, min(half_md5(url)) AS first_hash FROM weeks_between(DATE'2024-01-01', DATE'2024-02-12') LEFT JOIN {stories} ON week_start_date(CAST(publish_date AS DATE)) = week AND word_starts(text, 'the') GROUP BY week",
+        stories=e.stories,
+    )
