@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,6 +73,83 @@ def link_states(links: DataFrame, matches: DataFrame, ignored: Column) -> DataFr
     return rows.select("url", state.alias("state"))
 
 
+# States of a URL that is to be fetched for a topic.
+PENDING, REQUEUED, TWEET_PENDING = "pending", "requeued", "tweet pending"
+IGNORED, SKIPPED, FAILED, NO_MATCH, MATCHED, ADDED = "ignored", "skipped", "request failed", "content match failed", "story match", "story added"
+
+
+def advance_fetches(todo: DataFrame, failed: DataFrame, self_linked: DataFrame, matches: DataFrame, responses: DataFrame, ignored: Callable[[Column], Column], relevant: Column) -> DataFrame:
+    """``url, state, code, stories_id, message``: each row of ``todo`` in the state that what is known of its URL leads to.
+
+    ``todo``: url, state, assume_match; only pending and requeued rows move. In this order decide: the ignore rule,
+    a failure of the same URL before (``failed``: url, state, code, message), a domain that links to itself too
+    often (``self_linked``: domain), a story found by the URL (``matches``: url, stories_id; requeued rows are not
+    matched again before the fetch), a post or user page of a platform that another job fetches, and the response
+    (``responses``: url, code, success, response_url, content, message, known_id: the story that the redirect leads
+    to or that exists already). A successful one whose content is ``relevant``, or whose row says assume_match,
+    adds a story. Without a response a row stays as it is.
+    """
+    one = lambda df, *c: df.select("url", *c).dropDuplicates(["url"])
+    rows = todo.join(one(failed, F.col("state").alias("f_state"), F.col("code").alias("f_code"), F.col("message").alias("f_message")), "url", "left")
+    rows = rows.join(matches.groupBy("url").agg(F.min("stories_id").alias("m_id")), "url", "left")
+    rows = rows.join(one(responses, F.col("code").alias("r_code"), "success", "response_url", "content", F.col("message").alias("r_message"), "known_id"), "url", "left")
+    rows = rows.withColumn("domain", urls.distinctive_domain(F.col("url"))).join(self_linked.select("domain", F.lit(True).alias("self")).distinct(), "domain", "left")
+    moved = F.coalesce(F.col("response_url") != F.col("url"), F.lit(False)) & F.coalesce(ignored(F.col("response_url")), F.lit(False))
+    platform = F.col("url").rlike(r"(?i)^https?://(?:www\.|mobile\.|m\.)?twitter\.com/(?:[^/?#]+/status(?:es)?/\d+|[^/?#]+/?(?:[?#]|$))")
+    result = lambda state, code=None, story=None, message=None: F.struct(F.lit(state).alias("state") if isinstance(state, str) else state.alias("state"), (F.lit(code) if isinstance(code, int | None) else code).cast("int").alias("code"), (F.lit(None) if story is None else story).cast("long").alias("stories_id"), (F.lit(None) if message is None else message).cast("string").alias("message"))
+    to = (
+        F.when(~F.col("state").isin(PENDING, REQUEUED), result(F.col("state")))
+        .when(F.coalesce(ignored(F.col("url")), F.lit(False)), result(IGNORED, 403))
+        .when(F.col("f_state").isNotNull(), result(F.col("f_state"), F.col("f_code"), None, F.col("f_message")))
+        .when(F.col("self"), result(SKIPPED, 403))
+        .when((F.col("state") == PENDING) & F.col("m_id").isNotNull(), result(MATCHED, 200, F.col("m_id")))
+        .when(platform, result(TWEET_PENDING))
+        .when(F.col("success").isNull(), result(F.col("state")))
+        .when(moved, result(IGNORED, 403))
+        .when(~F.col("success"), result(FAILED, F.col("r_code"), None, F.col("r_message")))
+        .when(F.col("known_id").isNotNull(), result(MATCHED, F.col("r_code"), F.col("known_id")))
+        .when(~F.coalesce(relevant, F.lit(False)) & ~F.coalesce("assume_match", F.lit(False)), result(NO_MATCH, F.col("r_code")))
+        .otherwise(result(ADDED, F.col("r_code")))
+    )
+    return rows.select("url", to.alias("to")).select("url", "to.*")
+
+
+def merge_stories(topic_stories: DataFrame, links: DataFrame, seeds: DataFrame, merges: DataFrame) -> dict[str, DataFrame]:
+    """The topic's tables after stories are merged: ``topic_stories``, ``links``, ``seeds`` and ``merged_map``.
+
+    ``merges``: stories_id, target, without cycles; a chain leads to its end. The target takes over the links of
+    both directions (each once, none to itself), the seeds, and the least iteration of all that are merged into it,
+    and it counts as mined; the merged stories leave the topic. The map names each with its final target.
+    """
+    from tidings.operators.graph import roots
+
+    nodes = merges.select("stories_id", "target").union(merges.select(F.col("target").alias("stories_id"), F.lit(None).cast("long")))
+    ends = roots(nodes.groupBy("stories_id").agg(F.min("target").alias("target")), "stories_id", "target").filter("stories_id <> root")
+    ends = ends.select("stories_id", F.col("root").alias("target"))
+    named = lambda df, c: df.join(ends.select(F.col("stories_id").alias(c), F.col("target").alias("_t")), c, "left").withColumn(c, F.coalesce("_t", c)).drop("_t")
+    merged = ends.select("stories_id", F.lit(True).alias("gone"))
+    kept = ends.select(F.col("target").alias("stories_id"), F.lit(True).alias("took")).distinct()
+    rows = topic_stories.join(merged, "stories_id", "left").join(kept, "stories_id", "left")
+    through = named(rows.select("stories_id", "iteration", "link_mined", "took"), "stories_id")
+    stories = through.groupBy("stories_id").agg(F.min("iteration").alias("iteration"), (F.max("link_mined") | (F.count("*") > 1) | F.coalesce(F.max("took"), F.lit(False))).alias("link_mined"))
+    moved = named(named(links, "stories_id"), "ref_stories_id").filter("stories_id <> ref_stories_id")
+    return {"topic_stories": stories, "links": moved.dropDuplicates(["stories_id", "ref_stories_id"]).select(*links.columns), "seeds": named(seeds, "stories_id").select(*seeds.columns), "merged_map": ends}
+
+
+def back_fill(found: DataFrame, known: DataFrame, start: str = "2010-01-01", end: str | None = None) -> DataFrame:
+    """Stories of an archive that a medium lacks: dated in the range, and no known one by URL, by guid, or by title and day; one of each.
+
+    ``found`` and ``known``: media_id, url, guid, title, publish_date.
+    """
+    rows = found.filter(F.col("publish_date") >= F.lit(start).cast("timestamp_ntz"))
+    rows = rows if end is None else rows.filter(F.col("publish_date") <= F.lit(end).cast("timestamp_ntz"))
+    keyed = lambda df: df.withColumn("_form", urls.normalize_url_lossy(F.col("url"))).withColumn("_day", F.to_date("publish_date")).withColumn("_title", F.sha2("title", 256))
+    fresh, old = keyed(rows), keyed(known)
+    for keys in (["media_id", "_form"], ["media_id", "guid"], ["media_id", "_title", "_day"]):
+        fresh = fresh.join(old.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min_by(F.struct(*fresh.columns), "url").alias("s")).select("s.*") if keys[-1] != "guid" else fresh.join(old.select(*keys), keys, "left_anti")
+    return fresh.select(*found.columns)
+
+
 def medium_by_url(wanted: DataFrame, media: DataFrame, spidered: DataFrame) -> DataFrame:
     """``url, media_id``: the medium of the same lossy URL; not spidered first, then no duplicate, then the lower id."""
     lossy = urls.normalize_url_lossy(F.col("url")).alias("form")

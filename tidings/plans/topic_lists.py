@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidings.functions.boolean import predicate
+from tidings.operators import mining as M
 from tidings.operators import search as S
+from tidings.operators import snapshots as N
 from tidings.operators import topic_lists as L
 from tidings.operators import topics as T
 from tidings.operators import words as W
@@ -133,3 +136,85 @@ def _(e):
 def _(e):
     counts = e.posts.filter("stories_id is not null").groupBy("stories_id").agg(F.count("*").alias("post_count"))
     return L.query_export(S.search(e.stories, "und"), counts)
+
+
+# Timespans of all foci, merges and fetches
+
+SPANS = """, foci AS (SELECT DISTINCT media_id % 3 + 1 AS focus, stories_id FROM topic_stories WHERE stories_id % 2 = 0), custom(s, e) AS (VALUES (DATE '1995-01-15', DATE '1995-03-01'), (DATE '1995-02-20', DATE '1995-02-27')),
+each AS (SELECT 0 AS focus, stories_id, publish_date FROM topic_stories UNION ALL SELECT focus, stories_id, publish_date FROM foci JOIN topic_stories USING (stories_id)),
+dated AS (SELECT focus, 'overall' AS period, CAST(NULL AS DATE) AS start_date, stories_id FROM each UNION SELECT focus, 'weekly', CAST(date_trunc('week', publish_date) AS DATE), stories_id FROM each WHERE publish_date IS NOT NULL
+  UNION SELECT focus, 'monthly', CAST(date_trunc('month', publish_date) AS DATE), stories_id FROM each WHERE publish_date IS NOT NULL UNION SELECT focus, 'custom', s, stories_id FROM each JOIN custom ON publish_date >= s AND publish_date < e),
+members AS (SELECT * FROM dated UNION SELECT d.focus, d.period, d.start_date, l.ref_stories_id FROM dated d JOIN topic_links l USING (stories_id) JOIN each e ON e.focus = d.focus AND e.stories_id = l.ref_stories_id)"""
+
+
+def _foci(e):
+    custom = e.spark.createDataFrame([("1995-01-15", "1995-03-01"), ("1995-02-20", "1995-02-27")], "start_date string, end_date string")
+    foci = e.topic_stories.filter("stories_id % 2 = 0").select((F.col("media_id") % 3 + 1).alias("focus"), "stories_id")
+    return foci, custom.select(F.to_date("start_date").alias("start_date"), F.to_date("end_date").alias("end_date"))
+
+
+@query("focus_timespan_stories", SPANS + " SELECT focus, period, start_date, count(*) AS stories FROM members GROUP BY 1, 2, 3")
+def _(e):
+    return N.timespan_members(e.topic_stories, e.topic_links, *_foci(e)).groupBy("focus", "period", "start_date").agg(F.count("*").alias("stories"))
+
+
+@query("focus_timespan_media", SPANS + """, inside AS (SELECT a.focus, a.period, a.start_date, x.media_id AS from_media, y.media_id AS to_media FROM (SELECT DISTINCT stories_id, ref_stories_id FROM topic_links) l JOIN members a USING (stories_id) JOIN members b ON b.stories_id = l.ref_stories_id AND a.focus = b.focus AND a.period = b.period AND a.start_date IS NOT DISTINCT FROM b.start_date
+  JOIN topic_stories x ON x.stories_id = l.stories_id JOIN topic_stories y ON y.stories_id = l.ref_stories_id WHERE x.media_id <> y.media_id)
+SELECT c.focus, c.period, c.start_date, c.media_id, story_count, coalesce(i.n, 0) AS inlink_count, coalesce(o.n, 0) AS outlink_count, coalesce(i.m, 0) AS media_inlink_count
+FROM (SELECT focus, period, start_date, media_id, count(*) AS story_count FROM members JOIN topic_stories USING (stories_id) GROUP BY 1, 2, 3, 4) c
+LEFT JOIN (SELECT focus, period, start_date, to_media, count(*) AS n, count(DISTINCT from_media) AS m FROM inside GROUP BY 1, 2, 3, 4) i ON i.focus = c.focus AND i.period = c.period AND i.start_date IS NOT DISTINCT FROM c.start_date AND i.to_media = c.media_id
+LEFT JOIN (SELECT focus, period, start_date, from_media, count(*) AS n FROM inside GROUP BY 1, 2, 3, 4) o ON o.focus = c.focus AND o.period = c.period AND o.start_date IS NOT DISTINCT FROM c.start_date AND o.from_media = c.media_id""")
+def _(e):
+    return N.timespan_media(e.topic_stories, e.topic_links, *_foci(e))
+
+
+MERGED = ", t AS (SELECT stories_id, CASE WHEN stories_id % 10 = 3 THEN stories_id - 2 WHEN stories_id % 10 = 4 THEN stories_id - 3 ELSE stories_id END AS target, stories_id % 5 AS iteration FROM topic_stories)"
+
+
+def _merged(e):
+    """Stories that end in 4 are merged into those in 3, and these into those in 1."""
+    merges = e.topic_stories.filter("stories_id % 10 in (3, 4)").select("stories_id", F.when(F.col("stories_id") % 10 == 4, F.col("stories_id") - 1).otherwise(F.col("stories_id") - 2).alias("target"))
+    rows = e.topic_stories.select("stories_id", (F.col("stories_id") % 5).alias("iteration"), (F.col("stories_id") % 2 == 0).alias("link_mined"))
+    seeds = e.posts.select("post_id", (F.col("stories_id") + 1).alias("stories_id"))
+    return M.merge_stories(rows, e.topic_links, seeds, merges)
+
+
+@query("merged_topic_stories", MERGED + " SELECT target AS stories_id, min(iteration) AS iteration, count(*) > 1 OR bool_or(stories_id % 2 = 0) AS link_mined FROM t GROUP BY 1")
+def _(e):
+    return _merged(e)["topic_stories"]
+
+
+@query("merged_topic_links", MERGED + " SELECT DISTINCT a.target AS stories_id, b.target AS ref_stories_id FROM topic_links l JOIN t a ON a.stories_id = l.stories_id JOIN t b ON b.stories_id = l.ref_stories_id WHERE a.target <> b.target")
+def _(e):
+    return _merged(e)["links"].select("stories_id", "ref_stories_id")
+
+
+@query("merged_topic_seeds", MERGED + " SELECT post_id, coalesce(target, p.stories_id + 1) AS stories_id FROM posts p LEFT JOIN t ON t.stories_id = p.stories_id + 1")
+def _(e):
+    return _merged(e)["seeds"]
+
+
+@query("fetch_transitions", """, f AS (SELECT url, page_id % 11 AS k, page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'ignored' WHEN 1 THEN 'request failed' WHEN 2 THEN 'story match' WHEN 3 THEN 'tweet pending' WHEN 4 THEN 'pending' WHEN 5 THEN 'ignored' WHEN 6 THEN 'request failed' WHEN 7 THEN 'story match' WHEN 8 THEN 'content match failed' WHEN 9 THEN 'story added' ELSE 'story added' END AS state,
+  CASE k WHEN 0 THEN 403 WHEN 1 THEN 500 WHEN 2 THEN 200 WHEN 5 THEN 403 WHEN 6 THEN 404 WHEN 7 THEN 200 WHEN 8 THEN 200 WHEN 9 THEN 200 WHEN 10 THEN 200 END AS code FROM f""")
+def _(e):
+    """The pages as URLs to fetch; the page's number says what is known of it."""
+    k = F.col("page_id") % 11
+    url = F.when(k == 0, "http://ignored.example.org/").when(k == 3, "https://twitter.com/someone/status/").otherwise("http://site.example.com/")
+    rows = e.table("pages").select("page_id", k.alias("k"), F.concat(url, F.col("page_id").cast("string")).alias("url"), F.lit("pending").alias("state"), (k == 10).alias("assume_match"))
+    failed = rows.filter("k = 1").select("url", F.lit("request failed").alias("state"), F.lit(500).alias("code"), F.lit("down").alias("message"))
+    matches = rows.filter("k in (0, 2)").select("url", F.col("page_id").alias("stories_id"))
+    answers = rows.filter("k > 4").select(
+        "url", F.when(F.col("k") == 6, 404).otherwise(200).alias("code"), (F.col("k") != 6).alias("success"), F.when(F.col("k") == 5, "http://ignored.example.org/x").otherwise(F.col("url")).alias("response_url"),
+        F.when(F.col("k") == 9, "about rye").otherwise("about oats").alias("content"), F.lit(None).cast("string").alias("message"), F.when(F.col("k") == 7, F.col("page_id")).alias("known_id"),
+    )
+    none = e.spark.createDataFrame([("selfish.net",)], "domain string")
+    found = M.advance_fetches(rows.select("url", "state", "assume_match"), failed, none, matches, answers, lambda u: F.contains(u, F.lit("ignored.example")), predicate("rye", "content"))
+    return rows.select("page_id", "url").join(found, "url").select("page_id", "state", "code")
+
+
+@query("back_fill_stories", "SELECT stories_id FROM stories WHERE stories_id % 4 = 0 AND publish_date >= TIMESTAMP '2024-02-01' QUALIFY row_number() OVER (PARTITION BY media_id, title, CAST(publish_date AS DATE) ORDER BY url) = 1 AND (media_id, title, CAST(publish_date AS DATE)) NOT IN (SELECT (media_id, title, CAST(publish_date AS DATE)) FROM stories WHERE stories_id % 4 <> 0 AND publish_date IS NOT NULL)")
+def _(e):
+    """Every fourth story comes from an archive; those that the others hold by title and day are left out."""
+    rows = e.stories.withColumn("guid", F.col("url"))
+    return M.back_fill(rows.filter("stories_id % 4 = 0"), rows.filter("stories_id % 4 <> 0"), "2024-02-01").select("stories_id")
