@@ -13,7 +13,7 @@ from tidings.operators import tables as B
 from tidings.operators import topics as T
 from tidings.operators.storage import table_path
 from tidings.plans.registry import entity_query as query
-from tidings.sources import readers, sinks
+from tidings.sources import post_source, readers, sinks
 from tidings.streaming import streams
 
 TOKENS = "position_words AS (SELECT stories_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM stories)"
@@ -207,6 +207,17 @@ def _(e):
     return out.filter("granted").select(F.col("domain").cast("long").alias("author"), F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("granted_at"))
 
 
+@query("saved_posts", "SELECT author, count(*) AS posts, CAST(min(publish_date) AS DATE) AS first_day FROM posts WHERE channel = 'view' AND publish_date >= TIMESTAMP '2024-01-10' GROUP BY 1")
+def _(e):
+    """Posts saved as JSON lines and read again through the data source, which takes the filters."""
+    post_source.register(e.spark)
+    path = table_path(e.spark, "posts")
+    e.posts.select(F.col("post_id").cast("string").alias("id"), F.struct(F.col("author").alias("name")).alias("by"), F.col("channel"), F.lit("seen").alias("text"), F.date_format("publish_date", "yyyy-MM-dd'T'HH:mm:ss").alias("date")).write.json(path)
+    rows = e.spark.read.format("saved_posts").options(path=path, field_author="by.name").load()
+    kept = rows.filter((F.col("channel") == "view") & (F.col("publish_date") >= F.lit("2024-01-10 00:00:00").cast("timestamp")))
+    return kept.groupBy(F.col("author").cast("long").alias("author")).agg(F.count("*").alias("posts"), F.to_date(F.min("publish_date")).alias("first_day"))
+
+
 # Rules on data that puts them to the test
 
 
