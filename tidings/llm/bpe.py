@@ -184,7 +184,8 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     Returns ``doc_id, n_tokens, ids array<int>, decoded``; with ``digests`` the last two as
     ``ids_sha256, decoded_sha256``. A null text counts as empty (no ids); null and repeated ids
-    are kept as they are; columns other than the two named are not read. The vocabulary is read on
+    are kept as they are, repeated rows are encoded each, and an empty table gives an empty one. Very long texts
+    are encoded whole, in slices of rows of bounded bytes; columns other than the two named are not read. The vocabulary is read on
     the driver and broadcast (its size does not grow with the data).
     """
     spark = df.sparkSession

@@ -103,8 +103,9 @@ def dedup_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col:
     Returns all columns with the text replaced, and ``n_lines, n_dropped``. Each row is a document,
     whatever its id, so null and repeated ids and repeated rows need no rule of their own. A null text
     counts as empty: one empty line. Keys shorter than ``min_chars`` code points are never dropped, so
-    blank lines stay with the default. An empty table gives an empty table. Columns of the input named
-    ``n_lines`` or ``n_dropped`` are replaced.
+    blank lines stay with the default. Very long texts and lines are read whole, in slices of rows of bounded
+    bytes. An empty table gives an empty table. Columns of the input named ``n_lines`` or ``n_dropped`` are
+    replaced.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
