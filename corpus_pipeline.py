@@ -66,7 +66,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of the ids and of the decoded text, for each row; a null text counts as empty."""
+    """Token counts, and digests of the ids and of the decoded text, for each row.
+
+    A null text counts as empty. Null and repeated ids and repeated rows are encoded row by row, very long texts
+    whole; an empty table gives an empty one. Columns but the id and the text are not read.
+    """
     import public_tokenizers
 
     from tidings.llm.bpe import encode
