@@ -10,7 +10,8 @@ from __future__ import annotations
 import datetime as dt
 import io
 import json
-from collections.abc import Iterator
+import operator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -74,30 +75,27 @@ def _field(post: dict, names: str):
     return None
 
 
+#: How a filter compares; one that only asks for a value has none.
+_OPS = {IsNotNull: None, EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+
+
 class _Keep(NamedTuple):
     column: str
-    op: str
+    compare: Callable | None
     value: object
 
     def holds(self, row: dict) -> bool:
         own = row[self.column]
-        if own is None:
-            return False
-        return {"=": own == self.value, ">": own > self.value, ">=": own >= self.value, "<": own < self.value, "<=": own <= self.value, "!": True}[self.op] if self.op != "!" else True
-
-
-_OPS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+        return own is not None and (self.compare is None or self.compare(own, self.value))
 
 
 def _keep(f: Filter) -> _Keep | None:
     if len(f.attribute) != 1 or f.attribute[0] not in ("post_id", "author", "channel", "publish_date"):
         return None
-    if isinstance(f, IsNotNull):
-        return _Keep(f.attribute[0], "!", None)
     if type(f) not in _OPS:
         return None
-    value = f.value.astimezone(dt.UTC) if isinstance(f.value, dt.datetime) else f.value
-    return _Keep(f.attribute[0], _OPS[type(f)], value)
+    value = getattr(f, "value", None)
+    return _Keep(f.attribute[0], _OPS[type(f)], value.astimezone(dt.UTC) if isinstance(value, dt.datetime) else value)
 
 
 def _posts(stretch: Stretch, fields: dict[str, str], keeps: list[_Keep]) -> Iterator[pa.RecordBatch]:
