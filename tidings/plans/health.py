@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidings.operators import health as H
 from tidings.plans.registry import entity_query as query
+from tidings.streaming import streams
 
 WEEKS = ", weeks AS (SELECT medium, CAST(date_trunc('week', stat_date) AS DATE) AS week, round(sum(num_stories) / 7.0, 2) AS num_stories, round(sum(num_sentences) / 7.0, 2) AS num_sentences FROM daily GROUP BY 1, 2), ranked AS (SELECT *, row_number() OVER (PARTITION BY medium ORDER BY num_stories DESC, week) AS stories_rank, row_number() OVER (PARTITION BY medium ORDER BY num_sentences DESC, week) AS sentences_rank FROM weeks) "
 EXPECTED = WEEKS.rstrip() + ", best AS (SELECT medium, round(avg(num_stories) FILTER (stories_rank <= 20), 2) AS expected_stories, round(avg(num_sentences) FILTER (sentences_rank <= 20), 2) AS expected_sentences FROM ranked GROUP BY 1), expected AS (SELECT b.*, start_week, end_week FROM best b LEFT JOIN (SELECT medium, min(week) AS start_week, max(week) AS end_week FROM ranked JOIN best USING (medium) WHERE num_stories > expected_stories * 0.25 GROUP BY 1) USING (medium)) "
@@ -91,3 +92,12 @@ def _(e):
     utc = lambda c: F.to_timestamp(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
     feeds = e.posts.groupBy("author").agg(utc(F.max("publish_date")).alias("last_try"), utc(F.max(F.when(F.col("channel") == "signup", F.col("publish_date")))).alias("last_new")).withColumn("active", F.lit(True))
     return H.due_feeds(feeds, F.timestamp_seconds(F.lit(1706572800))).select("author")
+
+
+@query("daily_increments", "SELECT channel, CAST(publish_date AS DATE) AS day, count(*) AS n FROM posts GROUP BY 1, 2")
+def _(e):
+    """Daily counts in two increments from a stored mark on; the second sees all posts again and adds the new ones only."""
+    rows = e.posts.select("post_id", "channel", F.to_date("publish_date").alias("day"), F.lit(1).cast("long").alias("n"))
+    half = rows.agg((F.max("post_id") / 2).cast("long")).first()[0]
+    totals, mark = streams.add_new(None, rows.filter(F.col("post_id") <= half), None, "post_id", ["channel", "day"], "n")
+    return streams.add_new(totals, rows, mark, "post_id", ["channel", "day"], "n")[0]
