@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.text import words
@@ -29,7 +29,6 @@ MEMO = 200_000
 class Profiles(NamedTuple):
     languages: list[str]
     scores: dict[str, np.ndarray]  #: log probabilities of an n-gram, one for each language
-    unseen: np.ndarray
 
 
 def _grams(word: str) -> list[str]:
@@ -62,15 +61,17 @@ def learn(labelled: DataFrame, text_col: str = "text", language_col: str = "lang
     tokens = rows.select(F.col(language_col).alias("language"), F.explode(_letters(F.left(F.col(text_col), F.lit(SAMPLE_CHARS)))).alias("word"))
     counts = tokens.groupBy("language", "word").agg(F.count("*").alias("n"))
     grams = counts.select("language", "n", F.explode(_grams_of(F.col("word"))).alias("gram")).groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    # the commonest of each language, by a struct that needs no sort of all of them
-    top = grams.groupBy("language").agg(F.sum("n").alias("total"), F.expr(f"slice(array_sort(collect_list(struct(-n as m, gram))), 1, {KEPT})").alias("kept"))
-    found = {r.language: (r.total, {k.gram: -k.m for k in r.kept}) for r in top.collect()}
+    totals = {r.language: r.total for r in grams.groupBy("language").agg(F.sum("n").alias("total")).collect()}
+    # the limit goes before the shuffle too, so no task gathers all n-grams of a language
+    place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "gram"))
+    found: dict[str, dict[str, int]] = {x: {} for x in totals}
+    for r in grams.withColumn("place", place).filter(F.col("place") <= KEPT).collect():
+        found[r.language][r.gram] = r.n
     languages = sorted(found)
-    known = sorted({g for _, own in found.values() for g in own})
-    totals = [found[x][0] + len(known) for x in languages]
-    unseen = np.array([-log(t) for t in totals])
-    scores = {g: np.array([log(found[x][1].get(g, 0) + 1) - log(t) for x, t in zip(languages, totals)]) for g in known}
-    return Profiles(languages, scores, unseen)
+    known = sorted({g for own in found.values() for g in own})
+    sizes = [totals[x] + len(known) for x in languages]
+    scores = {g: np.array([log(found[x].get(g, 0) + 1) - log(t) for x, t in zip(languages, sizes)]) for g in known}
+    return Profiles(languages, scores)
 
 
 def _score(profiles: Profiles, word: str) -> tuple[np.ndarray, int]:

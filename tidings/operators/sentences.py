@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.text import TEXT_LIMIT, junk_sentence
@@ -87,7 +87,12 @@ def learn_abbreviations(texts: DataFrame, text_col: str = "text", language_col:
     firm = ended.filter((F.length("word") == 1) | (F.col("word") == "##")).groupBy("language", "word", "next").agg(F.sum("n").alias("ab"))
     firm = firm.join(counts.select("language", "word", F.col("n").alias("of_word")), ["language", "word"]).join(plain, ["language", "next"]).join(whole, "language")
     firm = firm.withColumn("score", _dunning(F.col("of_word"), F.col("of_next"), F.col("ab"), F.col("all"))).filter((F.col("score") >= COLLOCATION) & (F.col("ab") > 1))
-    best = lambda df, what, name: df.groupBy("language").agg(F.expr(f"transform(slice(array_sort(collect_list(struct(-score as s, {what} as w))), 1, {KEPT}), x -> x.w)").alias(name))
+
+    def best(df: DataFrame, what: str, name: str) -> DataFrame:
+        """The KEPT entries of the highest scores as a list; the limit goes before the shuffle too."""
+        place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("score"), "w"))
+        return df.withColumn("w", F.expr(what)).withColumn("place", place).filter(F.col("place") <= KEPT).groupBy("language").agg(F.collect_list("w").alias(name))
+
     out = whole.select("language").join(best(short, "word", "abbreviations"), "language", "left").join(best(firm, "concat(word, ' ', next)", "joined"), "language", "left").join(best(starters, "next", "starters"), "language", "left")
     return out.select("language", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("abbreviations", "joined", "starters")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidings.functions import boolean, dates, sql, urls
@@ -244,7 +245,11 @@ def _(e):
     """The first three words of each title, joined by AND, in the notation of text search queries."""
     words = F.slice(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)), 1, 3)
     rows = e.stories.select("stories_id", words.alias("w")).filter((F.size("w") == 3) & ~F.arrays_overlap("w", F.array(F.lit("and"), F.lit("not"))))
-    form = F.udf(boolean.tsquery, "string")  # a short query for each row
+
+    @F.pandas_udf("string")
+    def form(queries: pd.Series) -> pd.Series:
+        return queries.map(boolean.tsquery)
+
     return rows.select("stories_id", form(F.array_join("w", " AND ")).alias("form"))
 
 
