@@ -327,3 +327,41 @@ def _(e):
         "SELECT week, count(stories_id) AS stories, min(half_md5(url)) AS first_hash FROM weeks_between(DATE'2024-01-01', DATE'2024-02-12') LEFT JOIN {stories} ON week_start_date(CAST(publish_date AS DATE)) = week AND word_starts(text, 'the') GROUP BY week",
         stories=e.stories,
     )
+
+
+# Sources that are files, written from the tables and read again
+
+
+@query("feed_items", "SELECT url, CASE WHEN stories_id % 3 = 0 THEN url ELSE 'tag:' || stories_id END AS guid, CASE WHEN stories_id % 4 = 0 THEN '(no title)' ELSE language || ' ' || stories_id END AS title FROM stories")
+def _(e):
+    """Stories as items of RSS files; items without a guid or a title get the reader's own."""
+    path = table_path(e.spark, "feed")
+    guid = F.when(F.col("stories_id") % 3 != 0, F.concat(F.lit("tag:"), F.col("stories_id").cast("string")))
+    title = F.when(F.col("stories_id") % 4 != 0, F.concat_ws(" ", "language", F.col("stories_id").cast("string")))
+    e.stories.select(F.col("url").alias("link"), guid.alias("guid"), title.alias("title")).write.format("xml").option("rowTag", "item").option("rootTag", "rss").save(path)
+    return readers.syndicated_feed(e.spark, path).select("url", "guid", "title")
+
+
+@query("csv_posts", "SELECT CAST(post_id AS VARCHAR) AS post_id, CAST(author AS VARCHAR) AS author, CASE WHEN post_id % 5 = 0 THEN CAST(author AS VARCHAR) ELSE channel END AS channel FROM posts WHERE publish_date BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND post_id % 7 <> 0")
+def _(e):
+    """Posts as CSV files, read within two dates; posts without content go, and a missing channel is the author."""
+    path = table_path(e.spark, "csv_posts")
+    content = F.when(F.col("post_id") % 7 != 0, F.concat(F.lit('said "hi",\n'), F.col("post_id").cast("string")))
+    channel = F.when(F.col("post_id") % 5 != 0, F.col("channel"))
+    rows = e.posts.select(content.alias("content"), F.col("author").cast("string").alias("author"), channel.alias("channel"), F.date_format("publish_date", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("publish_date"), F.col("post_id").cast("string").alias("post_id"), F.lit("http://a.example.com/").alias("url"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    day = lambda d: F.lit(d).cast("timestamp")
+    return readers.csv_posts(e.spark, path, day("2024-01-05"), day("2024-01-12")).select("post_id", "author", "channel")
+
+
+@query("stream_sentence_dedup", "SELECT DISTINCT media_id, CAST(date_trunc('week', publish_date) AS DATE) AS week, md5(sentence) AS h FROM sentences WHERE publish_date IS NOT NULL")
+def _(e):
+    rows = e.sentences.filter("publish_date is not null").select("media_id", "sentence", F.col("publish_date").cast("timestamp").alias("publish_date"))
+    out = _streamed(e, rows, lambda s: streams.sentence_stream_dedup(s, late="365 days"))
+    return out.select("media_id", F.to_date("week").alias("week"), "h")
+
+
+@query("split_tags", "SELECT stories_id, 'lang' AS tag_set, language || ':' || media_id AS tag FROM stories")
+def _(e):
+    tag = readers.split_tag(F.concat(F.lit(" lang : "), "language", F.lit(":"), F.col("media_id").cast("string"), F.lit(" ")))
+    return e.stories.select("stories_id", tag.alias("t")).select("stories_id", "t.*")
