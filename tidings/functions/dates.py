@@ -37,9 +37,14 @@ MONTHS = "january february march april may june july august september october no
 
 
 def _iso_day(text: Column) -> Column:
-    """The day that a text like ``2024-03-05T10:00`` or ``2024/3/5`` begins with, or null."""
-    part = lambda k: F.regexp_extract(text, r"^\s*((?:19|20)\d\d)[-/.]?(0?[1-9]|1[0-2])[-/.]?(0?[1-9]|[12]\d|3[01])(?:\D|$)", k)
-    return F.try_to_date(F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))), "yyyy-MM-dd")
+    """The day that a text like ``2024-03-05T10:00``, ``2024/3/5`` or ``20240305`` begins with, or null.
+
+    Without marks between, month and day have two digits each; so no digit of one is read as the other.
+    """
+    month, day = r"0[1-9]|1[0-2]", r"0[1-9]|[12]\d|3[01]"
+    pattern = rf"^\s*((?:19|20)\d\d)(?:[-/.]({month}|[1-9])[-/.]({day}|[1-9])|({month})({day}))(?:\D|$)"
+    part = lambda *at: F.concat(*(F.regexp_extract(text, pattern, k) for k in at))
+    return F.try_to_date(F.when(part(1) != "", F.concat_ws("-", part(1), F.lpad(part(2, 4), 2, "0"), F.lpad(part(3, 5), 2, "0"))), "yyyy-MM-dd")
 
 
 def _written_day(text: Column) -> Column:
