@@ -11,6 +11,8 @@ from tidings.functions.dates import in_period
 MISDATED, DATEABLE, UNDATED = 0.22, 0.30, 0.13
 # The share of wrong dates that are off by two or three days; others are off by eight to sixty.
 NEAR_SHARE, RUNS, TOP_SHARE = 0.25, 10, 0.1
+#: Runs that one number holds as its bits.
+BITS = 60
 
 
 def _roll(what: str) -> Column:
@@ -34,21 +36,34 @@ def tweaked_dates(stories: DataFrame, runs: int = RUNS) -> DataFrame:
 
 
 def media_counts(stories: DataFrame, links: DataFrame, start: Column, end: Column) -> DataFrame:
-    """``run, media_id, media_inlink_count, inlink_count`` of a period in every run: equi-joins keyed by run.
+    """``run, media_id, media_inlink_count, inlink_count`` of a period in every run.
 
     ``stories``: as by ``tweaked_dates``; a story without a date is in the period if one that is links to it.
+    A story's runs are the bits of one number, BITS of them a block. So joins see a story and a link once for
+    each block, not for each run, and links are counted by pairs of media and runs before runs are told apart.
     """
-    media = stories.select("run", "stories_id", "media_id")
-    own = stories.filter(~F.col("undateable") & in_period(F.col("publish_date"), start, end)).select("run", "stories_id")
-    linked = links.join(own, "stories_id").select("run", F.col("ref_stories_id").alias("stories_id"))
-    inside = own.union(linked).distinct().join(media, ["run", "stories_id"])
-    target = inside.select("run", F.col("stories_id").alias("ref_stories_id"), F.col("media_id").alias("to_media"))
-    both = links.select("stories_id", "ref_stories_id").join(inside, "stories_id").join(target, ["run", "ref_stories_id"])
-    counts = both.groupBy("run", F.col("to_media").alias("media_id")).agg(F.countDistinct("media_id").alias("m"), F.count("*").alias("n"))
-    rows = inside.select("run", "media_id").distinct().join(counts, ["run", "media_id"], "left")
+    block, bit = F.floor(F.col("run") / BITS), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("run", F.lit(BITS)).cast("int"))
+    dated = ~F.col("undateable") & in_period(F.col("publish_date"), start, end)
+    each = stories.groupBy("stories_id", "media_id", block.alias("block")).agg(F.bit_or(bit).alias("all"), F.bit_or(F.when(dated, bit).otherwise(0)).alias("own"))
+    coming = links.join(each.filter("own <> 0").select("stories_id", "block", "own"), "stories_id")
+    linked = coming.groupBy(F.col("ref_stories_id").alias("stories_id"), "block").agg(F.bit_or("own").alias("linked"))
+    runs = F.col("all").bitwiseAND(F.col("own").bitwiseOR(F.coalesce("linked", F.lit(0))))
+    inside = each.join(linked, ["stories_id", "block"], "left").select("block", "stories_id", "media_id", runs.alias("runs")).filter("runs <> 0")
+    target = inside.select("block", F.col("stories_id").alias("ref_stories_id"), F.col("media_id").alias("to_media"), F.col("runs").alias("to_runs"))
+    both = links.select("stories_id", "ref_stories_id").join(inside, "stories_id").join(target, ["block", "ref_stories_id"])
+    pairs = both.groupBy("block", "media_id", "to_media", F.col("runs").bitwiseAND(F.col("to_runs")).alias("runs")).agg(F.count("*").alias("n"))
+    counts = _each_run(pairs).groupBy("run", F.col("to_media").alias("media_id")).agg(F.countDistinct("media_id").alias("m"), F.sum("n").alias("n"))
+    media = _each_run(inside.groupBy("block", "media_id").agg(F.bit_or("runs").alias("runs")))
+    rows = media.select("run", "media_id").join(counts, ["run", "media_id"], "left")
     return rows.select("run", "media_id", F.coalesce("m", F.lit(0)).alias("media_inlink_count"), F.coalesce("n", F.lit(0)).alias("inlink_count"))
 
 
+def _each_run(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each of their ``runs``, as ``run``."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.getbit("runs", k) == 1)
+    return rows.select("*", F.explode(F.transform(bits, lambda k: F.col("block") * BITS + k)).alias("run"))
+
+
 def top_media(counts: DataFrame, factor: int = 1) -> DataFrame:
     """``run, media_id, place``: in each run the first tenth (times ``factor``) by media inlinks that is clear of the first miss.
 

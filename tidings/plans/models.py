@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidings.operators import models as M
 from tidings.operators import topics as T
+from tidings.operators.storage import materialize
 from tidings.plans.registry import entity_query as query
 from tidings.plans.topics import CROSS
 
@@ -37,7 +38,8 @@ def _stories(e):
 
 def _counts(e, stories):
     start, end = (F.lit(d).cast("timestamp_ntz") for d in PERIOD)
-    return M.media_counts(stories, T.cross_media_links(e.topic_links, e.topic_stories), start, end)
+    links = materialize(T.cross_media_links(e.topic_links, e.topic_stories), "links")  # read twice by each count
+    return M.media_counts(stories, links, start, end)
 
 
 @query("model_dates", TWEAKED + " SELECT run, stories_id, publish_date, undateable FROM tweaked")
@@ -57,5 +59,6 @@ def _(e):
 
 @query("model_correlation", TOPS + ", pairs AS (SELECT r.run, c.place AS x, coalesce(m.place, s.n + 1, 1) AS y FROM clean c CROSS JOIN range(1, 11) r(run) LEFT JOIN models m ON m.run = r.run AND m.media_id = c.media_id LEFT JOIN (SELECT run, count(*) AS n FROM models GROUP BY 1) s ON s.run = r.run), each_run AS (SELECT run, count(*) AS media, corr(x, y) AS r FROM pairs GROUP BY 1) SELECT coalesce(max(media), 0) AS num_media, avg(r * r) FILTER (NOT isnan(r)) AS r2_mean, stddev_pop(r * r) FILTER (NOT isnan(r)) AS r2_stddev FROM each_run")
 def _(e):
-    clean = M.top_media(_counts(e, _stories(e).withColumn("run", F.lit(0).cast("long"))))
-    return M.rank_correlation(clean, M.top_media(_counts(e, M.tweaked_dates(_stories(e))), 2))
+    plain = _stories(e).withColumn("run", F.lit(0).cast("long"))
+    counts = materialize(_counts(e, plain.unionByName(M.tweaked_dates(_stories(e)))), "counts")  # a row for each medium and run
+    return M.rank_correlation(M.top_media(counts.filter("run = 0")), M.top_media(counts.filter("run > 0"), 2))
