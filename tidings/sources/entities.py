@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Links, about, that a task tells apart.
+LINKS_IN_TASK = 500_000
+
+
 class Entities:
     """Lazy DataFrames over one directory of Parquet tables."""
 
@@ -77,7 +81,9 @@ class Entities:
     def topic_links(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("stories_id"))
         links = self.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("ref_stories_id")).join(orders, "o_orderkey")
-        return links.filter("stories_id <> ref_stories_id").select("stories_id", "ref_stories_id").distinct()
+        # dealt first, and by a number that grows with the rows: a task's table of distinct links stays of one size
+        parts = -(-self.table("lineitem").count() // LINKS_IN_TASK) or 1
+        return links.filter("stories_id <> ref_stories_id").select("stories_id", "ref_stories_id").repartition(parts, "stories_id", "ref_stories_id").distinct()
 
     @cached_property
     def daily(self) -> DataFrame:
