@@ -19,6 +19,8 @@ from tidings.operators.storage import table_path
 
 #: Runs of a level that are merged into one of the next.
 FAN = 4
+#: Parts that the postings of a word in a run are dealt into.
+SHARES = 64
 _WORD, _GAP = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 
 
@@ -31,10 +33,12 @@ class Run(NamedTuple):
 
 def words_with_places(rows: DataFrame) -> DataFrame:
     """``stories_id, word, place``: twice the word's number in the text, one more where only white space parts it from the word before."""
-    pieces = F.regexp_extract_all(F.lower("text"), F.lit(rf"(?:{_GAP})?{_WORD}"), F.lit(0))
-    each = rows.select("stories_id", F.posexplode(pieces).alias("at", "piece"))
-    place = (F.col("at") * 2 + F.col("piece").rlike(rf"^\s+{_WORD}$").cast("int")).alias("place")
-    return each.select("stories_id", F.regexp_replace("piece", f"^{_GAP}", "").alias("word"), place)
+    found = lambda pattern: F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))
+    pieces = F.arrays_zip(found(rf"(?:{_GAP})?{_WORD}").alias("piece"), found(_WORD).alias("word"))  # each piece ends with its word
+    each = rows.select("stories_id", F.posexplode(pieces).alias("at", "p")).select("stories_id", "at", "p.piece", "p.word")
+    gap = F.left("piece", F.length("piece") - F.length("word"))
+    place = (F.col("at") * 2 + ((gap == " ") | gap.rlike(r"^\s+$")).cast("int")).alias("place")
+    return each.select("stories_id", "word", place)
 
 
 class _Leaf(NamedTuple):
@@ -151,8 +155,9 @@ class SearchIndex:
 
     def _write(self, postings: DataFrame, touched: DataFrame, number: int, level: int) -> Run:
         run = Run(number, level, *(f"{table_path(self.spark, name)}" for name in ("postings", "touched")))
-        # by word and story, so that a very common word is several files
-        postings.repartitionByRange("word", "stories_id").sortWithinPartitions("word", "stories_id").write.parquet(run.postings)
+        # by hashes, which need no first pass over the texts for their ranges; a very common word is SHARES files, each sorted by word
+        share = F.pmod(F.xxhash64("stories_id"), F.lit(SHARES))
+        postings.repartition("word", share).sortWithinPartitions("word", "stories_id").write.parquet(run.postings)
         touched.write.parquet(run.touched)
         return run
 
@@ -168,8 +173,9 @@ class SearchIndex:
         newest = F.col("changed") if "changed" in changes.columns else F.lit(0)
         rows = changes.filter("stories_id is not null").select("stories_id", F.coalesce("text", F.lit("")).alias("text"), deleted.alias("deleted"), newest.alias("changed"))
         last = rows.groupBy("stories_id").agg(F.max(F.struct("changed", "deleted", "text")).alias("d")).select("stories_id", "d.text", "d.deleted")
+        touched = rows.groupBy("stories_id").agg(F.max(F.struct("changed", "deleted")).alias("d")).select("stories_id", "d.deleted")  # without the texts
         number = max([r.number for r in self.runs], default=0) + 1
-        self.runs.append(self._write(words_with_places(last.filter("not deleted")), last.select("stories_id", "deleted"), number, 0))
+        self.runs.append(self._write(words_with_places(last.filter("not deleted")), touched, number, 0))
         if batch is not None:
             self.batches.add(batch)
         self._merge()
