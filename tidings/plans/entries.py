@@ -162,20 +162,23 @@ def _(e):
 # Streams in several batches
 
 
-def _batches(e, parts, path=None):
-    """A folder with one file for each part, to be read as so many batches, in order."""
-    path = path or table_path(e.spark, "batches")
+def _in_batches(e, parts, start):
+    """Write the parts one after another to a folder that a stream reads; it runs to its end behind each, so a part is a batch of all its files.
+
+    ``start`` starts the stream; it must go on from one checkpoint.
+    """
+    path = table_path(e.spark, "batches")
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return e.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(path)
+        start(e.spark.readStream.schema(parts[0].schema).parquet(path)).awaitTermination()
 
 
 @query("stream_daily_load", "SELECT CAST(publish_date AS DATE) AS day, count(*) AS posts, date_diff('day', CAST(publish_date AS DATE), (SELECT max(CAST(publish_date AS DATE)) FROM posts)) > 1 AS complete FROM posts GROUP BY 1")
 def _(e):
     """A first load without every third post, then one of all posts: late ones come in, none comes twice."""
     posts = e.posts.withColumn("publish_date", F.col("publish_date").cast("timestamp"))
-    path = table_path(e.spark, "days")
-    streams.daily_load(_batches(e, [posts.filter("post_id % 3 <> 0"), posts]), path, table_path(e.spark, "marks")).awaitTermination()
+    path, marks = table_path(e.spark, "days"), table_path(e.spark, "marks")
+    _in_batches(e, [posts.filter("post_id % 3 <> 0"), posts], lambda stream: streams.daily_load(stream, path, marks))
     return streams.loaded_days(e.spark, path)
 
 
@@ -187,8 +190,8 @@ def _(e):
     rows = e.stories.select("stories_id", "text", F.lit(False).alias("deleted"))
     changed = rows.filter("stories_id % 4 = 0").withColumn("text", F.lit("press release"))
     gone = rows.filter("stories_id % 9 = 0").select("stories_id", "text", F.lit(True).alias("deleted"))
-    index = SearchIndex(e.spark)
-    streams.index_stream(_batches(e, [rows, changed, gone]), index, table_path(e.spark, "marks")).awaitTermination()
+    index, marks = SearchIndex(e.spark), table_path(e.spark, "marks")
+    _in_batches(e, [rows, changed, gone], lambda stream: streams.index_stream(stream, index, marks))
     return index.search("(press or with) and not from")
 
 
