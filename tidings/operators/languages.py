@@ -74,12 +74,6 @@ def learn(labelled: DataFrame, text_col: str = "text", language_col: str = "lang
     return Profiles(languages, scores)
 
 
-def _score(profiles: Profiles, word: str) -> tuple[np.ndarray, int]:
-    """Summed scores of a word's n-grams that some profile has, and how many these are."""
-    known = [s for g in _grams(word) if (s := profiles.scores.get(g)) is not None]
-    return (np.sum(known, axis=0) if known else np.zeros(len(profiles.languages))), len(known)
-
-
 def identify(rows: DataFrame, profiles: Profiles, text_col: str = "text", name: str = "guess") -> DataFrame:
     """``rows`` with the language of each whole text as ``name``; empty where it is unsure, too short, or null.
 
@@ -89,18 +83,38 @@ def identify(rows: DataFrame, profiles: Profiles, text_col: str = "text", name:
 
     @F.pandas_udf("string")
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, memo = shared.value, {}
+        own, memo, parts_of = shared.value, {}, np.zeros((MEMO, len(shared.value.languages) + 2))
+
+        grams_at = {g: k for k, g in enumerate(own.scores, 1)}
+        grams_of = np.vstack([np.zeros((1, len(own.languages))), *own.scores.values()])
+
+        def learn_words(words: list[str]) -> None:
+            """Summed scores of each word's n-grams that some profile has, how many these are, and its letters."""
+            if not words:
+                return
+            flat, starts = [], []
+            for word in words:
+                starts.append(len(flat))
+                flat.append(0)  # a row of zeros, so that no word is empty
+                flat += [k for g in _grams(word) if (k := grams_at.get(g)) is not None]
+            here = slice(len(memo), len(memo) + len(words))
+            parts_of[here, :-2] = np.add.reduceat(grams_of[flat], starts)
+            parts_of[here, -2] = np.diff([*starts, len(flat)]) - 1
+            parts_of[here, -1] = [len(w) for w in words]
+            memo.update(zip(words, range(here.start, here.stop)))
+
         for texts in parts:
             out = []
             for tokens in texts:
-                total, grams, letters = np.zeros(len(own.languages)), 0, 0
-                for word, n in Counter([] if tokens is None else tokens).items():
-                    if word not in memo:
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        memo[word] = _score(own, word)
-                    scores, size = memo[word]
-                    total, grams, letters = total + n * scores, grams + n * size, letters + n * len(word)
+                counts = list(Counter(tokens.split(" ") if tokens else []).items())
+                sums = np.zeros(parts_of.shape[1])
+                for k in range(0, len(counts), MEMO // 2):  # a text of very many words goes in stretches
+                    some = counts[k : k + MEMO // 2]
+                    if len(memo) + len(some) > MEMO:
+                        memo.clear()
+                    learn_words([w for w, _ in some if w not in memo])
+                    sums += np.array([n for _, n in some], dtype=float) @ parts_of[[memo[w] for w, _ in some]]
+                total, grams, letters = sums[:-2], sums[-2], sums[-1]
                 if letters < LEAST_LETTERS or not grams:
                     out.append("")
                     continue
@@ -109,7 +123,8 @@ def identify(rows: DataFrame, profiles: Profiles, text_col: str = "text", name:
                 out.append(own.languages[order[0]] if sure else "")
             yield pd.Series(out)
 
-    return rows.withColumn(name, guess(_letters(F.col(text_col))))
+    # one text of words, not a list: the way to Python and back costs far less
+    return rows.withColumn(name, guess(F.array_join(_letters(F.col(text_col)), " ")))
 
 
 def distinct_words(texts: DataFrame, text_col: str = "text", language_col: str = "language") -> DataFrame:
