@@ -18,12 +18,12 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidings.llm.common import map_texts, texts
+from tidings.llm.common import map_texts, remembered, texts
 
 #: Fixed value: how the byte-level tokenizers of this family cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the memos of a task; full ones are emptied, which costs time and nothing else.
-MEMO = 300_000
+MEMO = 100_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -176,9 +176,6 @@ class PrefixEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, PrefixEncoder] = {}
-
-
 def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again; one row out for each row in.
 
@@ -190,13 +187,10 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(load_tokenizer(spark, tokenizer_path))
-    key = shared._jbroadcast.id()
+    step = "bpe", shared._jbroadcast.id()
 
     def per_batch(ids: list, batch: list) -> dict:
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = PrefixEncoder(shared.value)
-        encoder = _ENCODERS[key]
+        encoder = remembered(step, lambda: PrefixEncoder(shared.value))
         coded = encoder.encode_batch(batch)
         numbers = [np.frombuffer(c, dtype="<u4").tolist() for c in coded]
         decoded = [encoder.decode(n) for n in numbers]
@@ -206,4 +200,4 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         return out | {"ids": numbers, "decoded": decoded}
 
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return map_texts(texts(df, id_col, text_col), per_batch, f"doc_id long, n_tokens long, {more}")
+    return map_texts(texts(df, id_col, text_col), per_batch, f"doc_id long, n_tokens long, {more}", step=step)

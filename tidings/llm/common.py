@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +37,33 @@ def _list(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def map_texts(df: DataFrame, per_batch: Callable[[list, list], dict], schema: str, rows: int = 512) -> DataFrame:
-    """Apply ``per_batch(ids, texts) -> columns`` to slices of each Arrow batch."""
+_kept: dict[Hashable, object] = {}
+
+
+def remembered(step: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` made for a step's first task in this worker; it goes when the worker gets a task of another step."""
+    _forget_others(step)
+    if step not in _kept:
+        _kept[step] = make()
+    return _kept[step]
+
+
+def _forget_others(step: Hashable) -> None:
+    """Workers live on from step to step, so what one has remembered must not add up to what the next needs."""
+    if _kept.keys() - {step}:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def map_texts(df: DataFrame, per_batch: Callable[[list, list], dict], schema: str, rows: int = 512, step: Hashable = None) -> DataFrame:
+    """Apply ``per_batch(ids, texts) -> columns`` to slices of each Arrow batch; ``step`` names what it has ``remembered``."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_others(step)
         for batch in batches:
             for part in _slices(batch, rows):
                 cols = per_batch(part.column(0).to_pylist(), part.column(1).to_pylist())
@@ -64,6 +83,7 @@ def add_columns(df: DataFrame, inputs: list[str], per_batch: Callable[..., dict]
     arrow, rest = to_arrow_schema(full), [f.name for f in df.schema if f.name not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_others(None)
         for batch in batches:
             for part in _slices(batch, rows):
                 cols = per_batch(*(_list(part.column(part.schema.get_field_index(c))) for c in inputs))

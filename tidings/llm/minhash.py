@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import add_columns, map_texts, texts
+from tidings.llm.common import add_columns, map_texts, remembered, texts
 from tidings.operators.components import connected_components
 from tidings.operators.storage import discard, materialize, rows_and_sum
 
@@ -32,10 +32,8 @@ from tidings.operators.storage import discard, materialize, rows_and_sum
 ROWS, MISS = 6, 1e-6
 #: Parts that the leaves of a hub are dealt into, and holders of a common difference that one part compares.
 SALTS, PART = 256, 2048
-#: Words whose hash a task remembers.
-MEMO = 500_000
-
-_words: dict[bytes, int] = {}
+#: Words whose hash a worker remembers, and the name of these for its tasks.
+MEMO, WORDS = 150_000, "words"
 
 
 def bands_for(similarity: float) -> int:
@@ -56,12 +54,13 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > MEMO:
-        _words.clear()
+    known = remembered(WORDS, dict)
+    if len(known) > MEMO:
+        known.clear()
     for w in words:
-        if w not in _words:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     factors = _mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     if len(h) < size:
         return _mix(np.array([(h * factors[: len(h)]).sum() + np.uint64(len(h))], np.uint64))
@@ -115,7 +114,7 @@ def _sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 out[name].append(value)
         return out
 
-    return map_texts(docs, per_batch, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return map_texts(docs, per_batch, "doc_id long, n long, d1 long, d2 long, bands array<long>", step=WORDS)
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -125,7 +124,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         sets = [shingle_set(t, size) for t in batch]
         return {"rep": ids, "d1": [_digest(h)[0] for h in sets], "h": [h.view(np.int64) for h in sets]}
 
-    return map_texts(docs, per_batch, "rep long, d1 long, h array<long>", 128)
+    return map_texts(docs, per_batch, "rep long, d1 long, h array<long>", 128, WORDS)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
