@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidings.operators import spanbits as B
+from tidings.operators.storage import materialize
 from tidings.operators.topics import cross_media_links
 
 #: Focus of a timespan that has none.
 NO_FOCUS = 0
-_KEYS = ["focus", "period", "start_date"]
 
 
 def with_foci(stories: DataFrame, foci: DataFrame) -> DataFrame:
@@ -36,33 +37,57 @@ def dated_in(rows: DataFrame, custom: DataFrame) -> DataFrame:
     return plain.unionByName(named)
 
 
-def timespan_members(stories: DataFrame, links: DataFrame, foci: DataFrame, custom: DataFrame) -> DataFrame:
-    """``focus, period, start_date, stories_id``: stories of each timespan: those dated in it, and those of its focus that one of these links to."""
+def _member_words(stories: DataFrame, links: DataFrame, foci: DataFrame, custom: DataFrame, parts: int | None) -> DataFrame:
+    """``stories_id, focus, kind, word, bits``: the timespans that have a story, as bits of words; see ``timespan_members``."""
     each = with_foci(stories, foci)
-    dated = dated_in(each, custom).select(*_KEYS, "stories_id")
-    linked = links.join(dated, "stories_id").select(*_KEYS, F.col("ref_stories_id").alias("stories_id")).distinct()
-    return dated.union(linked.join(each.select("focus", "stories_id"), ["focus", "stories_id"], "left_semi").select(*_KEYS, "stories_id")).distinct()
+    dated = dated_in(each, custom).withColumn("kind", B.kind_of(F.col("period"))).withColumn("number", B.number_of(F.col("kind"), F.col("start_date")))
+    dated = dated.select("stories_id", "focus", "kind", *B.words("number"))
+    linked = links.join(dated, "stories_id").select(F.col("ref_stories_id").alias("stories_id"), "focus", "kind", "word", "bits")
+    linked = linked.repartition(parts, "stories_id") if parts else linked  # a task has all links to its stories, and so few groups
+    once = lambda df: df.groupBy("stories_id", "focus", "kind", "word").agg(F.bit_or("bits").alias("bits"))
+    linked = once(linked).join(each.select("focus", "stories_id").distinct(), ["focus", "stories_id"], "left_semi").select(*dated.columns)
+    return materialize(once(dated.union(linked)), "members")
 
 
-def timespan_media(stories: DataFrame, links: DataFrame, foci: DataFrame, custom: DataFrame) -> DataFrame:
+def _named(df: DataFrame, *columns: str) -> DataFrame:
+    """``focus, period, start_date`` and the columns."""
+    return df.select("focus", B.period_of(F.col("kind")).alias("period"), B.start_of(F.col("kind"), F.col("number")).alias("start_date"), *columns)
+
+
+def timespan_members(stories: DataFrame, links: DataFrame, foci: DataFrame, custom: DataFrame, parts: int | None = None) -> DataFrame:
+    """``focus, period, start_date, stories_id``: stories of each timespan: those dated in it, and those of its focus that one of these links to.
+
+    ``links`` may repeat; they are dealt to ``parts`` tasks by the story that they lead to, where it is given.
+    """
+    members = _member_words(stories, links, foci, custom, parts)
+    own = members.select("*", *(B.has("bits", k).alias(f"in_{k}") for k in range(B.WIDTH)))
+    return _named(B.by_number(own, ["focus", "kind", "stories_id"], ["in"]), "stories_id")
+
+
+def timespan_story_counts(stories: DataFrame, links: DataFrame, foci: DataFrame, custom: DataFrame, parts: int | None = None) -> DataFrame:
+    """``focus, period, start_date, stories``: how many stories each timespan has."""
+    members = _member_words(stories, links, foci, custom, parts)
+    counts = members.groupBy("focus", "kind", "word").agg(*B.bit_counts("stories"))
+    return _named(B.by_number(counts, ["focus", "kind"], ["stories"]), "stories")
+
+
+def timespan_media(stories: DataFrame, links: DataFrame, foci: DataFrame, custom: DataFrame, parts: int | None = None) -> DataFrame:
     """``focus, period, start_date, media_id, story_count, inlink_count, outlink_count, media_inlink_count`` of each timespan's media.
 
     Links count where both stories are in the timespan and of different media.
     """
-    members = timespan_members(stories, links, foci, custom)
-    cross = cross_media_links(links, stories)
-    media = stories.select("stories_id", "media_id")
-    a = members.alias("a")
-    b = members.select(*(F.col(k).alias(f"{k}_b") for k in _KEYS), F.col("stories_id").alias("ref_stories_id"))
-    same = (F.col("focus") == F.col("focus_b")) & (F.col("period") == F.col("period_b")) & F.col("start_date").eqNullSafe(F.col("start_date_b"))
-    inside = cross.join(a, "stories_id").join(b, (cross["ref_stories_id"] == b["ref_stories_id"]) & same).select(*_KEYS, "stories_id", cross["ref_stories_id"])
-    inside = inside.join(media.withColumnRenamed("media_id", "from_media"), "stories_id").join(media.select(F.col("stories_id").alias("ref_stories_id"), F.col("media_id").alias("to_media")), "ref_stories_id")
-    coming = inside.groupBy(*_KEYS, F.col("to_media").alias("media_id")).agg(F.count("*").alias("inlink_count"), F.countDistinct("from_media").alias("media_inlink_count"))
-    going = inside.groupBy(*_KEYS, F.col("from_media").alias("media_id")).agg(F.count("*").alias("outlink_count"))
-    counts = members.join(media, "stories_id").groupBy(*_KEYS, "media_id").agg(F.count("*").alias("story_count"))
-    # equal keys also where there is no start
-    named = lambda df: df.withColumn("start_date", F.coalesce("start_date", F.lit("0001-01-01").cast("date")))
-    out = named(counts).join(named(coming), [*_KEYS, "media_id"], "left").join(named(going), [*_KEYS, "media_id"], "left")
+    members = _member_words(stories, links, foci, custom, parts).join(stories.select("stories_id", "media_id"), "stories_id")
+    keys = ["focus", "kind", "word"]
+    a = members.withColumnRenamed("media_id", "from_media")
+    b = members.select(F.col("stories_id").alias("ref_stories_id"), *keys, F.col("bits").alias("other"), F.col("media_id").alias("to_media"))
+    inside = cross_media_links(links, stories).join(a, "stories_id").join(b, ["ref_stories_id", *keys]).withColumn("bits", F.col("bits").bitwiseAND(F.col("other"))).filter("bits <> 0")
+    pairs = materialize(inside.groupBy(*keys, "from_media", "to_media").agg(*B.bit_counts("n")), "pairs")
+    total = lambda name: [F.sum(f"n_{k}").alias(f"{name}_{k}") for k in range(B.WIDTH)]
+    media = [F.sum((F.col(f"n_{k}") > 0).cast("long")).alias(f"media_inlink_count_{k}") for k in range(B.WIDTH)]
+    of = ["focus", "kind", "media_id"]
+    coming = B.by_number(pairs.groupBy(*keys, F.col("to_media").alias("media_id")).agg(*total("inlink_count"), *media), of, ["inlink_count", "media_inlink_count"])
+    going = B.by_number(pairs.groupBy(*keys, F.col("from_media").alias("media_id")).agg(*total("outlink_count")), of, ["outlink_count"])
+    counts = B.by_number(members.groupBy(*keys, "media_id").agg(*B.bit_counts("story_count")), of, ["story_count"])
+    out = counts.join(coming, [*of, "number"], "left").join(going, [*of, "number"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    start = F.when(F.col("period") != "overall", F.col("start_date")).alias("start_date")
-    return out.select("focus", "period", start, "media_id", "story_count", zero("inlink_count"), zero("outlink_count"), zero("media_inlink_count"))
+    return _named(out, "media_id", "story_count", zero("inlink_count"), zero("outlink_count"), zero("media_inlink_count"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.operators.topics import stories_by_timespan
+from tidings.operators import spanbits as B
+from tidings.operators.storage import materialize
 
 # Platforms whose seed queries become subtopics, the technique's name, rows of a page.
 SHARING_PLATFORMS, SHARING, PAGE_ROWS = ["twitter", "reddit", "generic_post"], "URL Sharing", 20
@@ -13,18 +14,30 @@ SHARING_PLATFORMS, SHARING, PAGE_ROWS = ["twitter", "reddit", "generic_post"], "
 PUBLIC_STORY_FIELDS = "stories_id media_id url title publish_date language".split()
 
 
-def timespan_link_counts(stories: DataFrame, cross_links: DataFrame, period: str) -> DataFrame:
+def timespan_link_counts(stories: DataFrame, cross_links: DataFrame, period: str, parts: int | None = None) -> DataFrame:
     """``start_date, stories_id, inlink_count, media_inlink_count, outlink_count`` of every timespan of a period at once.
 
-    A link counts in a timespan that has both its ends; all timespans are one pass of equi-joins.
+    A link counts in a timespan that has both its ends. A story's timespans are words of bits, so a link meets few
+    rows, and timespans are told apart after the counts. Links are dealt to ``parts`` tasks, where it is given.
     """
-    inside = stories_by_timespan(stories, cross_links, period)
-    both = cross_links.join(inside, "stories_id").join(inside.withColumnRenamed("stories_id", "ref_stories_id"), ["ref_stories_id", "start_date"])
-    linking = both.join(stories.select("stories_id", "media_id"), "stories_id")
-    inlinks = linking.groupBy("start_date", F.col("ref_stories_id").alias("stories_id")).agg(F.count("*").alias("inlink_count"), F.countDistinct("media_id").alias("media_inlink_count"))
-    outlinks = both.groupBy("start_date", "stories_id").agg(F.count("*").alias("outlink_count"))
-    rows = inside.join(inlinks, ["start_date", "stories_id"], "left").join(outlinks, ["start_date", "stories_id"], "left")
-    return rows.select("start_date", "stories_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("inlink_count", "media_inlink_count", "outlink_count")))
+    dealt = lambda df, *by: df.repartition(parts, *by) if parts else df
+    kind = F.lit(B.PERIODS.index(period))
+    start = F.date_trunc("week" if period == "weekly" else "month", "publish_date").cast("date")
+    dated = stories.filter("publish_date is not null").select("stories_id", B.number_of(kind, start).alias("number")).select("stories_id", *B.words("number"))
+    linked = cross_links.join(dated, "stories_id").select(F.col("ref_stories_id").alias("stories_id"), "word", "bits")
+    inside = materialize(dealt(dated.union(linked), "stories_id").groupBy("stories_id", "word").agg(F.bit_or("bits").alias("bits")), "inside")
+    going = dealt(cross_links.join(inside, "stories_id"), "ref_stories_id", "word")
+    coming = dealt(inside.select(F.col("stories_id").alias("ref_stories_id"), "word", F.col("bits").alias("other")), "ref_stories_id", "word")
+    both = going.join(coming, ["ref_stories_id", "word"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("other"))).filter("bits <> 0")
+    both = materialize(both.select("stories_id", "ref_stories_id", "word", "bits"), "both")
+    linking = dealt(both.join(stories.select("stories_id", "media_id"), "stories_id"), "ref_stories_id").groupBy(F.col("ref_stories_id").alias("stories_id"), "word", "media_id").agg(F.bit_or("bits").alias("bits"), *B.bit_counts("inlink_count"))
+    linking = linking.withColumn("bits", F.when(F.col("media_id").isNotNull(), F.col("bits")))
+    inlinks = linking.groupBy("stories_id", "word").agg(*(F.sum(f"inlink_count_{k}").alias(f"inlink_count_{k}") for k in range(B.WIDTH)), *B.bit_counts("media_inlink_count"))
+    outlinks = dealt(both.select("stories_id", "word", "bits"), "stories_id").groupBy("stories_id", "word").agg(*B.bit_counts("outlink_count"))
+    rows = inside.join(inlinks, ["stories_id", "word"], "left").join(outlinks, ["stories_id", "word"], "left")
+    names = ["inlink_count", "media_inlink_count", "outlink_count"]
+    own = rows.select("stories_id", "word", *(B.has("bits", k).alias(f"in_{k}") for k in range(B.WIDTH)), *(F.coalesce(f"{n}_{k}", F.lit(0).cast("long")).alias(f"{n}_{k}") for n in names for k in range(B.WIDTH)))
+    return B.by_number(own, ["stories_id"], ["in", *names]).select(B.start_of(kind, F.col("number")).alias("start_date"), "stories_id", *names)
 
 
 def row_statistics(counts: DataFrame, stories: DataFrame) -> DataFrame:

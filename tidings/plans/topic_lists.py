@@ -21,7 +21,7 @@ def _timespan_sql(unit: str) -> str:
 
 
 def _span_counts(e, period):
-    return L.timespan_link_counts(e.topic_stories, T.cross_media_links(e.topic_links, e.topic_stories), period)
+    return L.timespan_link_counts(e.topic_stories, T.cross_media_links(e.topic_links, e.topic_stories), period, e.link_parts)
 
 
 for _period, _unit in (("weekly", "week"), ("monthly", "month")):
@@ -155,7 +155,7 @@ def _foci(e):
 
 @query("focus_timespan_stories", SPANS + " SELECT focus, period, start_date, count(*) AS stories FROM members GROUP BY 1, 2, 3")
 def _(e):
-    return N.timespan_members(e.topic_stories, e.topic_links, *_foci(e)).groupBy("focus", "period", "start_date").agg(F.count("*").alias("stories"))
+    return N.timespan_story_counts(e.topic_stories, e.topic_links, *_foci(e), e.link_parts)
 
 
 @query("focus_timespan_media", SPANS + """, inside AS (SELECT a.focus, a.period, a.start_date, x.media_id AS from_media, y.media_id AS to_media FROM (SELECT DISTINCT stories_id, ref_stories_id FROM topic_links) l JOIN members a USING (stories_id) JOIN members b ON b.stories_id = l.ref_stories_id AND a.focus = b.focus AND a.period = b.period AND a.start_date IS NOT DISTINCT FROM b.start_date
@@ -165,7 +165,7 @@ FROM (SELECT focus, period, start_date, media_id, count(*) AS story_count FROM m
 LEFT JOIN (SELECT focus, period, start_date, to_media, count(*) AS n, count(DISTINCT from_media) AS m FROM inside GROUP BY 1, 2, 3, 4) i ON i.focus = c.focus AND i.period = c.period AND i.start_date IS NOT DISTINCT FROM c.start_date AND i.to_media = c.media_id
 LEFT JOIN (SELECT focus, period, start_date, from_media, count(*) AS n FROM inside GROUP BY 1, 2, 3, 4) o ON o.focus = c.focus AND o.period = c.period AND o.start_date IS NOT DISTINCT FROM c.start_date AND o.from_media = c.media_id""")
 def _(e):
-    return N.timespan_media(e.topic_stories, e.topic_links, *_foci(e))
+    return N.timespan_media(e.topic_stories, e.topic_links, *_foci(e), e.link_parts)
 
 
 MERGED = ", t AS (SELECT stories_id, CASE WHEN stories_id % 10 = 3 THEN stories_id - 2 WHEN stories_id % 10 = 4 THEN stories_id - 3 ELSE stories_id END AS target, stories_id % 5 AS iteration FROM topic_stories)"

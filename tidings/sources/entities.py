@@ -77,13 +77,17 @@ class Entities:
         first = self.table("orders").groupBy(F.col("o_custkey").alias("stories_id")).agg(F.min("o_orderdate").alias("publish_date"))
         return self.table("customer").select(F.col("c_custkey").alias("stories_id"), F.col("c_nationkey").cast("long").alias("media_id"), F.col("c_name").alias("title")).join(first, "stories_id", "left")
 
+    @cached_property
+    def link_parts(self) -> int:
+        """Tasks that links are dealt to."""
+        return -(-self.table("lineitem").count() // LINKS_IN_TASK) or 1
+
     @cached_property
     def topic_links(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("stories_id"))
         links = self.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("ref_stories_id")).join(orders, "o_orderkey")
         # dealt first, and by a number that grows with the rows: a task's table of distinct links stays of one size
-        parts = -(-self.table("lineitem").count() // LINKS_IN_TASK) or 1
-        return links.filter("stories_id <> ref_stories_id").select("stories_id", "ref_stories_id").repartition(parts, "stories_id", "ref_stories_id").distinct()
+        return links.filter("stories_id <> ref_stories_id").select("stories_id", "ref_stories_id").repartition(self.link_parts, "stories_id", "ref_stories_id").distinct()
 
     @cached_property
     def daily(self) -> DataFrame:
