@@ -42,7 +42,7 @@ def _member_words(stories: DataFrame, links: DataFrame, foci: DataFrame, custom:
     each = with_foci(stories, foci)
     dated = dated_in(each, custom).withColumn("kind", B.kind_of(F.col("period"))).withColumn("number", B.number_of(F.col("kind"), F.col("start_date")))
     dated = dated.select("stories_id", "focus", "kind", *B.words("number"))
-    linked = links.join(dated, "stories_id").select(F.col("ref_stories_id").alias("stories_id"), "focus", "kind", "word", "bits")
+    linked = (links.repartition(parts, "stories_id") if parts else links).join(dated, "stories_id").select(F.col("ref_stories_id").alias("stories_id"), "focus", "kind", "word", "bits")
     linked = linked.repartition(parts, "stories_id") if parts else linked  # a task has all links to its stories, and so few groups
     once = lambda df: df.groupBy("stories_id", "focus", "kind", "word").agg(F.bit_or("bits").alias("bits"))
     linked = once(linked).join(each.select("focus", "stories_id").distinct(), ["focus", "stories_id"], "left_semi").select(*dated.columns)
@@ -80,7 +80,7 @@ def timespan_media(stories: DataFrame, links: DataFrame, foci: DataFrame, custom
     keys = ["focus", "kind", "word"]
     a = members.withColumnRenamed("media_id", "from_media")
     b = members.select(F.col("stories_id").alias("ref_stories_id"), *keys, F.col("bits").alias("other"), F.col("media_id").alias("to_media"))
-    inside = cross_media_links(links, stories).join(a, "stories_id").join(b, ["ref_stories_id", *keys]).withColumn("bits", F.col("bits").bitwiseAND(F.col("other"))).filter("bits <> 0")
+    inside = cross_media_links(links, stories, parts).join(a, "stories_id").join(b, ["ref_stories_id", *keys]).withColumn("bits", F.col("bits").bitwiseAND(F.col("other"))).filter("bits <> 0")
     pairs = materialize(inside.groupBy(*keys, "from_media", "to_media").agg(*B.bit_counts("n")), "pairs")
     total = lambda name: [F.sum(f"n_{k}").alias(f"{name}_{k}") for k in range(B.WIDTH)]
     media = [F.sum((F.col(f"n_{k}") > 0).cast("long")).alias(f"media_inlink_count_{k}") for k in range(B.WIDTH)]

@@ -15,7 +15,7 @@ EDGES = f", {CROSS}, edges AS (SELECT from_media AS source_media_id, to_media AS
 
 def _edges(e):
     """Links between media, without platforms (two ids stand for them)."""
-    links = T.medium_links(T.cross_media_links(e.topic_links, e.topic_stories), e.topic_stories)
+    links = T.medium_links(T.cross_media_links(e.topic_links, e.topic_stories, e.link_parts), e.topic_stories, e.link_parts)
     return links.filter(~F.col("source_media_id").isin(1, 2) & ~F.col("ref_media_id").isin(1, 2))
 
 

@@ -23,7 +23,7 @@ def _(e):
 
 @query("medium_links", f", {CROSS} SELECT from_media AS source_media_id, to_media AS ref_media_id, count(*) AS link_count FROM cross_links GROUP BY 1, 2")
 def _(e):
-    return T.medium_links(T.cross_media_links(e.topic_links, e.topic_stories), e.topic_stories)
+    return T.medium_links(T.cross_media_links(e.topic_links, e.topic_stories, e.link_parts), e.topic_stories, e.link_parts)
 
 
 for _period, _unit, _step in (("weekly", "week", "7 DAY"), ("monthly", "month", "1 MONTH")):

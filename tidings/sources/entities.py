@@ -85,7 +85,7 @@ class Entities:
     @cached_property
     def topic_links(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("stories_id"))
-        links = self.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("ref_stories_id")).join(orders, "o_orderkey")
+        links = self.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("ref_stories_id")).repartition(self.link_parts, "o_orderkey").join(orders, "o_orderkey")
         # dealt first, and by a number that grows with the rows: a task's table of distinct links stays of one size
         return links.filter("stories_id <> ref_stories_id").select("stories_id", "ref_stories_id").repartition(self.link_parts, "stories_id", "ref_stories_id").distinct()
 
