@@ -22,7 +22,7 @@ from tidings.llm.common import map_texts, remembered, texts
 
 #: Fixed value: how the byte-level tokenizers of this family cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of the memos of a task; full ones are emptied, which costs time and nothing else.
+#: Entries at which the younger half of a memo becomes the older one, whose entries go if they were not met since; that costs time and nothing else.
 MEMO = 100_000
 
 
@@ -50,6 +50,22 @@ def load_tokenizer(spark: SparkSession, path: str) -> dict:
     }
 
 
+class Memo:
+    """What was met of late, in two halves: common entries stay, rare ones go."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Keys that are not known; ``young`` holds all others then."""
+        if len(self.young) > MEMO:
+            self.young, self.old = {}, self.young
+        keys = keys - self.young.keys()
+        met = keys & self.old.keys()
+        self.young.update(zip(met, map(self.old.__getitem__, met)))
+        return keys - met
+
+
 class PrefixEncoder:
     def __init__(self, spec: dict):
         self.ids = spec["vocab"]
@@ -70,8 +86,8 @@ class PrefixEncoder:
             lengths.setdefault(token[-1], set()).add(len(token))
         self.lengths = {b: sorted(n, reverse=True) for b, n in lengths.items()}
         self.stable: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.guess: dict[int, int] = {}
+        self.words, self.pieces = Memo(), Memo()
         self.find = regex.compile(WORDS).findall
         self.cut = regex.compile(r"(?<=\S) (?=\S)").split
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -104,20 +120,29 @@ class PrefixEncoder:
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word."""
         out, before = {}, b""
-        last, size = [-1], [0]  # of each prefix of the word on the stack: its last token and that token's length
-        get, lengths, stable = self.ids.get, self.lengths, self.stable
-        if len(stable) > 4 * MEMO:
-            stable.clear()
-        for raw, word in sorted((w.encode(), w) for w in words):
+        last = [-1]  # of each prefix of the word on the stack: its last token
+        get, lengths, stable, guess, bytes_of = self.ids.get, self.lengths, self.stable, self.guess, self.bytes_of
+        for memo in (stable, guess):
+            if len(memo) > 4 * MEMO:
+                memo.clear()
+        for word in sorted(words):  # the order of code points is that of their bytes
+            raw = word.encode()
             shared = 0
             for a, b in zip(raw, before):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], size[shared + 1 :]
+            del last[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
-                grown = size[end - 1] + 1  # most often the last token grows by the letter, so this length goes first
-                for n in (grown, *lengths[raw[end - 1]]):
+                # what came of the same last token and letter before is tried first: one token at most fits
+                turn = last[-1] << 8 | raw[end - 1]
+                token = guess.get(turn)
+                if token is not None and raw.endswith(bytes_of[token], 0, end):
+                    n = len(bytes_of[token])
+                    if n == end or stable.get(last[end - n] << 20 | token):
+                        last.append(token)
+                        continue
+                for n in lengths[raw[end - 1]]:
                     if n > end or (token := get(raw[end - n : end])) is None:
                         continue
                     if n < end:
@@ -127,13 +152,13 @@ class PrefixEncoder:
                             fits = stable[key] = self._is_stable(last[end - n], token)
                         if not fits:
                             continue
+                    guess[turn] = token
                     last.append(token)
-                    size.append(n)
                     break
             before, at, found = raw, len(raw), []
             while at:
                 found.append(last[at])
-                at -= size[at]
+                at -= len(bytes_of[last[at]])
             found.reverse()
             out[word] = pack(f"<{len(found)}I", *found)
         return out
@@ -145,22 +170,17 @@ class PrefixEncoder:
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         parts = [self.marks.split(t) if self.marks else [t] for t in batch]
         cut = [[p if k % 2 else self._pieces(p) for k, p in enumerate(doc)] for doc in parts]
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
         # a piece is known with the space before it; the first of a text has none and goes by its own name
-        wanted = {p for doc in cut for k, ps in enumerate(doc) if not k % 2 for p in ps[1:]} - self.pieces.keys()
-        fresh = {p: self.find(" " + p) for p in wanted}
+        fresh = {p: self.find(" " + p) for p in self.pieces.missing({p for doc in cut for k, ps in enumerate(doc) if not k % 2 for p in ps[1:]})}
         heads = {ps[0] for doc in cut for k, ps in enumerate(doc) if not k % 2}
         fresh_heads = {p: self.find(p) for p in heads}
         words = {w for found in (*fresh.values(), *fresh_heads.values()) for w in found}
-        self.words |= self.encode_words(words - self.words.keys())
-        known = self.words.__getitem__
+        self.words.young |= self.encode_words(self.words.missing(words))
+        known = self.words.young.__getitem__
         for p, found in fresh.items():
-            self.pieces[p] = b"".join(map(known, found))
+            self.pieces.young[p] = b"".join(map(known, found))
         first = {p: b"".join(map(known, found)) for p, found in fresh_heads.items()}
-        get, out = self.pieces.__getitem__, []
+        get, out = self.pieces.young.__getitem__, []
         for doc in cut:
             coded = []
             for k, ps in enumerate(doc):
