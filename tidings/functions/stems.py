@@ -3,11 +3,14 @@
 A language's rules are data: steps of groups of endings. Of a step's endings the longest that a word has
 decides; its group says in which region it must lie, what must stand before it, and what is put in its
 place. Regions are measured once, on the whole word. ``stem_table`` runs the steps of each language over its
-own words, by column expressions only; so a word is stemmed once, however often texts hold it.
+own words, by column expressions only; so a word is stemmed once, however often texts hold it. ``stemmer``
+runs the same rules on a word inside a task, where a join of all words with their stems would be the dearest step.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -363,3 +366,63 @@ def stem_table(words: DataFrame) -> DataFrame:
         own = _stemmed(rows.filter(F.col("language") == language), language)
         out = out.unionByName(own.select(F.lit(language).alias("language"), "word", "stem"))
     return out
+
+
+def stemmer(language: str) -> Callable[[str], str]:
+    """The stem of one lower-case word of the language, the same as by ``stem_table``; a word of another language is its own."""
+    r = RULES.get(language)
+    if r is None:
+        return lambda word: word
+    own, after = EXCEPTIONS.get(language, {}), re.compile(f"^.*?[{r.vowels}].*?[^{r.vowels}]")
+    rv_end, early = re.compile(r.rv) if r.rv else None, re.compile(ENGLISH_R1) if language == "en" else None
+
+    def prepared(s: Step | Swap) -> tuple:
+        if isinstance(s, Swap):
+            return s.only, False, "", None, (re.compile(s.pattern), re.sub(r"\$(\d)", r"\\g<\1>", s.put))
+        by_ending: dict[str, list] = {}
+        for g in s.groups:
+            for e in dict.fromkeys(g.endings.split()):
+                by_ending.setdefault(e, []).append((g.region, re.compile(f"(?:{g.before})$").search if g.before else None, g.put, g.mark))
+        return s.only, s.fresh, s.within, sorted({len(e) for e in by_ending}, reverse=True), by_ending
+
+    first, steps = [prepared(s) for s in r.first], [prepared(s) for s in r.steps]
+
+    def run(stem: str, mark: str, todo: list, at: dict[str, int]) -> tuple[str, str]:
+        for only, fresh, within, lengths, what in todo:
+            if fresh:
+                mark = ""
+            if only and mark not in only:
+                continue
+            if lengths is None:
+                stem = what[0].sub(what[1], stem)
+                continue
+            most = len(stem) - at[within] if within else len(stem)
+            for n in lengths:
+                if n <= most and (groups := what.get(stem[-n:])):
+                    base = stem[:-n]
+                    for region, before, put, left in groups:
+                        if (not region or len(base) >= at[region]) and (before is None or before(base)):
+                            if put is not None:
+                                stem, mark = base + put, left
+                            break
+                    break
+        return stem, mark
+
+    def reach(found: re.Match | None, otherwise: int) -> int:
+        return found.end() if found and found.end() else otherwise
+
+    def stem_of(word: str) -> str:
+        if word in own:
+            return own[word]
+        if len(word) < r.short:
+            return word
+        stem, mark = run(word.replace("’", "'"), "", first, {})
+        size = len(stem)
+        r1 = reach(after.search(stem), size)
+        if early and (found := early.search(stem)):
+            r1 = found.end()
+        rest = reach(after.search(stem[r1:]), 0)
+        at = {"r1": max(r1, r.least), "r2": r1 + rest if rest else size, "rv": reach(rv_end.search(stem), size) if rv_end else 0}
+        return run(stem, mark, steps, at)[0]
+
+    return stem_of
