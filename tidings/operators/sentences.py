@@ -20,6 +20,8 @@ from tidings.operators.storage import materialize
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
 #: Abbreviations, joined words and beginnings kept of a language, those of the highest scores.
 KEPT = 1000
+#: A token with a letter or digit, so that its type is not empty.
+_TOKEN = r"[^\s\p{L}\p{N}]*[\p{L}\p{N}]\S*"
 _SPLIT = r"(?<=[.!?])[ \t\r\f]+(?=[\p{Lu}\p{N}])|\n+"
 
 
@@ -50,11 +52,17 @@ def _kind(token: Column) -> Column:
 
 
 def _tokens(texts: DataFrame, text_col: str, language_col: str) -> DataFrame:
-    """``language, kind, after``: each token's type and its successor's in the same line."""
-    lines = texts.select(F.coalesce(F.col(language_col), F.lit("")).alias("language"), F.explode(F.split(text_col, r"\n+")).alias("line"))
-    kinds = F.filter(F.transform(F.split("line", r"\s+"), _kind), lambda t: t != "")
-    pairs = lines.select("language", kinds.alias("k")).select("language", F.inline(F.arrays_zip(F.col("k").alias("kind"), F.slice("k", 2, F.size("k")).alias("after"))))
-    return pairs.groupBy("language", "kind", "after").agg(F.count("*").alias("n"))
+    """``language, kind, after, n``: each token's type, and the type of its successor in the same line where a stop stands between.
+
+    Tokens are counted as they are written first, so types are made of the different ones only. Generators are
+    the outer ones: before others Spark puts a filter that makes the whole list once more.
+    """
+    lines = texts.select(F.coalesce(F.col(language_col), F.lit("")).alias("language"), F.explode_outer(F.split(text_col, r"\n+")).alias("line"))
+    words = lines.select("language", F.regexp_extract_all("line", F.lit(_TOKEN), F.lit(0)).alias("t"))
+    each = words.select("language", F.inline_outer(F.arrays_zip(F.col("t").alias("token"), F.slice("t", 2, F.size("t")).alias("next")))).filter("token is not null")
+    each = each.groupBy("language", "token", F.when(F.col("token").contains("."), F.col("next")).alias("next")).agg(F.count("*").alias("n"))
+    kinds = each.select("language", _kind(F.col("token")).alias("kind"), _kind(F.col("next")).alias("after"), "n")
+    return kinds.groupBy("language", "kind", F.when(F.col("kind").endswith("."), F.col("after")).alias("after")).agg(F.sum("n").alias("n"))
 
 
 def learn_abbreviations(texts: DataFrame, text_col: str = "text", language_col: str = "language") -> DataFrame:
@@ -111,11 +119,14 @@ def split_sentences(texts: DataFrame, learnt: DataFrame, text_col: str = "text",
 
     def goes_on(part: Column, following: Column) -> Column:
         """Whether the stop at the end of a part ends no sentence."""
-        last, first = _kind(F.element_at(F.split(part, " "), -1)), F.regexp_replace(_kind(F.element_at(F.split(following, " "), 1)), r"\.$", "")
-        word = F.when(last.endswith("."), F.left(last, F.length(last) - 1))
-        initial = word.rlike(r"^\p{L}$")
-        short = (F.array_contains(known["abbreviations"], word) | initial) & ~F.array_contains(known["starters"], first)
-        return F.coalesce(short | F.array_contains(known["joined"], F.concat(word, F.lit(" "), first)), F.lit(False))
+        first = F.regexp_replace(_kind(F.substring_index(following, " ", 1)), r"\.$", "")
+
+        def between(x: Column) -> Column:
+            short = (F.array_contains(known["abbreviations"], x["word"]) | x["word"].rlike(r"^\p{L}$")) & ~F.array_contains(known["starters"], x["first"])
+            return short | F.array_contains(known["joined"], F.concat(x["word"], F.lit(" "), x["first"]))
+
+        behind = lambda last: F.when(last.endswith("."), _once(F.struct(F.left(last, F.length(last) - 1).alias("word"), first.alias("first")), between))
+        return F.coalesce(_once(_kind(F.substring_index(part, " ", -1)), behind), F.lit(False))
 
     def joined(parts: Column) -> Column:
         """The parts of a line; one that goes on takes the next with it."""

@@ -104,7 +104,8 @@ def _(e):
 @query("sentence_split_learnt")
 def _(e):
     found = split_sentences(e.stories.select("stories_id", "text", "language"), learn_abbreviations(e.stories))
-    return found.select("stories_id", F.posexplode("sentences").alias("sentence_number", "sentence"))
+    # the inner generator would get a filter that splits each text once more
+    return found.select("stories_id", F.posexplode_outer("sentences").alias("sentence_number", "sentence")).filter("sentence_number is not null")
 
 
 TITLE = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace({}, '<[^<]*>', '', 'g'), '&#?[a-z0-9]*', '', 'gi')), '(?:- )|[:|]', 'SEPSEP', 'g'), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+', ' ', 'g')"
