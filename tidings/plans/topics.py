@@ -13,7 +13,7 @@ COUNTS = f", {CROSS}, counts AS (SELECT s.stories_id, s.media_id, coalesce(i.m,
 
 @query("story_link_counts", COUNTS + "SELECT * FROM counts")
 def _(e):
-    return T.story_link_counts(e.topic_stories, T.cross_media_links(e.topic_links, e.topic_stories), e.posts)
+    return T.story_link_counts(e.topic_stories, T.cross_media_links(e.topic_links, e.topic_stories, e.link_parts), e.posts, e.link_parts)
 
 
 @query("medium_link_counts", COUNTS + "SELECT c.media_id, count(*) AS story_count, CAST(sum(inlink_count) AS BIGINT) AS inlink_count, CAST(sum(outlink_count) AS BIGINT) AS outlink_count, CAST(sum(post_count) AS BIGINT) AS post_count, CAST(sum(media_inlink_count) AS BIGINT) AS sum_media_inlink_count, coalesce(max(l.n), 0) AS media_inlink_count FROM counts c LEFT JOIN (SELECT to_media, count(DISTINCT from_media) AS n FROM cross_links GROUP BY 1) l ON l.to_media = c.media_id GROUP BY 1")
