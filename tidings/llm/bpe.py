@@ -175,7 +175,8 @@ class PrefixEncoder:
         heads = {ps[0] for doc in cut for k, ps in enumerate(doc) if not k % 2}
         fresh_heads = {p: self.find(p) for p in heads}
         words = {w for found in (*fresh.values(), *fresh_heads.values()) for w in found}
-        self.words.young |= self.encode_words(self.words.missing(words))
+        coded_words = self.encode_words(self.words.missing(words))  # first: the younger half may be a new one after that
+        self.words.young |= coded_words
         known = self.words.young.__getitem__
         for p, found in fresh.items():
             self.pieces.young[p] = b"".join(map(known, found))
@@ -212,12 +213,12 @@ def encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def per_batch(ids: list, batch: list) -> dict:
         encoder = remembered(step, lambda: PrefixEncoder(shared.value))
         coded = encoder.encode_batch(batch)
-        numbers = [np.frombuffer(c, dtype="<u4").tolist() for c in coded]
-        decoded = [encoder.decode(n) for n in numbers]
-        out = {"doc_id": ids, "n_tokens": [len(n) for n in numbers]}
-        if digests:
+        out = {"doc_id": ids, "n_tokens": [len(c) // 4 for c in coded]}
+        if digests:  # a text's numbers go before the next one's are made
+            decoded = (encoder.decode(np.frombuffer(c, dtype="<u4").tolist()) for c in coded)
             return out | {"ids_sha256": [hashlib.sha256(c).hexdigest() for c in coded], "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded]}
-        return out | {"ids": numbers, "decoded": decoded}
+        numbers = [np.frombuffer(c, dtype="<u4").tolist() for c in coded]
+        return out | {"ids": numbers, "decoded": [encoder.decode(n) for n in numbers]}
 
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return map_texts(texts(df, id_col, text_col), per_batch, f"doc_id long, n_tokens long, {more}", step=step)

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import add_columns, texts
+from tidings.llm.common import _forget_others, add_columns, texts
 from tidings.operators.storage import materialize
 
 #: The classifier is fitted on some so many labelled rows, those whose ids have a hash under a threshold; on all, if there are fewer.
@@ -121,6 +121,7 @@ def train(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     def count(batches):
         import pyarrow as pa
 
+        _forget_others(None)
         seen, n = np.zeros((2, BUCKETS), np.uint32), [0, 0]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
