@@ -69,8 +69,12 @@ def scaled(nodes: DataFrame, by: str, least: float, most: float) -> DataFrame:
 
 
 def communities(edges: DataFrame, src: str, dst: str, weight: str, rounds: int = 5) -> DataFrame:
-    """``node, community`` by weighted label propagation, ties to the smaller label."""
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(weight).alias("w")).union(edges.select(dst, src, weight))
+    """``node, community`` by weighted label propagation, ties to the smaller label.
+
+    The links are made once, as a table in the shared folder that each round reads.
+    """
+    once = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"), F.col(weight).alias("w")), "graph")
+    both = once.union(once.select("b", "a", "w"))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
