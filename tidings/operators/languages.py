@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.text import words
+from tidings.operators.storage import discard, materialize
 
-#: Labelled texts that profiles are learnt from, about (those whose hash is under a threshold), and characters of each.
-SAMPLE, SAMPLE_CHARS = 20_000, 4000
 #: Longest n-gram, and n-grams kept of a language, the commonest first: so a model's size is bounded by its languages.
 LONGEST, KEPT = 4, 4000
 #: Fixed value: a text of fewer letters has no language.
@@ -40,8 +39,9 @@ def _grams(word: str) -> list[str]:
 def _grams_of(word: Column) -> Column:
     """The same as a column."""
     marked = F.concat(F.lit(" "), word, F.lit(" "))
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i: F.substr(marked, i, F.lit(n)))
-    return F.filter(F.concat(*(of(n) for n in range(1, LONGEST + 1))), lambda g: g != "")
+    none = F.array().cast("array<string>")  # a marked word has three characters at least, so only its longest n-gram may be missing
+    of = lambda n: F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substr(marked, i, F.lit(n)))).otherwise(none)
+    return F.concat(*(of(n) for n in range(1, LONGEST + 1)))
 
 
 def _letters(text: Column) -> Column:
@@ -49,24 +49,32 @@ def _letters(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", language_col: str = "language", sample: int = SAMPLE) -> Profiles:
-    """Profiles of the languages that label some text.
+def gram_counts(labelled: DataFrame, text_col: str = "text", language_col: str = "language") -> DataFrame:
+    """``language, gram, n`` of all labelled texts, each from its beginning to its end.
 
     Counts are made word by word: each distinct word of a language is cut into n-grams once. Rows without a
-    label or text say nothing. What comes to the driver is KEPT n-grams for each language.
+    label or text say nothing.
     """
     rows = labelled.filter(F.col(language_col).isNotNull() & (F.col(language_col) != "") & F.col(text_col).isNotNull())
-    share = min(1.0, sample / max(1, rows.count()))
-    rows = rows.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-    tokens = rows.select(F.col(language_col).alias("language"), F.explode(_letters(F.left(F.col(text_col), F.lit(SAMPLE_CHARS)))).alias("word"))
+    # the outer generator: before the inner one Spark puts a filter that looks for the words once more
+    tokens = rows.select(F.col(language_col).alias("language"), F.explode_outer(_letters(F.col(text_col))).alias("word")).filter("word is not null")
     counts = tokens.groupBy("language", "word").agg(F.count("*").alias("n"))
-    grams = counts.select("language", "n", F.explode(_grams_of(F.col("word"))).alias("gram")).groupBy("language", "gram").agg(F.sum("n").alias("n"))
+    return counts.select("language", "n", F.explode(_grams_of(F.col("word"))).alias("gram")).groupBy("language", "gram").agg(F.sum("n").alias("n"))
+
+
+def learn(labelled: DataFrame, text_col: str = "text", language_col: str = "language") -> Profiles:
+    """Profiles of the languages that label some text, from all of these texts.
+
+    What comes to the driver is KEPT n-grams for each language.
+    """
+    grams = materialize(gram_counts(labelled, text_col, language_col), "grams")  # read twice below
     totals = {r.language: r.total for r in grams.groupBy("language").agg(F.sum("n").alias("total")).collect()}
     # the limit goes before the shuffle too, so no task gathers all n-grams of a language
     place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "gram"))
     found: dict[str, dict[str, int]] = {x: {} for x in totals}
     for r in grams.withColumn("place", place).filter(F.col("place") <= KEPT).collect():
         found[r.language][r.gram] = r.n
+    discard(grams)
     languages = sorted(found)
     known = sorted({g for own in found.values() for g in own})
     sizes = [totals[x] + len(known) for x in languages]
