@@ -13,7 +13,7 @@ from tidings.functions.stems import stemmer
 from tidings.functions.text import drop_stop_words, words
 from tidings.operators.segments import Dictionary, segmented, without_spaces
 
-# Characters of a sentence that are counted, and how often a word counts in one sentence.
+# Characters of a sentence that some queries count by their SQL, and how often a word counts in one sentence.
 SENTENCE_CHARS, MOST_IN_SENTENCE = 1024, 3
 #: Different words or terms that a task keeps.
 TERMS = 300_000
@@ -25,9 +25,14 @@ def _ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _clean_words(sentence: str) -> Column:
+def _counted(sentence: str, chars: int | None) -> Column:
+    """What counts of a sentence: its first ``chars`` characters, or all of it."""
+    return F.col(sentence) if chars is None else F.substr(sentence, F.lit(1), F.lit(chars))
+
+
+def _clean_words(sentence: str, chars: int | None) -> Column:
     """Words of what counts of a sentence, without addresses and numbers."""
-    clean = F.regexp_replace(F.substr(sentence, F.lit(1), F.lit(SENTENCE_CHARS)), r"https?://\S+", " ")
+    clean = F.regexp_replace(_counted(sentence, chars), r"https?://\S+", " ")
     return F.filter(words(clean), lambda w: ~w.rlike("^[0-9]+$"))
 
 
@@ -112,26 +117,26 @@ def _stemmed_counts(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(counts, "stem string, word string, c long, n long")
 
 
-def _with_words(rows: DataFrame, unspaced: Column, dictionary: Dictionary | None) -> DataFrame:
+def _with_words(rows: DataFrame, unspaced: Column, dictionary: Dictionary | None, chars: int | None) -> DataFrame:
     """``rows`` with the words of their sentence as ``own``; in languages without spaces by the dictionary, where there is one."""
     if dictionary is None:
-        return rows.withColumn("own", _clean_words("sentence"))
-    cut = segmented(rows.withColumn("_s", F.when(unspaced, F.substr("sentence", F.lit(1), F.lit(SENTENCE_CHARS)))), dictionary, "_s", name="_cut")
-    return cut.withColumn("own", F.coalesce("_cut", _clean_words("sentence"))).drop("_s", "_cut")
+        return rows.withColumn("own", _clean_words("sentence", chars))
+    cut = segmented(rows.withColumn("_s", F.when(unspaced, _counted("sentence", chars))), dictionary, "_s", name="_cut")
+    return cut.withColumn("own", F.coalesce("_cut", _clean_words("sentence", chars))).drop("_s", "_cut")
 
 
-def word_counts(sentences: DataFrame, n: int = 1, stop_words: bool = True, stemmed: bool = False, dictionary: Dictionary | None = None) -> DataFrame:
+def word_counts(sentences: DataFrame, n: int = 1, stop_words: bool = True, stemmed: bool = False, dictionary: Dictionary | None = None, chars: int | None = None) -> DataFrame:
     """``stem, term, count`` of words (or n-grams) of distinct sentences: a stem's most used term (ties to the least) and its capped count.
 
-    The cap is applied inside the row: in the sorted words of a sentence a stem counts unless the same one
-    stands MOST_IN_SENTENCE places before. So one aggregate by stem and word is all that is shuffled then.
+    Whole sentences are counted, or the first ``chars`` characters of each. The cap is applied inside the row: in
+    the sorted words of a sentence a stem counts unless the same one stands MOST_IN_SENTENCE places before. So one aggregate by stem and word is all that is shuffled then.
     With ``stemmed`` tasks stem their words themselves and hand on sums, so no word is shuffled by itself; an n-gram's stem is
     that of its words. Sentences of languages without spaces are cut into the words of a ``dictionary``, as
     ``tidings.operators.segments`` learns it from the corpus; without one a run of characters is one word.
     """
     rows = sentences.groupBy("sentence").agg(F.collect_set(F.coalesce("language", F.lit(""))).alias("languages"))
     if stemmed:
-        each = _with_words(rows.select("sentence", F.posexplode("languages").alias("at", "language")), without_spaces(F.col("language")), dictionary)
+        each = _with_words(rows.select("sentence", F.posexplode("languages").alias("at", "language")), without_spaces(F.col("language")), dictionary, chars)
         kept = drop_stop_words(F.col("own"), F.col("language")) if stop_words else F.col("own")
         parts = _stemmed_counts(each.select("at", "language", F.array_join(kept, " ").alias("text")), n)
         each = parts.groupBy("stem", "word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -141,7 +146,7 @@ def word_counts(sentences: DataFrame, n: int = 1, stop_words: bool = True, stemm
             kept = _ngrams(drop_stop_words(F.col("own"), language) if stop_words else F.col("own"), n)
             return F.transform(kept, lambda w: F.struct(w.alias("stem"), w.alias("word")))
 
-        rows = _with_words(rows, F.exists("languages", without_spaces), dictionary).select(F.array_sort(F.flatten(F.transform("languages", named))).alias("w"))
+        rows = _with_words(rows, F.exists("languages", without_spaces), dictionary, chars).select(F.array_sort(F.flatten(F.transform("languages", named))).alias("w"))
         counts = lambda x, i: F.struct(x["stem"].alias("stem"), x["word"].alias("word"), (~F.get("w", i - MOST_IN_SENTENCE)["stem"].eqNullSafe(x["stem"])).cast("int").alias("n"))
         each = rows.select(F.inline(F.transform("w", counts))).groupBy("stem", "word").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
     return each.groupBy("stem").agg(F.min_by("word", F.struct(-F.col("c"), F.col("word"))).alias("term"), F.sum("n").alias("count"))

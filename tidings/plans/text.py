@@ -20,12 +20,12 @@ GOOD = f", s AS (SELECT DISTINCT sentence, language FROM sentences), tokens AS (
 
 @query("word_count_capped", GOOD)
 def _(e):
-    return W.word_counts(e.sentences)
+    return W.word_counts(e.sentences, chars=W.SENTENCE_CHARS)
 
 
 @query("word_list_top", GOOD + " ORDER BY 3 DESC, 1 DESC LIMIT 500")
 def _(e):
-    return W.word_list(e.sentences)
+    return W.word_list(e.sentences, chars=W.SENTENCE_CHARS)
 
 
 @query("word_list_sampled_bigrams")
