@@ -8,18 +8,19 @@ follows that often begins one. The statistics are counts of each language's word
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.text import TEXT_LIMIT, junk_sentence
+from tidings.functions.text import junk_sentence
 from tidings.operators.storage import materialize
 
 # Least scores of an abbreviation, of words joined by a stop, and of a word that begins sentences.
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0
-#: Abbreviations, joined words and beginnings kept of a language, those of the highest scores.
-KEPT = 1000
+#: Stops that a task remembers of a language: the words on both sides, and whether a sentence goes on there.
+MEMO = 200_000
 #: A token with a letter or digit, so that its type is not empty.
 _TOKEN = r"[^\s\p{L}\p{N}]*[\p{L}\p{N}]\S*"
 _SPLIT = r"(?<=[.!?])[ \t\r\f]+(?=[\p{Lu}\p{N}])|\n+"
@@ -66,7 +67,7 @@ def _tokens(texts: DataFrame, text_col: str, language_col: str) -> DataFrame:
 
 
 def learn_abbreviations(texts: DataFrame, text_col: str = "text", language_col: str = "language") -> DataFrame:
-    """``language, abbreviations, joined, starters``: one row for each language, each list of at most KEPT entries.
+    """``language, abbreviations, joined, starters``: one row for each language, with all words and pairs that reach the least score.
 
     ``joined`` are pairs ``a b`` of words that a stop parts but no sentence ends between. A null language
     counts as empty; null texts say nothing.
@@ -96,44 +97,61 @@ def learn_abbreviations(texts: DataFrame, text_col: str = "text", language_col:
     firm = firm.join(counts.select("language", "word", F.col("n").alias("of_word")), ["language", "word"]).join(plain, ["language", "next"]).join(whole, "language")
     firm = firm.withColumn("score", _dunning(F.col("of_word"), F.col("of_next"), F.col("ab"), F.col("all"))).filter((F.col("score") >= COLLOCATION) & (F.col("ab") > 1))
 
-    def best(df: DataFrame, what: str, name: str) -> DataFrame:
-        """The KEPT entries of the highest scores as a list; the limit goes before the shuffle too."""
-        place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("score"), "w"))
-        return df.withColumn("w", F.expr(what)).withColumn("place", place).filter(F.col("place") <= KEPT).groupBy("language").agg(F.collect_list("w").alias(name))
+    def listed(df: DataFrame, what: str, name: str) -> DataFrame:
+        return df.groupBy("language").agg(F.sort_array(F.collect_list(F.expr(what))).alias(name))
 
-    out = whole.select("language").join(best(short, "word", "abbreviations"), "language", "left").join(best(firm, "concat(word, ' ', next)", "joined"), "language", "left").join(best(starters, "next", "starters"), "language", "left")
+    out = whole.select("language").join(listed(short, "word", "abbreviations"), "language", "left").join(listed(firm, "concat(word, ' ', next)", "joined"), "language", "left").join(listed(starters, "next", "starters"), "language", "left")
     return out.select("language", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("abbreviations", "joined", "starters")))
 
 
+def _goes_on(asked: str, abbreviations: set[str], joined: set[str], starters: set[str]) -> bool:
+    """Whether a stop ends no sentence: ``asked`` is the word before it, marked if it is one letter, and the word behind."""
+    word, _, first = asked.removeprefix("*").partition(" ")
+    return (asked.startswith("*") or word in abbreviations) and first not in starters or f"{word} {first}" in joined
+
+
 def split_sentences(texts: DataFrame, learnt: DataFrame, text_col: str = "text", language_col: str = "language", name: str = "sentences") -> DataFrame:
-    """``texts`` with their sentences as ``name``, by what ``learn_abbreviations`` has found in each language.
+    """``texts`` with the sentences of each whole text as ``name``, by what ``learn_abbreviations`` has found in each language.
 
     Line ends always part sentences. Sentences without letters or of few ASCII characters go. A null text has none.
+    The lists are as long as the vocabulary makes them, so tasks look words up in sets of one broadcast; only the
+    words beside stops go to Python.
     """
-    clean = F.regexp_replace(F.substr(F.coalesce(text_col, F.lit("")), F.lit(1), F.lit(TEXT_LIMIT)), r"[ \t\r\f]+", " ")
-    lists = F.broadcast(learnt.withColumnRenamed("language", "_language"))  # a row of bounded lists for each language
-    rows = texts.withColumn("_language", F.coalesce(F.col(language_col), F.lit(""))).join(lists, "_language", "left")
-    none = F.array().cast("array<string>")
-    known = {c: F.coalesce(c, none) for c in ("abbreviations", "joined", "starters")}
-    rows = rows.withColumn("_lines", F.split(clean, r"\n+"))
-
-    def goes_on(part: Column, following: Column) -> Column:
-        """Whether the stop at the end of a part ends no sentence."""
+    shared = texts.sparkSession.sparkContext.broadcast({r.language: tuple(map(set, (r.abbreviations, r.joined, r.starters))) for r in learnt.collect()})
+
+    @F.pandas_udf("array<int>")
+    def begins(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """Numbers of the parts that begin a sentence."""
+        memos: dict[str, dict[str, bool]] = {}
+        for languages, texts_asked in columns:
+            out = []
+            for language, text in zip(languages, texts_asked):
+                lists, memo, found = shared.value.get(language) or (set(), set(), set()), memos.setdefault(language, {"": False}), []
+                for k, asked in enumerate(text.split("\n")):
+                    on = memo.get(asked)
+                    if on is None:
+                        if len(memo) >= MEMO:
+                            memo.clear()
+                        on = memo[asked] = _goes_on(asked, *lists)
+                    if not on:
+                        found.append(k)
+                out.append(found)
+            yield pd.Series(out)
+
+    def asked(part: Column, following: Column) -> Column:
+        """What is asked about the place between two parts of a line; nothing where no stop stands."""
         first = F.regexp_replace(_kind(F.substring_index(following, " ", 1)), r"\.$", "")
-
-        def between(x: Column) -> Column:
-            short = (F.array_contains(known["abbreviations"], x["word"]) | x["word"].rlike(r"^\p{L}$")) & ~F.array_contains(known["starters"], x["first"])
-            return short | F.array_contains(known["joined"], F.concat(x["word"], F.lit(" "), x["first"]))
-
-        behind = lambda last: F.when(last.endswith("."), _once(F.struct(F.left(last, F.length(last) - 1).alias("word"), first.alias("first")), between))
-        return F.coalesce(_once(_kind(F.substring_index(part, " ", -1)), behind), F.lit(False))
-
-    def joined(parts: Column) -> Column:
-        """The parts of a line; one that goes on takes the next with it."""
-        begins = F.transform(parts, lambda p, i: F.when((i == 0) | ~goes_on(F.get(parts, i - 1), p), i))
-        of = lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(parts, a + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - a), " "))
-        return _once(F.array_compact(begins), of)
-
-    found = F.flatten(F.transform("_lines", lambda line: _once(F.split(line, _SPLIT), joined)))
+        beside = lambda word: F.concat(F.when(word.rlike(r"^\p{L}$"), "*").otherwise(""), word, F.lit(" "), first)
+        behind = lambda last: F.when(last.endswith("."), _once(F.left(last, F.length(last) - 1), beside)).otherwise("")
+        return _once(_kind(F.substring_index(part, " ", -1)), behind)
+
+    clean = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[ \t\r\f]+", " ")
+    pairs = lambda parts: F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.when(i > 0, asked(F.get(parts, i - 1), p)).otherwise("").alias("asked")))
+    rows = texts.withColumn("_parts", F.flatten(F.transform(F.split(clean, r"\n+"), lambda line: _once(F.split(line, _SPLIT), pairs))))
+    # not to be made again for a filter that is pushed below it
+    rows = rows.withColumn("_begins", begins.asNondeterministic()(F.coalesce(F.col(language_col), F.lit("")), F.array_join(F.col("_parts.asked"), "\n")))
+
+    of = lambda parts, at: F.transform(at, lambda a, k: F.array_join(F.slice(parts, a + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - a), " "))
+    found = _once(F.col("_parts.part"), lambda parts: _once(F.col("_begins"), lambda at: of(parts, at)))
     good = F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: ~junk_sentence(s) & s.rlike(r"[\p{L}\p{N}]"))
-    return rows.withColumn(name, good).drop("_language", "_lines", "abbreviations", "joined", "starters")
+    return rows.withColumn(name, good).drop("_parts", "_begins")
