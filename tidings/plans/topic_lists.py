@@ -92,7 +92,7 @@ def _(e):
 @query("topic_words", GOOD.replace("FROM sentences", "FROM sentences WHERE stories_id IN (SELECT stories_id FROM stories WHERE publish_date >= TIMESTAMP '2024-01-08' AND publish_date < TIMESTAMP '2024-02-01')") + " ORDER BY 3 DESC, 1 DESC LIMIT 100")
 def _(e):
     span = e.stories.filter("publish_date >= timestamp_ntz'2024-01-08' and publish_date < timestamp_ntz'2024-02-01'").select("stories_id")
-    return W.word_list(e.sentences.join(span, "stories_id", "left_semi"), 100)
+    return W.word_list(e.sentences.join(span, "stories_id", "left_semi"), 100, chars=W.SENTENCE_CHARS)
 
 
 @query("list_page", "SELECT media_id, name FROM media ORDER BY name LIMIT 5 OFFSET 5")
